@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,19 +16,28 @@ WHITE_RUN = "[\\x20\\x09-\\x0D]+"
 BLOCK_WORDS = 65_536
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and go on from there, without its lineage.
-
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests, a notebook
-    on one machine) is a folder under /tmp taken.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`; only where that is unset (tests, a notebook on one machine) a folder under /tmp."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder and go on from there, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet in the checkpoint folder, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

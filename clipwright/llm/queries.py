@@ -6,20 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipwright.llm import mixing, sharding
+from clipwright.llm import decontam, mixing, quality, sharding, simhash
 from clipwright.llm.common import table
 
 
+def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash_bktree": op4_simhash_bktree,
     "op5_source_mixing": op5_source_mixing,
+    "op7_quality_empirical_bayes": op7_quality_empirical_bayes,
+    "op8_benchmark_containment": op8_benchmark_containment,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
 }
 
@@ -62,6 +77,18 @@ p2 as (
 select doc_id, size, source_size, target,
   (size * (epochs + case when had or (size > 0 and before + size / 2.0::double <= rest) then 1 else 0 end))::bigint as taken
 from p2""",
+    "op8_benchmark_containment": """
+with words as (
+  select 'd' as kind, doc_id as id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+  union all
+  select 'i', item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') from benchmark),
+parts as (
+  select distinct kind, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as shingle
+  from words where len(w) > 0),
+sizes as (select id, count(*) as n from parts where kind = 'i' group by id),
+met as (select d.id as doc_id, i.id as item_id, count(*) as found from parts d join parts i using (shingle) where d.kind = 'd' and i.kind = 'i' group by all)
+select doc_id, item_id, found, n as n_shingles, found::double / n::double as containment
+from met join sizes on item_id = sizes.id where found >= ceil(n * 0.8::double - 1e-9)""",
     "op10_rendezvous_sharding": """
 with recursive bytes as (
   select list_transform(range(256), lambda b: list_reduce([b::bigint] || range(8), lambda c, i: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as t),
