@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipwright.llm import decontam, mixing, quality, sharding, simhash
+from clipwright.llm import decontam, embed_dedup, langid, mixing, quality, sharding, simhash
 from clipwright.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +30,10 @@ def op8_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -33,8 +41,10 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_bktree": op4_simhash_bktree,
     "op5_source_mixing": op5_source_mixing,
+    "op6_subspace_pigeonhole": op6_subspace_pigeonhole,
     "op7_quality_empirical_bayes": op7_quality_empirical_bayes,
     "op8_benchmark_containment": op8_benchmark_containment,
+    "op9_kneser_ney_langid": op9_kneser_ney_langid,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
 }
 
