@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipwright.llm import decontam, embed_dedup, langid, mixing, quality, sharding, simhash
+from clipwright.llm import decontam, embed_dedup, html_crf, langid, mixing, pii, quality, sharding, simhash
 from clipwright.llm.common import table
 
 
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,8 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_crf": op1_html_crf,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op5_source_mixing": op5_source_mixing,
     "op6_subspace_pigeonhole": op6_subspace_pigeonhole,
