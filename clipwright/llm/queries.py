@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clipwright.llm import decontam, embed_dedup, html_crf, langid, mixing, pii, quality, sharding, simhash
+from clipwright.llm import decontam, embed_dedup, html_crf, langid, mixing, pii, quality, sharding, simhash, warc
 from clipwright.llm.common import table
 
 
@@ -14,6 +15,12 @@ def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return found.withColumn("headers", F.array_join(lines, "\n"))
+
+
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_personal_data(table(spark, sf_dir, "documents"))
 
@@ -48,6 +55,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_crf": op1_html_crf,
+    "op2_warc_revisits": op2_warc_revisits,
     "op3_pii_surrogates": op3_pii_surrogates,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op5_source_mixing": op5_source_mixing,
@@ -59,6 +67,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_revisits": """
+with bare as (
+  select page_id, coalesce(html, '') as html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as b from pages),
+urls as (
+  select page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^(www|m)\\.', ''), ':(80|443)$', '') as host,
+    regexp_replace(b, '^[^/?]*', '') as rest from bare),
+canon as (
+  select page_id, html, md5(html) as dig, 'day ' || (page_id % 365) as mod, host || regexp_replace(regexp_extract(rest, '^[^?]*'), '/+$', '') as stem,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z_]*|ref|fbclid|gclid|sessionid)(=|$)'))), '&') as q
+  from urls),
+keyed as (
+  select page_id, html, dig, mod, stem || case when q <> '' then '?' || q else '' end as page
+  from canon),
+full_ as (select page, page_id * 1000 as at, page_id * 4 as id, '"' || substr(dig, 1, 12) || '"' as tag, mod, dig, length(html) as n from keyed where page_id % 5 <> 0),
+asked as (
+  select page_id * 4 + 1 as id, page, page_id * 1000 + 3 as at, 1 as v, '"' || substr(dig, 1, 12) || '"' as tag, mod, dig from keyed
+  union all select page_id * 4 + 2, page, page_id * 1000 + 600, 2, case when page_id % 4 = 0 then '"other"' end, mod, dig from keyed
+  union all select page_id * 4 + 3, page, page_id * 1000 + 2000000, 3, null, null, dig from keyed),
+met as (
+  select a.*, f.id as fid, f.at as fat, f.tag as ftag, f.mod as fmod, f.dig as fdig, f.n as fn,
+    row_number() over (partition by a.id order by f.at desc nulls last, f.id desc) as r
+  from asked a left join full_ f on a.page = f.page and f.at < a.at),
+judged as (
+  select *, case when fid is null then 'no-response'
+    when (case when v = 1 then tag = ftag when v = 2 and tag is not null then tag = ftag when v = 2 then mod = fmod else dig = fdig end) then 'resolved' else 'mismatch' end as outcome
+  from met where r = 1)
+select id as record_id, page as canonical_url, outcome, fid as response_id, fat as response_at,
+  case when outcome = 'resolved' then array_to_string(list_sort(list_filter([
+    case when v = 3 then 'age: 1' end,
+    case when v = 1 then 'cache-control: max-age=600' else 'cache-control: max-age=60' end,
+    'content-length: ' || fn, 'content-type: text/html',
+    case when v = 2 then 'date: later' end,
+    case when v = 1 then 'etag: W/' || tag else 'etag: ' || ftag end,
+    'last-modified: ' || fmod], lambda x: x is not null)), chr(10)) end as headers
+from judged""",
     "op5_source_mixing": """
 with docs as (
   select doc_id, source,
