@@ -1,0 +1 @@
+"""Analytics over time-coded media metadata, as Spark DataFrames."""

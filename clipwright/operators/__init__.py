@@ -1,0 +1 @@
+"""Operators over the tables of `clipwright.staging`: DataFrames in, DataFrames out."""
