@@ -32,8 +32,8 @@ def query(f: Query) -> Query:
     return f
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 4) for c in columns})
+def rounded(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,13 +243,13 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def object_scores(spark, sf_dir):
-    return rounded(iv.object_scores(days(spark, sf_dir), st.detections(spark, sf_dir)), "object_relevance", "object_confidence")
+    return rounded(iv.object_scores(days(spark, sf_dir), st.detections(spark, sf_dir)), "object_relevance", "object_confidence", places=6)
 
 
 @query
 def asof_detection(spark, sf_dir):
     frames = days(spark, sf_dir).select("video_id", F.col("seg_start").cast("long").alias("ts"))
-    return rounded(iv.asof_detection(frames, st.detections(spark, sf_dir), 43200.0), "confidence")
+    return rounded(iv.asof_detection(frames, st.detections(spark, sf_dir), 43200.0), "confidence", places=6)
 
 
 @query
@@ -371,12 +371,12 @@ def leader_clusters(spark, sf_dir):
 
 @query
 def track_summary(spark, sf_dir):
-    return rounded(tk.track_summary(st.detections(spark, sf_dir)), "mean_confidence", "relevance", "consistency")
+    return rounded(rounded(tk.track_summary(st.detections(spark, sf_dir)), "consistency"), "mean_confidence", "relevance", places=6)
 
 
 @query
 def class_summary(spark, sf_dir):
-    return rounded(tk.class_summary(st.detections(spark, sf_dir)), "mean_confidence")
+    return rounded(tk.class_summary(st.detections(spark, sf_dir)), "mean_confidence", places=6)
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,7 +385,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def weighted_crop_center(spark, sf_dir):
-    return rounded(tk.weighted_crops(daily(spark, sf_dir), "day"), "confidence")
+    return rounded(tk.weighted_crops(daily(spark, sf_dir), "day"), "confidence", places=6)
 
 
 @query
