@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipwright.llm.common import cut, join_nulls, word_blocks
+from clipwright.llm.common import cut, join_nulls, uniform, word_blocks
 
 #: Signs that prose seldom holds; fixed values.
 SIGNS = b"#$%&*|!{}<>=~^@_\\"
@@ -100,8 +100,8 @@ def score_quality(
 
     Returns doc_id, p_doc, host_posterior, path_posterior, p and keep (p >= threshold).
     `labels` has doc_id and quality (0 or 1; null ones are left out). A logistic regression over
-    the text's shape is fitted to at most `max_labelled` labelled rows, those with the smallest
-    hashes of doc_id. All rows' p_doc are then summed by host and by path within host. A host's
+    the text's shape is fitted to the labelled rows, or as many as a hash of doc_id picks of
+    them with an expected number of `max_labelled`. All rows' p_doc are then summed by host and by path within host. A host's
     rate is drawn to the overall rate, a path's (without the row itself) to its host's, by strengths estimated
     from how much hosts and paths differ; a sparse site so has the rate above it. The row's log-odds
     are those of its text plus what its path says beyond the overall rate.
@@ -116,8 +116,9 @@ def score_quality(
     rows = cut(chosen.mapInArrow(_feature_rows, f"doc_id {kind}, host string, path string, " + ", ".join(f"{f} double" for f in FEATURES)))
 
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = rows.dropDuplicates(["doc_id"]).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    sample = sample.select("quality", *FEATURES).toPandas()
+    share = max_labelled / max(1, known.count())
+    sample = rows.dropDuplicates(["doc_id"]).join(known.where(uniform("label", F.col("doc_id")) < share), "doc_id")
+    sample = sample.select("doc_id", "quality", *FEATURES).toPandas().sort_values("doc_id")
     weights, intercept = fit_logistic(sample[list(FEATURES)].to_numpy(float), sample["quality"].to_numpy(float))
     z = sum((F.col(f) * float(w) for f, w in zip(FEATURES, weights)), F.lit(intercept))
     scored = rows.select("doc_id", "host", "path", (1 / (1 + F.exp(-z))).alias("p_doc"))
