@@ -117,3 +117,43 @@ DIVERSITY = {
     "high_energy": "jump|quick|fast|energy|power|strong".split("|"),
     "calm": "relax|gentle|soft|peaceful|calm|rest|slow".split("|"),
 }
+
+#: Requests for a climax: whole phrases count 1, phrases of which only a word of over four letters occurs 0.3, clues 0.5.
+CLIMAX = (
+    "climax|peak|apex|zenith|pinnacle|summit|crescendo|high point|turning point|crucial moment|pivotal moment|decisive moment|critical point|breaking point|tipping point|dramatic scenes|"
+    "intense scenes|powerful scenes|gripping scenes|thrilling scenes|electrifying scenes|breathtaking scenes|explosive scenes|spectacular scenes|mind-blowing scenes|best dramatic scenes|"
+    "most important scenes|essential dramatic scenes|defining dramatic moments|iconic dramatic scenes|emotional peaks|most emotional scenes|emotional climax|action-packed scenes|"
+    "most exciting action|intense action scenes|thrilling action sequences|finale|ending climax|dramatic conclusion|dramatic resolution|showdown|confrontation|face-off|final battle|ultimate dramatic moment"
+).split("|")
+CLIMAX_CLUES = "from the movie climax|from the film climax|dramatic part of|most dramatic|most intense|most gripping".split("|")
+NOT_CLIMAX = "comedy|funny|humor|humorous|joke|laugh|amusing|hilarious|educational|learn|tutorial|teach|explain|instructional".split("|")
+NOT_CLIMAX_UNLESS_PEAK = "emotional|touching|moving|heartfelt|sentimental".split("|")
+COMEDY_WORDS = "comedy|funny|humor|humorous|joke|jokes|laugh|laughter|amusing|hilarious|witty|entertaining|comedic|comic|light-hearted|light hearted|playful|silly|goofy".split("|")
+COMEDY_PHRASES = "comedy moments|funny moments|funny scenes|comedy scenes|humorous parts|amusing parts|entertaining moments|laugh out loud|make me laugh|something funny".split("|")
+INTENTS = {
+    "climax": "climax|peak|intense|dramatic|tension|exciting|thrilling".split("|"),
+    "comedy": "funny|humor|laugh|joke|amusing|entertaining|hilarious".split("|"),
+    "educational": "learn|teach|explain|instruction|tutorial|guide|how".split("|"),
+    "emotional": "emotion|feel|touching|moving|heartfelt|inspiring".split("|"),
+    "action": "action|fast|quick|dynamic|movement|energy".split("|"),
+    "highlights": "best|important|key|main|crucial|significant".split("|"),
+    "summary": "summary|overview|recap|conclusion|points".split("|"),
+}
+COMPONENTS = (
+    "battery|display|screen|panel|camera|sensor|lens|chip|chipset|processor|cpu|gpu|ram|storage|charge|charging|fast charge|wireless charging|brightness|nits|refresh|frame rate|speaker|audio|mic|"
+    "microphone|stabilization|ois|eis|dynamic range|hdr|amoled|oled|lcd|mini led"
+).split("|")
+HIGH_REFRESH = "high refresh|higher refresh|fast refresh|smooth display|120 fps|high fps|buttery smooth".split("|")
+FOCUS_STOP = "the|and|with|that|this|what|when|your|you|for|from|video|clip|short".split("|")
+
+CATEGORY_TAGS = {
+    "educational": "learn|tutorial|education|howto|tips".split("|"),
+    "entertainment": "funny|comedy|entertainment|viral|trending".split("|"),
+    "motivational": "motivation|inspiration|success|mindset|goals".split("|"),
+    "lifestyle": "lifestyle|daily|personal|life|routine".split("|"),
+    "tech": "tech|technology|digital|innovation|gadgets".split("|"),
+    "business": "business|entrepreneur|money|success|marketing".split("|"),
+}
+TITLE_PATTERNS = {"educational": "How to %s", "entertainment": "This is hilarious %s", "motivational": "How %s changed my life", "lifestyle": "My %s routine"}
+PHRASE_ACTIONS = "learn|discover|find|get|achieve".split("|")
+HIGHLIGHT_EMOTIONS = "amazing|incredible|shocking|unbelievable".split("|")

@@ -311,3 +311,74 @@ ruled as (
   union all select directory, path, size, 2, 'size' from (select *, coalesce(sum(size) over (partition by directory order by mtime, path rows between unbounded preceding and 1 preceding), 0) as freed from files where video and may) join total using (directory) where freed < total - 100000
   union all select directory, path, size, 3, 'count' from (select *, row_number() over (partition by directory order by mtime desc, path) as place from files where video) where place > 20 and may)
 select directory, path, size, arg_min(rule, p) as rule from ruled group by directory, path, size"""
+
+_ASKED = [
+    "Show me a few funny moments", "The most dramatic turning point, in detail", "Many short clips that explain how to learn this", "The 5000 mAh battery and 120 Hz display of the X200 in 4k",
+    "Quick action and movement, visual only", "Touching people, please", "Anything",
+]
+PROMPTS = f"""
+prompts as (select conv_id as request_id, concat_ws('. ', [{', '.join(map(q, _ASKED))}][(conv_id % 7 + 1)::int], text) as prompt from conversations where turn = 0)"""
+SENTENCES = "list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 10)"
+
+
+def climax() -> str:
+    terms = []
+    for phrase in lx.CLIMAX:
+        parts = [w for w in phrase.split() if len(w) > 4] if " " in phrase else []
+        weak = f" when {any_of('prompt', parts)} then 0.3" if parts else ""
+        terms.append(f"case when contains(lower(prompt), {q(phrase)}) then 1.0{weak} else 0 end")
+    return f"not ({any_of('prompt', lx.NOT_CLIMAX)} or ({any_of('prompt', lx.NOT_CLIMAX_UNLESS_PEAK)} and not contains(lower(prompt), 'peak'))) and {' + '.join(terms)} + {hits('prompt', lx.CLIMAX_CLUES)} * 0.5 >= 1.2"
+
+
+COMEDY = f"({hits('prompt', lx.COMEDY_WORDS)} + {hits('prompt', lx.COMEDY_PHRASES)} * 1.5 >= 1.0)"
+
+
+def theme_confidences() -> str:
+    out = []
+    for theme, (keywords, feelings, _) in lx.THEMES.items():
+        k, f = keywords.split("|"), feelings.split("|")
+        comedy = f" + case when {COMEDY} then 0.8 else 0 end" if theme == "comedy" else ""
+        out.append(f"round((case when contains(lower(prompt), {q(theme)}) then 0.5 else 0 end + {hits('prompt', k)}::double / {len(k)} * 0.3 + {hits('prompt', f)}::double / {len(f)} * 0.2{comedy})::double, 4) as c_{theme}")
+    return ", ".join(out)
+
+
+_TOP = "greatest(" + ", ".join(f"c_{t}" for t in lx.THEMES) + ")"
+_TITLES = "".join(f" when category = {q(c)} and phrase is not null then replace({q(p)}, '%s', phrase)" for c, p in lx.TITLE_PATTERNS.items())
+_TAGS = "case " + " ".join(f"when category = {q(c)} then [{', '.join(map(q, t))}]" for c, t in lx.CATEGORY_TAGS.items()) + " else ['general', 'content'] end"
+SHORT = lambda x: f"substr({x}, 1, 50) || case when length({x}) > 50 then '...' else '' end"
+_INTENT = " || ".join(f"case when {any_of('prompt', w)} then [{', '.join(map(q, w))}] else []::varchar[] end" for w in lx.INTENTS.values())
+ZOOM = """
+boxes as (select video_id, day, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2, count(*) as subjects from daily group by all),
+z as (select *, greatest(1.0::double, least(3.0::double, case when (y2 - y1) / 1080.0::double < 0.3 then 0.3 / ((y2 - y1) / 1080.0::double) when (y2 - y1) / 1080.0::double > 0.8 then 0.8 / ((y2 - y1) / 1080.0::double) else 1 end)) as zoom from boxes),
+c as (select *, greatest(0.5 / zoom, least(1 - 0.5 / zoom, (x1 + x2) / 2.0::double / 1920)) as cx, greatest(0.5 / zoom, least(1 - 0.5 / zoom, (y1 + y2) / 2.0::double / 1080)) as py, 1080.0::double / zoom as h, 1080.0::double / zoom * 9 / 16 as w from z),
+t as (select *, case when abs(cx - 1 / 3.0::double) <= abs(cx - 2 / 3.0::double) then 1 / 3.0::double else 2 / 3.0::double end as third from c),
+p as (select *, case when abs(third - cx) < 0.1 then cx * 0.7 + third * 0.3 else cx end as px from t)"""
+
+SQL |= {
+    "generated_titles": f"""with s as (select doc_id, text, {SENTENCES} as p, {best('text', lx.CATEGORIES, 'general')} as category, list_filter(list_transform(string_split(text, '.'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: contains(x, '?'))[1] as asked from documents),
+r as (select *, (select x from unnest(p) with ordinality u(x, i) where {hits('x', lx.VIRAL)} * 2 + {hits('x', lx.PHRASE_ACTIONS)} > 0 order by {hits('x', lx.VIRAL)} * 2 + {hits('x', lx.PHRASE_ACTIONS)} desc, i limit 1) as phrase,
+  {_TAGS} || case when {hits('text', lx.VIRAL)} > 0 then ['viral', 'trending', 'amazing', 'mustwatch'] else [] end || case when contains(text, '?') then ['interactive'] else [] end || case when least({hits('text', lx.FEELINGS)} * 0.2, 1.0) > 0.5 then ['emotional'] else [] end || ['shorts', 'short', 'quickwatch', 'vertical'] as tags,
+  array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:5], ' ') as five from s)
+select doc_id, case when {hits('text', lx.VIRAL)} > 0 and phrase is not null then 'This Will Blow Your Mind: ' || phrase when asked is not null then {SHORT('asked')}{_TITLES} when phrase is not null then {SHORT('phrase')} else 'Amazing Short Video' end as title,
+  array_to_string(list_filter(tags, lambda x, i: list_position(tags, x) = i)[1:10], ',') as tags, case when length(text) > 20 then case when length(five) > 50 then substr(five, 1, 47) || '...' else five end else 'clip - 30s Clip' end as fallback from r""",
+    "clean_names": f"with {FILES} select path, upper(substr(n, 1, 1)) || substr(n, 2) as name from (select path, replace(regexp_replace(string_split(path, '/')[2], '\\.[^.]*$', ''), '_', ' ') as n from files)",
+    "excerpts": """with f as (select doc_id, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') as t from documents), w as (select *, string_split(t, ' ') as w from f)
+select doc_id, case when length(t) > 500 and len(w) > 80 then array_to_string(w[1:40], ' ') || ' ... ' || array_to_string(w[-40:], ' ') else t end as excerpt from w""",
+    "prompt_analysis": f"""with {PROMPTS}, c as (select *, {theme_confidences()} from prompts)
+select request_id, case when {_TOP} <= 0.1 then 'general' {' '.join(f"when c_{t} = {_TOP} then {q(t)}" for t in lx.THEMES)} end as theme, {climax()} as climax, {COMEDY} as comedy,
+  case when not {any_of('prompt', ['short', 'brief', 'quick'])} and {any_of('prompt', ['long', 'extended', 'detailed'])} then 45 else 15 end as min_duration,
+  case when {any_of('prompt', ['short', 'brief', 'quick'])} then 30 when {any_of('prompt', ['long', 'extended', 'detailed'])} then 120 else 60 end as max_duration,
+  case when not {any_of('prompt', ['few', 'couple', 'some'])} and {any_of('prompt', ['many', 'several', 'multiple'])} then 7 else 3 end as min_count,
+  case when {any_of('prompt', ['few', 'couple', 'some'])} then 5 when {any_of('prompt', ['many', 'several', 'multiple'])} then 15 else 10 end as max_count,
+  not {any_of('prompt', ['silent', 'quiet', 'no speech', 'visual only'])} as needs_speech, {any_of('prompt', ['visual', 'see', 'show', 'watch', 'look'])} as needs_visuals,
+  {any_of('prompt', ['people', 'person', 'speaker', 'presenter'])} as needs_people, {any_of('prompt', ['action', 'movement', 'demo', 'demonstrate'])} as needs_action from c""",
+    "prompt_heuristic": f"""with {_C},{PROMPTS}, k as (select request_id, list_distinct({_INTENT} || list_transform(list_filter(string_split_regex(lower(prompt), '\\s+'), lambda x: length(x) > 3), lambda x: regexp_replace(x, '^[.,?!]+|[.,?!]+$', '', 'g'))) as k from prompts),
+j as (select c.*, request_id, k, seg_end - seg_start as d, stop, {n_words('text')} / greatest(seg_end - seg_start, 1) as rate from clip_texts c join k on request_id = video_id join (select video_id as v, max("end") as stop from transcript group by video_id) on v = video_id)
+select request_id, segment_id, round(least(1.0::double, least(1.0::double, len(list_filter(k, lambda x: contains(lower(text), x)))::double / len(k) * 2) * 0.3 + 0.12
+  + case when d between 15 and 45 then 1.0 when d between 10 and 60 then 0.8 when d between 5 and 90 then 0.5 else 0.2 end * 0.15 + case when text = '' then 0.3 when rate between 1.5 and 3.5 then 1.0 when rate between 1 and 5 then 0.7 else 0.4 end * 0.15
+  + case when seg_start / stop <= 0.1 then 0.8 when seg_start / stop >= 0.85 then 0.9 when seg_start / stop between 0.4 and 0.6 then 0.7 else 0.5 end * 0.1 + ({engagement('text')})::double * 0.2), 6) as heuristic from j""",
+    "zoom_plan": f"""with {DETECTIONS},{DAILY},{ZOOM} select video_id, day, subjects, round(zoom, 4) as zoom, greatest(0, least(1920 - trunc(w + 1e-9), trunc(px * 1920 - w / 2 + 1e-9)))::bigint as crop_x,
+  greatest(0, least(1080 - trunc(h + 1e-9), trunc(py * 1080 - h / 2 + 1e-9)))::bigint as crop_y, trunc(w + 1e-9)::bigint as crop_w, trunc(h + 1e-9)::bigint as crop_h from p""",
+    "zoom_quality": f"""with {DETECTIONS},{DAILY},{ZOOM}, r as (select video_id, abs(zoom - lag(zoom) over w) / (day - lag(day) over w) as rate from p window w as (partition by video_id order by day))
+select video_id, round(1 - least(coalesce(max(rate), 0) / 0.5, 1), 4) as stability, 1 - least(coalesce(max(rate), 0) / 0.5, 1) < 0.8 as too_fast from r group by video_id""",
+}

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from clipwright import staging as st
 from clipwright.functions import lexicons as lx
 from clipwright.functions import text as tx
+from clipwright.functions import titles as tt
 from clipwright.operators import candidates as cd
 from clipwright.operators import captions as cp
+from clipwright.operators import framing as fr
 from clipwright.operators import intervals as iv
+from clipwright.operators import prompts as pr
 from clipwright.operators import retention as rt
 from clipwright.operators import select as sl
 from clipwright.operators import tracking as tk
@@ -476,3 +479,73 @@ def request_validation(spark, sf_dir):
 @query
 def reply_parse(spark, sf_dir):
     return rp.parsed(rp.staged(st.table(spark, sf_dir, "labels")))
+
+
+@query
+def generated_titles(spark, sf_dir):
+    text = F.col("text")
+    return st.table(spark, sf_dir, "documents").select("doc_id", tt.title(text).alias("title"), F.array_join(tt.tags(text), ",").alias("tags"), tt.fallback_title(F.lit("clip"), text, F.lit(30)).alias("fallback"))
+
+
+@query
+def clean_names(spark, sf_dir):
+    return st.files(spark, sf_dir).select("path", tt.clean_filename(F.col("path")).alias("name"))
+
+
+@query
+def excerpts(spark, sf_dir):
+    return st.table(spark, sf_dir, "documents").select("doc_id", tt.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query
+def prompt_analysis(spark, sf_dir):
+    found = pr.analysed(st.prompts(spark, sf_dir))
+    return found.drop("prompt", "themes")
+
+
+@query
+def prompt_focus_tokens(spark, sf_dir):
+    return st.prompts(spark, sf_dir).select("request_id", F.array_join(pr.focus_tokens(F.col("prompt")), ",").alias("tokens"))
+
+
+def prompt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request's score of every clip of its video."""
+    asked = st.prompts(spark, sf_dir).select("request_id", F.col("request_id").alias("video_id"), pr.intent_keywords(F.col("prompt")).alias("keywords"))
+    stop = st.transcript(spark, sf_dir).groupBy("video_id").agg(F.max("end").alias("stop"))
+    return pr.heuristic_scores(clip_texts(spark, sf_dir).join(asked, "video_id").join(stop, "video_id"))
+
+
+@query
+def prompt_heuristic(spark, sf_dir):
+    return prompt_scores(spark, sf_dir).select("request_id", "segment_id", "heuristic")
+
+
+@query
+def prompt_matches(spark, sf_dir):
+    return pr.best_matches(prompt_scores(spark, sf_dir).select("request_id", "segment_id", F.col("heuristic").alias("score")), 3, 3, 0.6, 0.5)
+
+
+@query
+def zoom_plan(spark, sf_dir):
+    found = fr.zoom_plan(fr.composite_boxes(daily(spark, sf_dir), "day"))
+    return rounded(found.select("video_id", "day", "subjects", "zoom", "crop_x", "crop_y", "crop_w", "crop_h"), "zoom")
+
+
+def zooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fr.zoom_plan(fr.composite_boxes(daily(spark, sf_dir), "day")).select("video_id", F.col("day").alias("ts"), "zoom")
+
+
+@query
+def smoothed_zoom(spark, sf_dir):
+    return rounded(fr.smoothed_zoom(zooms(spark, sf_dir)), "zoom")
+
+
+@query
+def zoom_quality(spark, sf_dir):
+    return rounded(fr.zoom_quality(zooms(spark, sf_dir)), "stability")
+
+
+@query
+def gaussian_crops(spark, sf_dir):
+    crops = tk.weighted_crops(daily(spark, sf_dir), "day").withColumnRenamed("day", "ts")
+    return rounded(fr.gaussian_smoothed(crops, ["x1", "y1"], 0.5), "x1", "y1")

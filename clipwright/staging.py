@@ -125,3 +125,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 23 == 0, "other").when(key % 5 == 0, "openai").otherwise("ollama").alias("llm_provider"),
         (key % 2300 - 50).cast("int").alias("overlay_x"),
     )
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, prompt): what the first turn of each conversation says, after one of seven requests."""
+    asked = (
+        "Show me a few funny moments", "The most dramatic turning point, in detail", "Many short clips that explain how to learn this", "The 5000 mAh battery and 120 Hz display of the X200 in 4k",
+        "Quick action and movement, visual only", "Touching people, please", "Anything",
+    )
+    first = table(spark, sf_dir, "conversations").where("turn = 0")
+    ask = F.element_at(F.array(*[F.lit(a) for a in asked]), (F.col("conv_id") % len(asked) + 1).cast("int"))
+    return first.select(F.col("conv_id").alias("request_id"), F.concat_ws(". ", ask, "text").alias("prompt"))

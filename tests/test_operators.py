@@ -217,3 +217,52 @@ def test_all_candidates_are_in_range(spark, sf):
     found = candidates.numbered(candidates.all_candidates(lines, staging.breaks(spark, sf), videos, 15, 30)).join(videos.select("video_id", "duration"), "video_id")
     assert found.count() > 100
     assert found.where("seg_start < 0 or seg_end > duration or seg_end - seg_start < 15 or seg_end - seg_start > 30").count() == 0
+
+
+def test_titles_and_highlights(spark):
+    from clipwright.functions import titles as tt
+
+    text = "This secret trick is amazing. Nothing here. Do you want to learn it? Short. It is shocking to discover this. Plain words follow here"
+    t = F.col("t")
+    row = spark.createDataFrame([(text,)], "t string").select(tt.highlights(t).alias("h"), tt.key_phrases(t).alias("k"), tt.title(t).alias("title"), tt.tags(t).alias("tags"), tt.hashtags(F.lit("#One two #one #Three")).alias("hash"), tt.clean_filename(F.lit("/a/my_clip-1080p.final.mp4")).alias("name"), tt.cleaned_reply(F.lit('{"title": "**A  b**"}')).alias("reply"), tt.cleaned_reply(F.lit('"Title: C"')).alias("label")).first()
+    assert row["h"] == ["This secret trick is amazing", "It is shocking to discover this", "Do you want to learn it? Short"]
+    assert row["k"] == ["This secret trick is amazing", "It is shocking to discover this", "Do you want to learn it? Short"]
+    assert row["title"] == "This Will Blow Your Mind: This secret trick is amazing"
+    assert row["tags"] == ["learn", "tutorial", "education", "howto", "tips", "viral", "trending", "amazing", "mustwatch", "interactive"]
+    assert (row["hash"], row["name"], row["reply"], row["label"]) == (["one", "three"], "My Clip Final", "A b", "C")
+
+
+def test_prompts(spark):
+    from clipwright.operators import prompts as pr
+
+    rows = [(1, "Show the dramatic climax scenes"), (2, "make me laugh"), (3, "120 Hz display, 5,000 mAh on the X200 in 4k"), (4, "Anna Berg and the hat"), (5, "an emotional part")]
+    table = spark.createDataFrame(rows, "request_id int, prompt string")
+    found = {r["request_id"]: r for r in pr.analysed(table).collect()}
+    assert found[1]["climax"] and found[2]["comedy"] and found[2]["theme"] == "comedy" and not found[5]["climax"] and found[5]["theme"] == "emotional"
+    tokens = {r["request_id"]: r["t"] for r in table.select("request_id", pr.focus_tokens(F.col("prompt")).alias("t")).collect()}
+    assert tokens[3] == ["120hz", "5000mah", "display", "x200"] and tokens[2] == []
+    names = spark.createDataFrame([("Anna Berg",), ("Bob Hat",), ("Carl",)], "entity string")
+    assert {(r["request_id"], r["entity"]) for r in pr.mentioned(table, names).collect()} == {(4, "Anna Berg"), (4, "Bob Hat")}
+    scores = spark.createDataFrame([(1, 3, 0.1), (1, 0, 0.9), (2, 1, 0.2), (3, 1, 0.3), (4, 0, 0.9), (5, 2, 0.0)], "request_id int, matches int, score double")
+    assert {r["request_id"]: r["threshold"] for r in pr.dynamic_threshold(scores).collect()} == {1: 0.3, 2: 0.55, 3: 0.45, 4: 0.6, 5: 0.4}
+
+
+def test_framing_folds(spark):
+    from clipwright.operators import framing as fr
+
+    zooms = [1.0, 3.0, 1.0, 1.0, 2.0]
+    table = spark.createDataFrame([(1, i, z) for i, z in enumerate(zooms)], "video_id int, ts int, zoom double")
+    got = [r["zoom"] for r in fr.smoothed_zoom(table, 0.1).orderBy("ts").collect()]
+    mean = [np.mean(zooms[max(0, i - 1) : i + 2]) for i in range(5)]
+    want = [mean[0]]
+    for m in mean[1:]:
+        want.append(min(max(m, want[-1] - 0.1), want[-1] + 0.1))
+    assert np.allclose(got, want)
+    smooth = [r["zoom"] for r in fr.gaussian_smoothed(table, ["zoom"], 0.7).orderBy("ts").collect()]
+    radius = int(4 * 0.7 + 0.5)
+    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / 0.7) ** 2)
+    padded = np.pad(zooms, radius, mode="symmetric")
+    assert np.allclose(smooth, np.convolve(padded, kernel / kernel.sum(), "valid"))
+    frames = spark.createDataFrame([(1, 1, 8.0, "action", 2, True, False), (1, 1, 4.0, "slides", 0, False, True), (1, 1, 6.0, "action", 1, False, False)], "video_id int, segment_id int, visual_interest double, scene_type string, people_count int, has_action boolean, has_emotion boolean")
+    row = fr.aggregated_vision(frames).first()
+    assert row["scene_type"] == "action" and abs(row["visual_score"] - min(1.0, 0.6 + 0.05 + 0.12 + 0.1 + 0.05 + 0.03 + 0.05)) < 1e-9
