@@ -382,3 +382,32 @@ select request_id, segment_id, round(least(1.0::double, least(1.0::double, len(l
     "zoom_quality": f"""with {DETECTIONS},{DAILY},{ZOOM}, r as (select video_id, abs(zoom - lag(zoom) over w) / (day - lag(day) over w) as rate from p window w as (partition by video_id order by day))
 select video_id, round(1 - least(coalesce(max(rate), 0) / 0.5, 1), 4) as stability, 1 - least(coalesce(max(rate), 0) / 0.5, 1) < 0.8 as too_fast from r group by video_id""",
 }
+
+CLIMAX = f"""
+smooth as (select video_id, start, "end", coalesce((lag(intensity) over w + intensity + lead(intensity) over w) / 3, intensity) as intensity from intense window w as (partition by video_id order by seg_idx)),
+joined as (select c.*, coalesce((select avg(intensity) from smooth s where s.video_id = c.video_id and s.start < seg_end and s."end" > seg_start), 0) as intensity, stop, (seg_start + seg_end) / 2 / stop as place
+  from scored c join (select video_id, max("end") as stop from smooth group by video_id) using (video_id)),
+climax as (select *, greatest(0, intensity * 0.25::double + greatest(0, 1 - abs(place - 0.75) * 2) * 0.2::double + quality_score * 0.15::double
+  + case when d between 30 and 90 then 1.0 when d between 20 and 120 then 0.8 when d between 15 and 150 then 0.6 else 0.3 end * 0.1
+  + case when place > 0.92 or {hits('text', lx.CREDITS)} >= 2 then -0.9 when place > 0.9 then -0.7 when place > 0.87 then -0.4 else 0 end
+  + case when place between 0.6 and 0.8 then 0.15 when place between 0.5 and 0.85 then 0.1 else 0 end) as climax_score from joined)"""
+
+SQL |= {
+    "climax_scores": f"with {_C},{SCORED},{INTENSITY},{CLIMAX} select video_id, segment_id, round(intensity, 4) as intensity, round(climax_score, 4) as climax_score from climax",
+    "climax_top": f"""with {_C},{SCORED},{INTENSITY},{CLIMAX}, p as (select *, row_number() over (partition by video_id order by climax_score desc, segment_id) as p from climax),
+k as (select *, row_number() over (partition by video_id order by climax_score desc, segment_id)::int as place_ from p where p <= 6 and climax_score > 0.4 and intensity * 4 > 0.3)
+select video_id, segment_id, place_ as place, round(climax_score, 4) as climax_score from k where place_ <= 3""",
+    "segment_summary": f"""with {_C},{SCORED} select video_id, count(*) as segments, sum(d) as total_duration, min(d) as shortest, max(d) as longest, round(avg(quality_score), 6) as mean_quality, round(avg(engagement_score), 6) as mean_engagement,
+  count(*) filter (quality_score > 0.7) as high, count(*) filter (quality_score between 0.4 and 0.7) as medium, count(*) filter (quality_score < 0.4) as low, count(distinct {clip_type('text')}) as content_types from scored group by video_id""",
+    "content_type_counts": f"with {_C} select video_id, {clip_type('text')} as content_type, count(*) as segments from clip_texts group by all",
+    "sampled_candidates": f"""with {_T},{CLIPS}, r as (select *, row_number() over (partition by video_id order by seg_start, seg_end, segment_id) - 1 as i, greatest(1, floor(count(*) over (partition by video_id) / 10.0)) as k from clips)
+select video_id, segment_id from r where i % k = 0 and i / k < 10""",
+    "primary_subjects": f"with {DETECTIONS},{DAILY} select video_id, day, det_id, place from (select *, row_number() over (partition by video_id, day order by relevance desc, confidence desc, half desc, det_id)::int as place from daily) where place <= 3",
+    "frame_layouts": f"""with {DETECTIONS},{DAILY}, r as (select *, row_number() over (partition by video_id, day order by confidence desc, x1, det_id) as r from daily),
+s as (select video_id, day, list_sort(list((x1, det_id))) as s, avg(confidence) as c, count(*) as n from r where r <= 2 group by all)
+select video_id, day, case when n = 1 then 'single_speaker' else 'split_screen' end as layout, s[1][2] as left_id, case when n = 2 then s[2][2] end as right_id, round(c, 6) as confidence from s""",
+    "smoothed_speakers": f"""with {DETECTIONS}, k as (select *, floor(cx / 100.0)::bigint || '_' || floor(cy / 100.0)::bigint as speaker from detections),
+n as (select *, row_number() over (partition by video_id, speaker order by ts, det_id) as i from k),
+j as (select a.video_id, a.speaker, a.det_id, b.x1, b.y1, b.x2, b.y2, b.i - greatest(a.i - 4, 1) + 1 as w from n a join n b on a.video_id = b.video_id and a.speaker = b.speaker and b.i between a.i - 4 and a.i)
+select video_id, speaker, det_id, floor(sum(x1 * w) / sum(w)::double)::bigint as s_x1, floor(sum(y1 * w) / sum(w)::double)::bigint as s_y1, floor(sum(x2 * w) / sum(w)::double)::bigint as s_x2, floor(sum(y2 * w) / sum(w)::double)::bigint as s_y2 from j group by all""",
+}

@@ -16,6 +16,7 @@ from clipwright.operators import captions as cp
 from clipwright.operators import framing as fr
 from clipwright.operators import intervals as iv
 from clipwright.operators import prompts as pr
+from clipwright.operators import reports as rs
 from clipwright.operators import retention as rt
 from clipwright.operators import select as sl
 from clipwright.operators import tracking as tk
@@ -549,3 +550,53 @@ def zoom_quality(spark, sf_dir):
 def gaussian_crops(spark, sf_dir):
     crops = tk.weighted_crops(daily(spark, sf_dir), "day").withColumnRenamed("day", "ts")
     return rounded(fr.gaussian_smoothed(crops, ["x1", "y1"], 0.5), "x1", "y1")
+
+
+def climaxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.climax_scores(scored_clips(spark, sf_dir), wd.smoothed_intensity(st.transcript(spark, sf_dir)))
+
+
+@query
+def climax_scores(spark, sf_dir):
+    return rounded(climaxes(spark, sf_dir).select("video_id", "segment_id", "intensity", "climax_score"), "intensity", "climax_score")
+
+
+@query
+def climax_top(spark, sf_dir):
+    scored = climaxes(spark, sf_dir).withColumn("intensity", F.col("intensity") * 4)
+    return rounded(rs.climax_top(scored, 3).select("video_id", "segment_id", "place", "climax_score"), "climax_score")
+
+
+@query
+def seeded_variation(spark, sf_dir):
+    return rs.varied(scored_clips(spark, sf_dir)).select("video_id", "segment_id", "tier")
+
+
+@query
+def segment_summary(spark, sf_dir):
+    return rounded(rs.segment_summary(scored_clips(spark, sf_dir)), "mean_quality", "mean_engagement", places=6)
+
+
+@query
+def content_type_counts(spark, sf_dir):
+    return rs.type_counts(scored_clips(spark, sf_dir))
+
+
+@query
+def sampled_candidates(spark, sf_dir):
+    return rs.every_kth(clips(spark, sf_dir), 10).select("video_id", "segment_id")
+
+
+@query
+def primary_subjects(spark, sf_dir):
+    return rs.primary_subjects(daily(spark, sf_dir), "day").select("video_id", "day", "det_id", "place")
+
+
+@query
+def frame_layouts(spark, sf_dir):
+    return rounded(rs.frame_layouts(daily(spark, sf_dir), "day"), "confidence", places=6)
+
+
+@query
+def smoothed_speakers(spark, sf_dir):
+    return rs.smoothed_speakers(st.detections(spark, sf_dir))
