@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,18 +25,19 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, "^\\s+|\\s+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)`, with `value` computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hits(text: Column, lexicon: Sequence[str]) -> Column:
     """How many words of the lexicon occur in the lower-cased text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return sum((low.contains(w).cast("int") for w in lexicon[1:]), low.contains(lexicon[0]).cast("int"))
+    count = lambda low: sum((low.contains(w).cast("int") for w in lexicon[1:]), low.contains(lexicon[0]).cast("int"))
+    return let(F.lower(F.coalesce(text, F.lit(""))), count)
 
 
 def any_of(text: Column, lexicon: Sequence[str]) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    out = low.contains(lexicon[0])
-    for w in lexicon[1:]:
-        out = out | low.contains(w)
-    return out
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: reduce(lambda a, w: a | low.contains(w), lexicon[1:], low.contains(lexicon[0])))
 
 
 def occurrences(text: Column, sign: str) -> Column:
@@ -117,8 +119,7 @@ def speech_type(text: Column) -> Column:
 def best_label(text: Column, groups: dict[str, Sequence[str]], default: str) -> Column:
     """The group with most hits; the first of equal ones; `default` without any."""
     scored = F.array(*[F.struct(hits(text, lexicon).alias("n"), F.lit(-i).alias("first"), F.lit(label).alias("label")) for i, (label, lexicon) in enumerate(groups.items())])
-    best = F.array_max(scored)
-    return F.when(best["n"] > 0, best["label"]).otherwise(default)
+    return let(F.array_max(scored), lambda best: F.when(best["n"] > 0, best["label"]).otherwise(default))
 
 
 def emotional_intensity(text: Column) -> Column:
@@ -170,14 +171,16 @@ def optimization_score(text: Column, viral: Column, duration: Column, quality: C
 
 
 def audience(text: Column) -> Column:
-    out = None
+    def of_category(category: Column) -> Column:
+        out = F.when(F.lit(False), "general")
+        for label, target in lx.CATEGORY_AUDIENCE.items():
+            out = out.when(category == label, target)
+        return out.otherwise("general")
+
+    out = F.when(F.lit(False), "general")
     for label, lexicon in lx.AUDIENCES.items():
-        out = any_rule = F.when(any_of(text, lexicon), label) if out is None else out.when(any_of(text, lexicon), label)
-    category = best_label(text, lx.CATEGORIES, "general")
-    for label, target in lx.CATEGORY_AUDIENCE.items():
-        out = any_rule.when(category == label, target)
-        any_rule = out
-    return out.otherwise("general")
+        out = out.when(any_of(text, lexicon), label)
+    return out.otherwise(let(best_label(text, lx.CATEGORIES, "general"), of_category))
 
 
 def start_quality(text: Column, sentence_start: Column, pause_before: Column) -> Column:

@@ -10,27 +10,31 @@ from clipwright.functions.text import srt_time, words, wrapped_caption
 
 
 def timed_words(transcript: DataFrame) -> DataFrame:
-    """Lines with their words spread evenly over them."""
+    """Lines with their words spread evenly over them; lines without words are left out."""
     w = words(F.col("text"))
-    each = (F.col("end") - F.col("start")) / F.greatest(F.size(w), F.lit(1))
-    spread = F.transform(w, lambda x, i: F.struct(x.alias("word"), (F.col("start") + i * each).alias("start"), (F.col("start") + (i + 1) * each).alias("end")))
-    return transcript.select("video_id", "seg_idx", spread.alias("words"))
+    rows = transcript.select("video_id", "seg_idx", "start", "end", F.posexplode(w).alias("i", "word"))
+    each = (F.col("end") - F.col("start")) / F.count("*").over(Window.partitionBy("video_id", "seg_idx"))
+    rows = rows.withColumn("each", each)
+    word = F.struct("i", F.struct("word", (F.col("start") + F.col("i") * F.col("each")).alias("start"), (F.col("start") + (F.col("i") + 1) * F.col("each")).alias("end")).alias("w"))
+    found = rows.groupBy("video_id", "seg_idx").agg(F.array_sort(F.collect_list(word)).alias("ws"))
+    return found.select("video_id", "seg_idx", F.transform("ws", lambda x: x["w"]).alias("words"))
 
 
 def chunks(timed: DataFrame, most: int = 4) -> DataFrame:
-    """Words in chunks that end after `most` words or at a closing sign: a row per chunk."""
-    kind = timed.schema["words"].dataType.simpleString()
-    zero = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.array().cast(kind).alias("open"))
-
-    def put(state, word):
-        open_ = F.array_append(state["open"], word)
-        full = (F.size(open_) >= most) | word["word"].rlike("[.!?,]$")
-        return F.struct(F.when(full, F.array_append(state["done"], open_)).otherwise(state["done"]).alias("done"), F.when(full, F.array().cast(kind)).otherwise(open_).alias("open"))
-
-    folded = F.aggregate("words", zero, put, lambda s: F.when(F.size(s["open"]) > 0, F.array_append(s["done"], s["open"])).otherwise(s["done"]))
-    rows = timed.select("video_id", "seg_idx", F.posexplode(folded).alias("chunk", "w"))
-    text = F.array_join(F.transform("w", lambda x: x["word"]), " ")
-    return rows.select("video_id", "seg_idx", "chunk", text.alias("text"), F.element_at("w", 1)["start"].alias("start"), F.element_at("w", -1)["end"].alias("end"), F.size("w").alias("n_words"))
+    """Words in chunks that end after `most` words or at a closing sign: a row per chunk.
+
+    A closing sign starts the count anew, so a chunk is known by the closing words before it and
+    the place since the last of them.
+    """
+    line = Window.partitionBy("video_id", "seg_idx").orderBy("i")
+    rows = timed.select("video_id", "seg_idx", F.posexplode("words").alias("i", "w")).withColumn("closes", F.col("w.word").rlike("[.!?,]$").cast("int"))
+    rows = rows.withColumn("run", F.coalesce(F.sum("closes").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("video_id", "seg_idx", "run").orderBy("i"))
+    rows = rows.withColumn("part", F.floor((place - 1) / most))
+    found = rows.groupBy("video_id", "seg_idx", "run", "part").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("ws"))
+    number = F.row_number().over(Window.partitionBy("video_id", "seg_idx").orderBy("run", "part")) - 1
+    text = F.array_join(F.transform("ws", lambda x: x["w"]["word"]), " ")
+    return found.select("video_id", "seg_idx", number.alias("chunk"), text.alias("text"), F.element_at("ws", 1)["w"]["start"].alias("start"), F.element_at("ws", -1)["w"]["end"].alias("end"), F.size("ws").alias("n_words"))
 
 
 def typewriter(chunked: DataFrame) -> DataFrame:
