@@ -21,6 +21,12 @@ def prose_weight(text: Column) -> Column:
     return F.coalesce(F.when(n > 0, 1.0 / (1.0 + 20.0 * signs / n)), F.lit(1.0))
 
 
+def row_key() -> Column:
+    """What stands for the doc_id of a row that has none: a hash of its text and source; null for other rows."""
+    parts = [x for c in ("text", "source") for x in (F.col(c).isNull(), F.col(c))]
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(*parts))
+
+
 def source_targets(sizes: DataFrame, shares: Sequence[float] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """Targets of all sources, from a row per source (source, source_size).
 
@@ -54,7 +60,8 @@ def mix_sources(
 ) -> DataFrame:
     """How often a mix takes each document: one row per row of `docs` (doc_id, text, source).
 
-    Returns doc_id, size (words), source_size, target, epochs, picked and taken. Every document of a
+    Returns doc_id, size (words), source_size, target, epochs, picked, taken and row_key, which stands
+    for the doc_id of rows that have none (`row_key`). Every document of a
     source is taken whole `epochs` times; for what remains of the target, documents are drawn
     without replacement by exponential keys -ln(u) / weight, smallest first, as long as half of
     the document still fits. `passed_over` times, the document that ended this is passed over, so
@@ -77,6 +84,7 @@ def mix_sources(
             word_count(F.col("text")).alias("size"),
             (-F.log(uniform(seed, F.col("doc_id"))) / weight).alias("_key"),
             F.xxhash64("text").alias("_tie"),
+            row_key().alias("row_key"),
         ).withColumn("_at", F.col("_key") / (1.0 + F.col("_key")))
     )
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), shares, max_epochs)
@@ -95,15 +103,25 @@ def mix_sources(
         joined = joined.withColumn("before", F.coalesce(moved, F.col("before")))
         joined = joined.withColumn("picked", F.col("picked") | fits).drop("_from", "_gone")
     taken = F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))
-    return joined.select("doc_id", "size", "source_size", "target", "epochs", "picked", taken.alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", "epochs", "picked", taken.alias("taken"), "row_key")
 
 
 def apply_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
     """The rows of `docs`, each as often as `mix` takes it.
 
-    Rows that repeat a doc_id are taken as one document, as often as the first of them. Documents
-    without words, which no budget counts, stay as they are in every complete epoch.
+    Rows that repeat a doc_id are taken as one document, as often as the first of them. Rows without
+    doc_id are found by their text and source; of those alike in both, as many are taken as the
+    mix takes of them together. Documents without words, which no budget counts, stay as they
+    are in every complete epoch.
     """
-    times = mix.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("epochs") + F.col("picked").cast("long")).cast("int").alias("_times")).where("_times > 0")
-    own = [docs[c] for c in docs.columns]
-    return docs.join(times, docs["doc_id"] == times["doc_id"]).select(*own, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+    once = (F.col("epochs") + F.col("picked").cast("long")).alias("_once")
+    times = mix.select("doc_id", "row_key", once).groupBy("doc_id", "row_key").agg(F.max("_once").alias("_most"), F.min("_once").alias("_least"), F.sum("_once").alias("_sum"), F.count("*").alias("_rows"))
+    times = times.where("_most > 0").withColumnRenamed("row_key", "_row_key")
+    joined = join_nulls(docs.withColumn("_row_key", row_key()), times, ["doc_id", "_row_key"])
+    # only where a source's target ends between rows that are alike do these have to be counted
+    uneven = F.col("doc_id").isNull() & (F.col("_most") > F.col("_least"))
+    place = F.row_number().over(Window.partitionBy("_row_key").orderBy(F.lit(1)))
+    each = F.floor(F.col("_sum") / F.col("_rows"))
+    counted = joined.where(uneven).withColumn("_times", each + (place <= F.col("_sum") - each * F.col("_rows")).cast("long"))
+    taken = joined.where(~uneven).withColumn("_times", F.col("_most")).unionAll(counted).where("_times > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_time")).drop("_time")

@@ -126,3 +126,15 @@ def test_running_sum_in_many_buckets(spark):
         for _, at, i, v in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])):
             assert found[i] == total
             total += v
+
+
+def test_apply_mix_takes_rows_without_doc_id(spark):
+    rows = [(None, f"a{i} b{i}", "x", "k", "l") for i in range(20)] + [(None, "same words", "y", "k", str(i)) for i in range(7)] + [(1, "c d", "y", "k", "l"), (None, "same words", None, "k", "l")]
+    table = spark.createDataFrame(rows, SCHEMA)
+    mix = mixing.mix_sources(table, shares=(1, 3, 1), max_epochs=3)
+    out = mixing.apply_mix(table, mix)
+    assert out.columns == table.columns
+    assert out.count() == sum(r["epochs"] + r["picked"] for r in mix.collect())
+    want = sum(r["epochs"] + r["picked"] for r in mix.where("doc_id is null").collect())
+    assert out.where("doc_id is null").count() == want > 0
+    assert any(r["picked"] != s["picked"] for r in mix.collect() for s in mix.collect() if r["row_key"] == s["row_key"] and r["doc_id"] is None is s["doc_id"])
