@@ -168,14 +168,21 @@ def merged_breaks(breaks: DataFrame, gap: float = 2.0) -> DataFrame:
 
 
 def resolved_overlaps(segments: DataFrame) -> DataFrame:
-    """By start, overlapping neighbours are split in the middle of what they share."""
+    """By start, each segment that begins before the last one's end is split from it in the middle of what the two share.
+
+    The last one is taken as earlier splits have left it, and what is shared ends with the segment that
+    ends first, so a segment within another one takes the second half of its own length and the
+    outer one ends there. No segment is dropped and none ends before it starts; the results don't
+    overlap, but a segment of no length left (one within rows of equal start) has start = end.
+    """
     columns = ["segment_id", "seg_start", "seg_end"]
 
     def step(kept: Column, row: Column) -> Column:
         last = F.element_at(kept, -1)
-        middle = (last["seg_end"] + row["seg_start"]) / 2
+        start = F.greatest(last["seg_start"], row["seg_start"])
+        middle = (start + F.greatest(start, F.least(last["seg_end"], row["seg_end"]))) / 2
         rest = F.slice(kept, 1, F.size(kept) - 1)
-        split = F.array_append(F.array_append(rest, last.withField("seg_end", middle)), row.withField("seg_start", middle))
+        split = F.array_append(F.array_append(rest, last.withField("seg_end", middle)), row.withField("seg_start", middle).withField("seg_end", F.greatest(middle, row["seg_end"])))
         return F.when(row["seg_start"] < last["seg_end"], split).otherwise(F.array_append(kept, row))
 
     return _fold(segments, columns, ["seg_start", "seg_end", "segment_id"], _guarded(step))

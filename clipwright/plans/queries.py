@@ -328,7 +328,7 @@ def near_duplicates_merged(spark, sf_dir):
 
 @query
 def resolved_overlaps(spark, sf_dir):
-    return sl.resolved_overlaps(clips(spark, sf_dir).where("segment_id % 3 = 1"))
+    return sl.resolved_overlaps(clips(spark, sf_dir))
 
 
 @query

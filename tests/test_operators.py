@@ -266,3 +266,19 @@ def test_framing_folds(spark):
     frames = spark.createDataFrame([(1, 1, 8.0, "action", 2, True, False), (1, 1, 4.0, "slides", 0, False, True), (1, 1, 6.0, "action", 1, False, False)], "video_id int, segment_id int, visual_interest double, scene_type string, people_count int, has_action boolean, has_emotion boolean")
     row = fr.aggregated_vision(frames).first()
     assert row["scene_type"] == "action" and abs(row["visual_score"] - min(1.0, 0.6 + 0.05 + 0.12 + 0.1 + 0.05 + 0.03 + 0.05)) < 1e-9
+
+
+def test_resolved_overlaps_dense_and_nested(spark):
+    import __spark_entry__ as entry
+    from clipwright.plans import queries
+
+    rows = [(1, 1, 0.0, 10.0), (1, 2, 8.0, 20.0), (2, 1, 0.0, 100.0), (2, 2, 10.0, 20.0), (2, 3, 12.0, 14.0), (2, 4, 13.0, 60.0), (3, 1, 0.0, 8.0), (3, 2, 0.0, 8.0), (3, 3, 0.0, 8.0), (3, 4, 8.0, 9.0)]
+    table = spark.createDataFrame(rows, "video_id int, segment_id int, seg_start double, seg_end double")
+    got = {(r["video_id"], r["segment_id"]): (r["seg_start"], r["seg_end"]) for r in select.resolved_overlaps(table).collect()}
+    assert got[1, 1] == (0.0, 9.0) and got[1, 2] == (9.0, 20.0)
+    assert got[2, 1] == (0.0, 15.0) and got[2, 2][0] == 15.0
+    assert set(got) == {r[:2] for r in rows}
+    for a, b in [(k, (k[0], k[1] + 1)) for k in got if (k[0], k[1] + 1) in got]:
+        assert got[a][0] <= got[a][1] <= got[b][0] <= got[b][1]
+    folder = "/root/testdata/sf0.001"
+    assert entry.queries()["resolved_overlaps"](spark, folder).count() == queries.clips(spark, folder).count()
