@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,13 +21,65 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def search(vectors: DataFrame, references: DataFrame, least: float = 0.75, most: int = 10) -> DataFrame:
+def _best(rows: list[pa.Table], least: float, most: int) -> pa.RecordBatch:
+    """The `most` best vectors of one piece for each reference of one block."""
+    table = pa.concat_tables(rows)
+    is_ref, ids = table["ref"].to_numpy(), table["id"].to_numpy()
+    out: list[tuple[np.ndarray, ...]] = []
+    if is_ref.any() and not is_ref.all():
+        x = np.stack(table["v"].to_numpy())
+        refs, vecs, ref_ids, vec_ids = x[is_ref], x[~is_ref], ids[is_ref], ids[~is_ref]
+        norms = np.sqrt((refs**2).sum(1))[:, None] * np.sqrt((vecs**2).sum(1))[None, :]
+        cos = np.divide(refs @ vecs.T, norms, out=np.zeros_like(norms), where=norms > 0)
+        scores = np.sign(cos) * np.floor(np.abs(cos) * 1000 + 0.5) / 1000
+        for i, row in enumerate(scores):
+            near = np.flatnonzero(row >= least)
+            near = near[np.lexsort((vec_ids[near], -row[near]))[:most]]
+            out.append((np.full(len(near), ref_ids[i]), vec_ids[near], row[near]))
+    columns = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, kind) for c, kind in enumerate((np.int64, np.int64, np.float64))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ref_id", "vec_id", "score"])
+
+
+def _search(least: float, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(edges, edges[1:]):
+                if start == stop:
+                    continue
+                if (key := tuple(keys[:, start])) != now and held:
+                    yield _best(held, least, most)
+                    held = []
+                now = key
+                held.append(pa.Table.from_batches([batch.slice(start, stop - start)]))
+        if held:
+            yield _best(held, least, most)
+
+    return run
+
+
+def search(vectors: DataFrame, references: DataFrame, least: float = 0.75, most: int = 10, block: int = 512, piece: int = 4_096) -> DataFrame:
     """The vectors nearest to each reference (ref_id, ref), `most` at most, of a cosine of `least` or more.
 
-    References are the short list that a user asks for; each is compared with every vector in
-    a scan of the vectors.
+    References are dealt to blocks of about `block`, vectors to pieces of about `piece`; each pair of
+    block and piece is a task's work of its own, which gives the best of the piece for each
+    reference. These are merged by reference. Ids are integers; rows without a vector match nothing.
     """
-    met = vectors.join(references, F.lit(True)).withColumn("score", F.round(cosine(F.col("embedding"), F.col("ref")), 3)).where(F.col("score") >= least)
+    vectors = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    references = references.where("ref_id is not null and ref is not null").select(F.col("ref_id").cast("long").alias("id"), F.col("ref").cast("array<double>").alias("v"))
+    pieces, blocks = (max(1, -(-df.count() // size)) for df, size in ((vectors, piece), (references, block)))
+
+    def dealt(n: int) -> Column:
+        # v tells rows apart that repeat an id
+        return F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = references.withColumn("block", dealt(blocks)).select("block", every(pieces).alias("piece"), F.lit(True).alias("ref"), "id", "v")
+    right = vectors.withColumn("piece", dealt(pieces)).select(every(blocks).alias("block"), "piece", F.lit(False).alias("ref"), "id", "v")
+    work = left.unionAll(right).repartition("block", "piece").sortWithinPartitions("block", "piece")
+    met = work.mapInArrow(_search(least, most), "ref_id long, vec_id long, score double")
     w = Window.partitionBy("ref_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("ref_id", "vec_id", "score", "place")
 

@@ -282,3 +282,18 @@ def test_resolved_overlaps_dense_and_nested(spark):
         assert got[a][0] <= got[a][1] <= got[b][0] <= got[b][1]
     folder = "/root/testdata/sf0.001"
     assert entry.queries()["resolved_overlaps"](spark, folder).count() == queries.clips(spark, folder).count()
+
+
+def test_search_in_blocks(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, r.standard_normal(6).tolist()) for i in range(200)] + [(200, [0.0] * 6), (201, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    refs = table.where("vec_id % 5 = 0").selectExpr("vec_id as ref_id", "embedding as ref")
+    x = {i: np.array(v, np.float32).astype(float) for i, v in rows if v}
+    want = []
+    for i in range(0, 200, 5):
+        scored = sorted((-round(float(x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j])), 3), j) for j in range(200))
+        want += [(i, j, -s, k + 1) for k, (s, j) in enumerate(y for y in scored[:4] if -y[0] >= 0.3)]
+    found = vectors.search(table, refs, 0.3, 4, block=7, piece=30)
+    assert sorted(tuple(y) for y in found.collect()) == sorted(want)
+    assert "Cartesian" not in (plan := found._jdf.queryExecution().toString()) and "NestedLoop" not in plan
