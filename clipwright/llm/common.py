@@ -61,6 +61,48 @@ def join_nulls(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(right, [F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()], how).drop(*names.values())
 
 
+def identity(*columns: Column | str) -> Column:
+    """128 bits that rows share which agree in all `columns`, nulls included; rows that don't, by chance never."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))] if all(isinstance(c, str) for c in columns) else [x for c in columns for x in (c.isNull(), c)]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or what it takes to make it differ from all of `df`'s columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def repeated(df: DataFrame, times: str, index: str, piece: int = 10_000) -> DataFrame:
+    """Each row `times` times (one at least), numbered from 0 in `index`.
+
+    A row repeated more than `piece` times is dealt to many tasks. `df` is read twice: pass a cut table.
+    """
+    n = F.col(times)
+    upto = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))
+    few = df.where(n <= piece).withColumn(index, upto(n - 1))
+    at = fresh(df, "_piece")
+    many = df.where(n > piece).withColumn(at, upto(F.floor((n - 1) / piece)))
+    many = many.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn(index, upto(F.least(F.lit(piece), n - F.col(at) * piece) - 1))
+    return few.unionByName(many.withColumn(index, F.col(index) + F.col(at) * piece).drop(at))
+
+
+def numbered(df: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """The rows of `df`, numbered from 0 within `keys` in `place`, in the order of a hash of the whole row.
+
+    Rows alike in all columns are counted before they are shuffled and stand for each other, so that
+    neither they nor a key with very many rows have to pass through one task.
+    """
+    n, at, i = (fresh(df, c) for c in ("_alike", "_hash", "_copy"))
+    position = F.shiftrightunsigned(F.xxhash64(*df.columns), 11) / float(2**53)
+    alike = cut(df.groupBy(*df.columns).agg(F.count("*").alias(n)).withColumn(at, position))
+    placed = cut(running_sum(alike, keys, at, [], n))
+    out = repeated(placed, n, i)
+    return out.select(*df.columns, (F.col("before") + F.col(i)).alias(place))
+
+
 def running_sum(df: DataFrame, group: list[str], position: str, ties: list[str], value: str, rows_per_bucket: int = 5_000) -> DataFrame:
     """Adds `before`: the sum of `value` over the rows of the same group that come earlier.
 

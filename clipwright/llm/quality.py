@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,47 +11,68 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipwright.llm.common import cut, join_nulls, uniform, word_blocks
+from clipwright.llm.common import cut, fresh, identity, join_nulls, uniform, word_blocks
 
 #: Signs that prose seldom holds; fixed values.
 SIGNS = b"#$%&*|!{}<>=~^@_\\"
-FEATURES = ("log_words", "sign_share", "upper_share", "repeat_share", "log_distinct", "mean_length", "digit_share", "end_share")
+SHAPE = ("log_words", "sign_share", "upper_share", "repeat_share", "log_distinct", "mean_length", "digit_share", "end_share")
+#: Slots that words are hashed to.
+WORD_SLOTS = 256
+FEATURES = (*SHAPE, *[f"words_{i}" for i in range(WORD_SLOTS)])
 
 
-def features(text: str | None) -> list[float]:
-    """Shape of a text, in the order of FEATURES; all 0 for null and wordless texts."""
+def features(text: str | None) -> np.ndarray:
+    """Shape and words of a text, in the order of FEATURES; all 0 for null and wordless texts.
+
+    A word counts for the slot of its CRC-32; the slots' counts are scaled to length 1.
+    """
+    out = np.zeros(len(FEATURES))
     if not text or not text.strip():
-        return [0.0] * len(FEATURES)
+        return out
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     words = repeats = 0
-    distinct: set[int] = set()
+    distinct: list[np.ndarray] = []
+    slots = np.zeros(WORD_SLOTS, np.int64)
     for block in word_blocks(text, 1):
-        fresh = len(block) - (words > 0)
-        words += fresh
+        fresh_ones = len(block) - (words > 0)
+        codes = np.fromiter(map(zlib.crc32, block), np.uint32, len(block))
+        slots += np.bincount(codes[len(block) - fresh_ones :] % WORD_SLOTS, minlength=WORD_SLOTS)
+        words += fresh_ones
         repeats += sum(map(bytes.__eq__, block, block[1:]))
-        distinct.update(map(hash, block))
+        distinct.append(np.unique(codes))
     if not words:
-        return [0.0] * len(FEATURES)
+        return out
     counts = np.bincount(raw, minlength=256)
     accented = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)  # capitals of Latin-1 in UTF-8
     upper = counts[ord("A") : ord("Z") + 1].sum() + accented.sum()
-    return [
+    different = len(np.unique(np.concatenate(distinct)))
+    out[: len(SHAPE)] = (
         math.log1p(words),
         counts[list(SIGNS)].sum() / words,
         upper / len(raw),
         repeats / words,
-        math.log1p(len(distinct)) / math.log1p(words),
+        math.log1p(different) / math.log1p(words),
         min(len(raw) / words, 40.0),
         counts[ord("0") : ord("9") + 1].sum() / len(raw),
         counts[list(b".?")].sum() / words,
-    ]
+    )
+    out[len(SHAPE) :] = slots / math.sqrt(float((slots * slots).sum()))
+    return out
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([features(t) for t in batch.column(3).to_pylist()]).reshape(-1, len(FEATURES))
-        columns = [batch.column(i) for i in range(3)] + [pa.array(found[:, i]) for i in range(len(FEATURES))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "host", "path", *FEATURES])
+        found = [features(t).astype(np.float32) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], names=["quality", "x"])
+
+
+def _score_rows(weights: np.ndarray, intercept: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = np.array([features(t) @ weights + intercept for t in batch.column(4).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["row_key", "doc_id", "host", "path", "p_doc"])
+
+    return run
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -88,58 +110,74 @@ def _strength(groups: DataFrame, prior: Column, mu: float) -> float:
     return float(min(max(mu * (1 - mu) / between - 1, 1.0), 1e6))
 
 
+def _key(host: Column | str, path: Column | str) -> Column:
+    return identity(F.col("text"), *[F.col(c) if isinstance(c, str) else c for c in (host, path)])
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
     host: Column | str = "source",
     path: Column | str = "lang",
     threshold: float = 0.5,
-    max_labelled: int = 20_000,
+    max_labelled: int = 10_000,
 ) -> DataFrame:
     """Probability that each row of `docs` (doc_id, text and what `host` and `path` need) is of good quality.
 
-    Returns doc_id, p_doc, host_posterior, path_posterior, p and keep (p >= threshold).
-    `labels` has doc_id and quality (0 or 1; null ones are left out). A logistic regression over
-    the text's shape is fitted to the labelled rows, or as many as a hash of doc_id picks of
-    them with an expected number of `max_labelled`. All rows' p_doc are then summed by host and by path within host. A host's
-    rate is drawn to the overall rate, a path's (without the row itself) to its host's, by strengths estimated
-    from how much hosts and paths differ; a sparse site so has the rate above it. The row's log-odds
+    Returns doc_id, p_doc, host_posterior, path_posterior, p, keep (p >= threshold) and row_key, which
+    rows share that agree in text, host and path. `labels` has doc_id and quality (0 or 1; null ones are left out).
+    A logistic regression over the text's shape and its words is fitted to the labelled rows, or as many as a hash of
+    doc_id picks of them with an expected number of `max_labelled`; only these reach the driver. All rows'
+    p_doc are then summed by host and by path within host. Without the row itself, a host's rate is
+    drawn to the overall rate and a path's to its host's, by strengths estimated from how much hosts
+    and paths differ; a sparse site so has the rate above it, and a row's own evidence counts once. The row's log-odds
     are those of its text plus what its path says beyond the overall rate.
 
     Null hosts and paths are sites like any other. Null and wordless texts have features of 0.
-    Rows that repeat a doc_id are scored each. Without labels of both kinds p_doc is 0.5 and all
-    rows are kept; an empty table gives no rows. Other columns don't matter.
+    Rows that repeat a doc_id are scored each; of a labelled id with several texts the one with the smallest hash is
+    learned from. Without labels of both kinds p_doc is 0.5 and all rows are kept, and so is the overall rate for the only
+    row of a table; an empty table gives no rows. Other columns don't matter.
     """
     column = lambda c: F.col(c) if isinstance(c, str) else c
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = docs.select("doc_id", column(host).cast("string").alias("host"), column(path).cast("string").alias("path"), "text")
-    rows = cut(chosen.mapInArrow(_feature_rows, f"doc_id {kind}, host string, path string, " + ", ".join(f"{f} double" for f in FEATURES)))
 
-    known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
     share = max_labelled / max(1, known.count())
-    sample = rows.dropDuplicates(["doc_id"]).join(known.where(uniform("label", F.col("doc_id")) < share), "doc_id")
-    sample = sample.select("doc_id", "quality", *FEATURES).toPandas().sort_values("doc_id")
-    weights, intercept = fit_logistic(sample[list(FEATURES)].to_numpy(float), sample["quality"].to_numpy(float))
-    z = sum((F.col(f) * float(w) for f, w in zip(FEATURES, weights)), F.lit(intercept))
-    scored = rows.select("doc_id", "host", "path", (1 / (1 + F.exp(-z))).alias("p_doc"))
-
+    sample = docs.select("doc_id", "text").join(known.where(uniform("label", F.col("doc_id")) < share), "doc_id")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), F.length("text")))
+    sample = sample.groupBy("doc_id").agg(F.first("quality").alias("quality"), one.alias("text")).orderBy("doc_id").select("quality", "text")
+    sample = sample.mapInArrow(_feature_rows, "quality double, x array<float>").toPandas()
+    x = np.stack(sample["x"].to_numpy()).astype(float) if len(sample) else np.zeros((0, len(FEATURES)))
+    weights, intercept = fit_logistic(x, sample["quality"].to_numpy(float))
+
+    rows = docs.select(_key(host, path).alias("row_key"), "doc_id", column(host).cast("string").alias("host"), column(path).cast("string").alias("path"), "text")
+    scored = cut(rows.mapInArrow(_score_rows(weights, intercept), f"row_key struct<a:bigint,b:bigint>, doc_id {kind}, host string, path string, p_doc double"))
     spread = F.coalesce(F.var_pop("p_doc"), F.lit(0.0)).alias("v")
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s"), spread))
     hosts = scored.groupBy("host").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s"), spread)
     total, summed = paths.agg(F.sum("n"), F.sum("s")).first()
+    total, summed = total or 0, summed or 0.0
     mu = summed / total if total else 0.5
     strong = _strength(hosts, F.lit(mu), mu)
-    hosts = hosts.select("host", ((F.col("s") + strong * mu) / (F.col("n") + strong)).alias("host_posterior"))
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"))
     paths = join_nulls(paths, hosts, ["host"])
-    fine = _strength(paths, F.col("host_posterior"), mu)
+    fine = _strength(paths, (F.col("host_s") + strong * mu) / (F.col("host_n") + strong), mu)
+
+    own = F.col("p_doc")
+    rest = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(summed) - own) / (total - 1))) if total > 1 else F.lit(0.5)
     joined = join_nulls(scored, paths.drop("v"), ["host", "path"])
-    own = (F.col("s") - F.col("p_doc") + fine * F.col("host_posterior")) / (F.col("n") - 1 + fine)
-    joined = joined.withColumn("path_posterior", own)
-    odds = _logit(F.col("p_doc")) + _logit(F.col("path_posterior")) - _logit(F.lit(mu))
+    joined = joined.withColumn("host_posterior", (F.col("host_s") - own + strong * rest) / (F.col("host_n") - 1 + strong))
+    joined = joined.withColumn("path_posterior", (F.col("s") - own + fine * F.col("host_posterior")) / (F.col("n") - 1 + fine))
+    odds = _logit(own) + _logit(F.col("path_posterior")) - _logit(rest)
     joined = joined.withColumn("p", 1 / (1 + F.exp(-odds)))
-    return joined.select("doc_id", "p_doc", "host_posterior", "path_posterior", "p", (F.col("p") >= threshold).alias("keep"))
+    return joined.select("doc_id", "p_doc", "host_posterior", "path_posterior", "p", (F.col("p") >= threshold).alias("keep"), "row_key")
 
 
-def keep_good(docs: DataFrame, scores: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id isn't rejected in `scores`; rows without doc_id stay."""
-    return docs.join(scores.where("not keep").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def keep_good(docs: DataFrame, scores: DataFrame, host: Column | str = "source", path: Column | str = "lang") -> DataFrame:
+    """The rows of `docs` that aren't rejected in `scores` (row_key, keep), which `score_quality` made with the same `host` and `path`.
+
+    Each row goes by its own text, host and path, so ids may be null or repeated; columns are those of `docs`.
+    """
+    key = fresh(docs, "_key")
+    gone = scores.where("not keep").select(F.col("row_key").alias(key)).distinct()
+    return docs.withColumn(key, _key(host, path)).join(gone, key, "left_anti").select(*docs.columns)

@@ -26,7 +26,7 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,11 @@ def op6_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
 
 
 def op8_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op9_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,11 +103,11 @@ select id as record_id, page as canonical_url, outcome, fid as response_id, fat
     'last-modified: ' || fmod], lambda x: x is not null)), chr(10)) end as headers
 from judged""",
     "op5_source_mixing": """
-with docs as (
+with recursive docs as (
   select doc_id, source,
     case when text is null then 0 else len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) end::bigint as size,
     coalesce(case when length(text) > 0 then 1.0::double / (1.0::double + 20.0::double * (length(text) - length(translate(text, '#$%&*|!{}<>=~^', '')))::double / length(text)::double) end, 1.0::double) as weight,
-    (('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double as u
+    (('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '') || '|' || coalesce(md5(text), '')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double as u
   from documents),
 keyed as (select *, -ln(u) / weight as k from docs),
 sources as (
@@ -121,25 +121,32 @@ levels as (
 targets as (
   select source, source_size, case when cap <= share * (select max(lev) from levels where lev <= full_at) then cap
     else share * (select max(lev) from levels where lev <= full_at) end as target from levels),
-p0 as (
-  select d.doc_id, d.size, t.source, t.source_size, t.target,
+placed as (
+  select d.doc_id, d.size, d.k, t.source, t.source_size, t.target,
     case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end as epochs,
     t.target - epochs * t.source_size as rest,
     coalesce(sum(d.size) over (partition by d.source order by d.k, d.doc_id nulls last rows between unbounded preceding and 1 preceding), 0)::double as before
   from keyed d join targets t on d.source is not distinct from t.source),
-g1 as (select source, min(before) as b, arg_min(size, before) as s from p0 where size > 0 and before + size / 2.0::double > rest and before < rest group by source),
-p1 as (
-  select p.* exclude (before), case when p.before > g.b then p.before - g.s when p.before = g.b then p.rest else p.before end as before,
-    p.size > 0 and p.before + p.size / 2.0::double <= p.rest as had
-  from p0 p left join g1 g on p.source is not distinct from g.source),
-q1 as (select * exclude (had), had or (size > 0 and before + size / 2.0::double <= rest) as had from p1),
-g2 as (select source, min(before) as b, arg_min(size, before) as s from q1 where size > 0 and not had and before < rest group by source),
-p2 as (
-  select p.* exclude (before), case when p.before > g.b then p.before - g.s when p.before = g.b then p.rest else p.before end as before
-  from q1 p left join g2 g on p.source is not distinct from g.source)
-select doc_id, size, source_size, target,
-  (size * (epochs + case when had or (size > 0 and before + size / 2.0::double <= rest) then 1 else 0 end))::bigint as taken
-from p2""",
+stops as (select source, min(before) as stop, any_value(rest) - min(before) as gap from placed where size > 0 and before + size / 2.0::double > rest group by source),
+marked as (
+  select p.*, s.stop, s.gap, size > 0 and (s.stop is null or before < s.stop) as drawn,
+    coalesce(size > 0 and before > s.stop and size <= 2 * s.gap, false) as small
+  from placed p left join stops s on p.source is not distinct from s.source),
+behind as (
+  select *, length(bin(size)) as class,
+    coalesce(sum(size) over (partition by source, length(bin(size)) order by k, doc_id nulls last rows between unbounded preceding and 1 preceding), 0)::double as ahead
+  from marked where small),
+fill(source, class, gap, got) as (
+  select source, 64, gap, 0::double from stops
+  union all
+  select f.source, f.class - 1, f.gap - f.got,
+    (select coalesce(min(case when b.ahead + b.size / 2.0::double > f.gap - f.got then b.ahead end), max(b.ahead + b.size), 0::double)
+     from behind b where b.source is not distinct from f.source and b.class = f.class - 1)
+  from fill f where f.class > 1)
+select doc_id, size, source_size, target, (size * (epochs + case when drawn then 1 else 0 end))::bigint as taken from marked where not small
+union all
+select b.doc_id, b.size, b.source_size, b.target, (b.size * (b.epochs + case when b.ahead < f.got then 1 else 0 end))::bigint
+from behind b join fill f on b.source is not distinct from f.source and b.class = f.class""",
     "op8_benchmark_containment": """
 with words as (
   select 'd' as kind, doc_id as id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
@@ -169,6 +176,6 @@ won as (
     arg_min(k, bid) filter (where k < 24)::int as shard, arg_min(k, bid)::int as grown_shard
   from bids group by n)
 select doc_id, size, text_crc32, 'key' as law, shard, grown_shard,
-  row_number() over (partition by shard order by (('0x' || substr(md5('slot|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double, doc_id nulls last, text_crc32, size) - 1 as slot
+  row_number() over (partition by shard order by (('0x' || substr(md5('slot|' || coalesce(doc_id::varchar, '') || '|' || text_crc32), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double, doc_id nulls last, text_crc32, size) - 1 as slot
 from won""",
 }

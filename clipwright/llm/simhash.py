@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipwright.llm.common import cut, shingles, word_blocks
+from clipwright.llm.common import cut, fresh, identity, shingles, word_blocks
 from clipwright.llm.graph import connected_components
 
 BITS = 64
@@ -34,8 +34,8 @@ def fingerprint(text: str | None, n: int = 3, seed: int = 42) -> int:
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+        found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["row_key", "doc_id", "fp"])
 
 
 class BKTree:
@@ -150,11 +150,22 @@ def near_links(fps: DataFrame, radius: int = 3, tree_size: int = 2_048) -> DataF
     return work.mapInArrow(_search(radius), "a long, b long")
 
 
+def _named(placed: DataFrame, *columns: str) -> DataFrame:
+    """Rows (row_key, doc_id, root, ...) with component_id, the smallest doc_id of their root, and `first`: whether theirs is the row that stands for it.
+
+    That is the row of that doc_id; of several, and where none has a doc_id, the one with the smallest row_key.
+    """
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key"))
+    named = placed.groupBy("root").agg(best.alias("_best"))
+    return placed.join(named, "root").select("doc_id", *columns, F.col("_best.doc_id").alias("component_id"), "row_key", (F.col("row_key") == F.col("_best.row_key")).alias("first"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The near-duplicate class of each row of `docs` (doc_id, text).
 
-    Returns doc_id, fingerprint (16 lower-case hex digits) and component_id, the smallest doc_id
-    that links of `radius` or fewer differing bits reach, itself included. Null and wordless texts
+    Returns doc_id, fingerprint (16 lower-case hex digits), component_id, the smallest doc_id
+    that links of `radius` or fewer differing bits reach, itself included, row_key (what rows alike in
+    all columns share) and first (whether the row stands for its class). Null and wordless texts
     have fingerprint 0 and link like any other. Rows that repeat a doc_id or a text each get a
     row; a null doc_id is never a component_id unless its class has no other. An empty table gives
     no rows; other columns don't matter.
@@ -162,13 +173,16 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     Equal fingerprints are one node, so exact copies cost nothing beyond the grouping.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fps = cut(docs.select("doc_id", "text").mapInArrow(_fingerprint_rows, f"doc_id {kind}, fp long"))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    keyed = docs.select(identity(*docs.columns).alias("row_key"), "doc_id", "text")
+    fps = cut(keyed.mapInArrow(_fingerprint_rows, f"row_key struct<a:bigint,b:bigint>, doc_id {kind}, fp long"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key"))
+    nodes = fps.groupBy("fp").agg(best.alias("best"))
     roots = connected_components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = nodes.join(roots, "fp", "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
+    named = placed.groupBy("root").agg(F.min("best").alias("best"))
+    classes = placed.select("fp", "root").join(named, "root").select("fp", "best")
+    found = fps.join(classes, "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"), "row_key", (F.col("row_key") == F.col("best.row_key")).alias("first"))
 
 
 #: MinHash bands of near_copies: a pair with Jaccard 0.8 shares one of them but for 1 pair in 14,000.
@@ -224,7 +238,7 @@ def _sketch_rows(n: int):
             node = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
             fp = np.array([_simhash_of(s) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(fp), keys], names=["doc_id", "text_hash", "node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(fp), keys], names=["row_key", "doc_id", "node", "fp", "keys"])
 
     return run
 
@@ -250,9 +264,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 3, rounds: int = 3) -> DataFrame:
     """The class of each row of `docs` (doc_id, text) under links of `least` or more Jaccard similarity of distinct `n`-word shingles.
 
-    Returns doc_id, text_hash (XXH64 of the text), component_id, the smallest doc_id of the class (null
-    if it has none), and first_hash, the smallest text_hash of its rows without doc_id. Words have A-Z
-    lower-cased, fewer than `n` are one shingle; wordless and null texts are one class.
+    Returns doc_id, component_id, the smallest doc_id of the class (null if it has none), row_key (what
+    rows alike in all columns share) and first (whether the row stands for its class). Words have A-Z
+    lower-cased, fewer than `n` are one shingle; wordless and null texts are one class. Rows that repeat
+    a doc_id are documents of their own. An empty table gives no rows; other columns don't matter.
 
     Candidates are the links of SimHash fingerprints of the shingles (`near_links`), and the texts that
     share a MinHash band; bit blocks of fingerprints would tell nothing at the 10 bits or so that
@@ -262,8 +277,8 @@ def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 3
     common band are missed, by chance 1 in 14,000 at 0.8 and fewer above.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_sketch_rows(n), f"doc_id {kind}, text_hash long, node long, fp long, keys array<long>")
-    rows = cut(rows)
+    rows = docs.select(identity(*docs.columns).alias("row_key"), "doc_id", "text")
+    rows = cut(rows.mapInArrow(_sketch_rows(n), f"row_key struct<a:bigint,b:bigint>, doc_id {kind}, node long, fp long, keys array<long>"))
     nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -293,30 +308,19 @@ def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 3
             pairs = left.toDF("key", "a", "ra").join(left.toDF("key", "b", "rb"), "key").where("ra < rb").select("a", "b")
         links = cut(links.unionAll(_verified(pairs, sets, least)))
     roots = connected_components(links)
-    placed = cut(rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")))
-    named = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("first_hash"))
-    return placed.join(named, "root").select("doc_id", "text_hash", "component_id", "first_hash")
+    return _named(cut(rows.select("row_key", "doc_id", "node").join(roots, "node", "left").select("row_key", "doc_id", F.coalesce("root", "node").alias("root"))))
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of `docs` that `near_copies` has as the first of their class.
-
-    Rows that repeat a doc_id are one document, of which one row stays. Rows without doc_id go by
-    their text, and only stay if their class has no doc_id at all.
-    """
-    gone = classes.where("doc_id is null and (component_id is not null or text_hash <> first_hash)").select("text_hash").distinct()
-    left = docs.withColumn("_nameless", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    left = left.join(gone, left["_nameless"] == gone["text_hash"], "left_anti").drop("_nameless")
-    return keep_one(left, classes)
-
-
-def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of `docs` without those that `classes` (doc_id, component_id) has under another's doc_id.
+    """The rows of `docs` that stand for their class in `classes` (row_key, first), one for each.
 
-    Rows that repeat a doc_id are one document, of which one row stays. A row without doc_id can't be
-    named by `classes` and goes only if another such row has the same text.
+    `classes` is what `near_duplicates` or `near_copies` gives for the same rows. Ids may be null or repeated: rows are found by all
+    their columns. Of rows alike in all of them one stays; these are counted before they are shuffled.
     """
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return left.withColumn("_nameless", nameless).dropDuplicates(["doc_id", "_nameless"]).drop("_nameless")
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, identity(*docs.columns))
+    kept = cut(classes.where("first").groupBy(F.col("row_key").alias(key)).agg(F.count("*").alias("n")))
+    left = keyed.join(kept.where("n = 1"), key, "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        left = left.unionByName(keyed.join(kept.where("n > 1"), key, "left_semi").dropDuplicates([key]))
+    return left.drop(key)

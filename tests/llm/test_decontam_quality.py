@@ -41,6 +41,34 @@ def test_containment_equals_brute_force(spark):
     assert found == want and (203, 3) in want and (201, 42) in want and (202, 42) not in want
 
 
+def test_items_and_documents_of_one_id_are_their_own(spark):
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, a, "", "", ""), (1, b[:40], "", "", ""), (None, b, "", "", ""), (None, b, "", "", ""), (2, a[:40] + " " + b[:40], "", "", "")], SCHEMA)
+    items = spark.createDataFrame([(7, a), (7, b), (7, b), (None, a)], "item_id long, text string")
+    found = decontam.find_contained(docs, items).select("doc_id", "item_id", "found").collect()
+    assert sorted(found, key=str) == sorted([(1, 7, 16), (1, None, 16), (None, 7, 16)], key=str)
+    kept = decontam.drop_contaminated(docs, decontam.find_contained(docs, items)).collect()
+    assert sorted(r["text"] for r in kept) == sorted([b[:40], a[:40] + " " + b[:40]])
+
+
+def test_sketches_make_the_candidates(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words), "", "", ""), (2, " ".join(words[:58]), "", "", "")], SCHEMA)
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert decontam.find_contained(docs, items).count() == 2
+    monkeypatch.setattr(decontam, "needed", lambda n, threshold: n + 1)  # sketches of nothing
+    assert decontam.find_contained(docs, items).count() == 0
+
+
+def test_a_filter_that_is_full_loses_nothing(spark):
+    r = random.Random(6)
+    items = [(i, " ".join(f"w{r.randrange(900)}" for _ in range(40))) for i in range(50)]
+    docs = [(i, items[i][1] + " and more", "", "", "") for i in range(50)]
+    args = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    full, wide = ({tuple(x) for x in decontam.find_contained(*args, filter_bits=b).drop("text_key").collect()} for b in (4, 20))
+    assert full == wide and len(full) == 50
+
+
 def test_no_items_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", "z")], SCHEMA)
     items = spark.createDataFrame([], "item_id long, text string")
@@ -93,10 +121,32 @@ def test_quality_equals_plain_computation(spark):
     logit = lambda q: math.log(min(max(q, 1e-6), 1 - 1e-6) / (1 - min(max(q, 1e-6), 1 - 1e-6)))
     got = {r["doc_id"]: r for r in found}
     for (i, _, lang, source, _), pi in zip(rows, p):
-        g = by[source, lang]
-        path = (sum(g) - pi + k2 * host[source]) / (len(g) - 1 + k2)
-        final = 1 / (1 + math.exp(-(logit(pi) + logit(path) - logit(mu))))
-        assert abs(got[i]["p"] - final) < 1e-6 and got[i]["keep"] == (got[i]["p"] >= 0.5)
+        # each level without the row itself
+        rest = min(max((p.sum() - pi) / (len(p) - 1), 0), 1)
+        h, g = by[source,], by[source, lang]
+        above = (sum(h) - pi + k1 * rest) / (len(h) - 1 + k1)
+        path = (sum(g) - pi + k2 * above) / (len(g) - 1 + k2)
+        final = 1 / (1 + math.exp(-(logit(pi) + logit(path) - logit(rest))))
+        assert abs(got[i]["p"] - final) < 1e-5 and got[i]["keep"] == (got[i]["p"] >= 0.5)
+
+
+def test_a_row_does_not_speak_for_its_own_site(spark):
+    texts = ["alpha beta gamma delta"] * 30 + ["##a %%b $$c ##d"] * 10
+    rows = [(i, t, "l", "many", "z") for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(40)], "doc_id long, quality int")
+    for text in texts[0], texts[-1]:
+        docs = spark.createDataFrame([*rows, (99, text, "l", "alone", "z")], SCHEMA)
+        alone = next(r for r in quality.score_quality(docs, labels).collect() if r["doc_id"] == 99)
+        assert abs(alone["path_posterior"] - alone["host_posterior"]) < 1e-9 and abs(alone["host_posterior"] - 0.75) < 0.03
+
+
+def test_words_count(spark):
+    r = random.Random(9)
+    good, bad = [f"g{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join(r.choice(good if i % 2 else bad) for _ in range(30)), "l", "s", "z") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 200)], "doc_id long, quality int")
+    found = quality.score_quality(spark.createDataFrame(rows, SCHEMA), labels).where("doc_id >= 200").collect()
+    assert sum(x["keep"] == (x["doc_id"] % 2 == 1) for x in found) >= 0.97 * len(found)
 
 
 def test_quality_without_labels(spark):

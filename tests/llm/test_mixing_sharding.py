@@ -53,6 +53,55 @@ def test_mix_targets_and_taken(spark):
     assert source
 
 
+def test_thousands_of_mixes(spark):
+    """Each source is a mix of its own: what is taken stays within half of its longest document, and follows the rule."""
+    import random
+
+    r = random.Random(12)
+    rows = []
+    for s in range(5000):
+        sizes = [r.choice([1, 7, 100, 120, 900, 5000]) if r.random() < 0.7 else r.randint(1, 3000) for _ in range(r.randint(1, 9))]
+        rows += [(len(rows) + i, n, f"s{s:04d}") for i, n in enumerate(sizes)]
+    table = spark.createDataFrame(rows, "doc_id long, n int, source string").selectExpr("doc_id", "repeat('w ', n) as text", "source")
+    found = defaultdict(list)
+    for x in mixing.mix_sources(table).collect():
+        found[rows[x["doc_id"]][2]].append(x)
+    want = water({s: sum(x["size"] for x in own) for s, own in found.items()})
+    worst = 0.0
+    for s, own in found.items():
+        longest, gap = max(x["size"] for x in own), want[s] - sum(x["taken"] for x in own)
+        assert abs(gap) <= longest / 2 + 1e-6
+        # nothing that was left over is smaller than what is missing
+        assert all(x["size"] >= gap for x in own if not x["picked"])
+        worst = max(worst, abs(gap) / longest)
+    assert len(found) == 5000 and worst > 0.4
+
+
+def test_long_documents_first(spark):
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([(i, "w " * (5000 if i < 3 else 100), "a") for i in range(53)] + [(99, "w " * 44_000, "b")], "doc_id long, text string, source string")
+    # of 64,000 words a gets 1,000, into which none of the three fits that come first
+    found = mixing.mix_sources(table, shares=(1, 63), weight=F.when(F.length("text") > 1000, 1e12).otherwise(1.0)).where("doc_id < 99").collect()
+    assert sum(x["taken"] for x in found) == 1000 and {x["size"] for x in found if x["picked"]} == {100}
+
+
+def test_copies_in_thousands(spark):
+    """A document with very many copies is counted, taken in part and dealt out again."""
+    from pyspark.sql import functions as F
+
+    table = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source"), (F.col("id") % 7).alias("other"))
+    table = table.unionAll(spark.createDataFrame([(1, "w " * 70_000, "b", 0)], table.schema))
+    mix = mixing.mix_sources(table, shares=(1, 3))
+    assert mix.count() == 30_001
+    own = mix.where("doc_id is null").agg(F.sum("taken"), F.first("target")).first()
+    assert abs(own[0] - own[1]) <= 1.5
+    out = mixing.apply_mix(table, mix).where("doc_id is null")
+    assert out.count() == own[0] // 3
+    slots = sharding.assign_shards(table).where("doc_id is null")
+    assert slots.count() == 30_000 and slots.select("slot").distinct().count() == 30_000 and slots.select("shard").distinct().count() == 1
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix_sources(empty).count() == 0
@@ -115,6 +164,18 @@ def test_write_shards(spark, tmp_path):
     assert again.count() == table.count()
 
 
+def test_write_shards_with_null_and_repeated_ids(spark, tmp_path):
+    from collections import Counter
+
+    rows = [(None, "a", 1, "x")] * 30 + [(None, "b", 2, "x")] * 3 + [(4, "a", 3, "x"), (4, "b", 4, "x"), (4, "b", 5, "y"), (5, None, 6, "x"), (5, "", 7, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, slot long, _key string")
+    shards = sharding.assign_shards(table, (1.0,) * 4)
+    sharding.write_shards(table, shards, str(tmp_path / "out"), 10)
+    again = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r["doc_id"], r["text"], r["_key"]) for r in again) == Counter((r[0], r[1], r[3]) for r in rows)
+    assert Counter((r["shard"], r["slot"]) for r in again) == Counter((r["shard"], r["slot"]) for r in shards.collect())
+
+
 def test_running_sum_in_many_buckets(spark):
     from clipwright.llm.common import cut, running_sum
 

@@ -101,17 +101,24 @@ def test_dense_shard_is_cut_into_trees(spark):
 def test_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).count() == 0
-    assert simhash.keep_one(empty, simhash.near_duplicates(empty)).count() == 0
+    assert simhash.keep_first(empty, simhash.near_duplicates(empty)).count() == 0
 
 
-def test_keep_one(spark):
+def test_keep_first(spark):
     rows = [(1, "a b c d", "k", "l"), (2, "a b c d", "k", "l"), (3, "other words in here", "k", "l"), (3, "other words in here", "k", "l"), (None, "nameless text is here", "k", "l"), (None, "nameless text is here", "k", "l")]
     table = spark.createDataFrame(rows, SCHEMA)
-    kept = simhash.keep_one(table, simhash.near_duplicates(table))
+    kept = simhash.keep_first(table, simhash.near_duplicates(table))
     assert kept.columns == table.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3]
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rows = [(1, "first text of the four", "k", "l"), (1, "quite another one it is", "k", "l"), (1, "quite another one it is", "k", "m"), (None, "first text of the four", "k", "l"), (2, "first text of the four", "k", "l")]
+    table = spark.createDataFrame(rows, SCHEMA)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_first(table, simhash.near_duplicates(table)).collect()]
+    assert sorted(kept) == sorted({(1, rows[0][1]), (1, rows[1][1])})
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(501, 560)] + [(7, 7), (None, 3), (9, 8), (8, 9)]
     found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
