@@ -5,8 +5,10 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +21,15 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav object ol optgroup option p pre search section "
     "select summary table tbody td tfoot th thead title tr ul".split()
 )
-#: An opening tag of the key ends open elements of the value, up to the nearest one that holds such elements.
+#: An opening tag of the key ends open elements of the value, down to the nearest one that holds such elements.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset("ul ol menu dl table select body article main section div nav aside header footer form blockquote".split())
 #: Elements with no running text of their own.
 RAW = "script|style|noscript|template|textarea|svg|math|xmp|title"
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.S | re.I,
-)
+# No part of an attribute begins with "<", and nothing is tried twice, so that tags that never close cost no more than their length.
+_ATTRIBUTES = r"""(?:[^\s>=<]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'<][^\s><]*+)?+)?+|[\s=]++)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*+>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES})>", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|\baria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -47,33 +48,69 @@ HINTS = {
     "text": "article post entry content story body text main prose page",
 }
 _HINT_OF = {word: hint for hint, words in HINTS.items() for word in words.split()}
-TAGS = tuple("article main nav header footer aside form section div ul ol li table td p h1 h2 h3 blockquote pre figure figcaption dl button label select option a body head details dialog".split())
+# Words at the end of a name that say nothing of what is inside.
+NEUTRAL = frozenset("wrapper wrap container box list item items inner outer block area section bar row col column group panel module zone region slot unit space posts articles stories holder".split())
+# Words of short blocks, by what they speak for.
+CUES = {
+    "note": "cookie cookies consent privacy subscribe newsletter",
+    "foot": "copyright reserved imprint terms",
+    "talk": "comments comment reply replies wrote commented",
+    "menu": "home menu search login register",
+    "ad": "advertisement sponsored",
+    "side": "related popular recommended",
+}
+_CUE_OF = {word: cue for cue, words in CUES.items() for word in words.split()}
+TAGS = tuple("article main nav header footer aside form section div ul ol li table td p h1 h2 h3 blockquote pre figure figcaption dl button label legend select option a body head details dialog".split())
 NEAREST = frozenset("article main nav header footer aside form body head dialog figure table".split())
+#: Elements that belong to the flow of the element around them, whatever they hold.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure li dd dt tr td th tbody thead tfoot caption figcaption button label legend select option optgroup".split())
+_BIT = {t: 1 << i for i, t in enumerate(TAGS)}
+_HINT_BIT = {h: 1 << i for i, h in enumerate(HINTS)}
+DEPTH = 3
 
 
 @dataclass
 class Block:
     text: str
     tag: str
-    tags: frozenset[str]
+    tags: int  # bits of TAGS
     nearest: str
-    hints: tuple[str, ...]
-    inner: str  # the hint nearest to the block
-    linked: float
+    hints: int  # bits of HINTS that elements around the block's own have
+    own: int  # bits of HINTS of the block's own element
     hidden: bool
+    linked: float
+    zone: tuple[str, ...] = ()
+
+
+def name_hints(attributes: str) -> int:
+    """Bits of the hints that class, id, role and label of a tag give: a name speaks by its last word that isn't neutral."""
+    bits = 0
+    for found in _NAMES.findall(attributes):
+        for name in " ".join(found).split():
+            words = [w.lower() for w in _PART.findall(name)]
+            while len(words) > 1 and (words[-1] in NEUTRAL or words[-1].isdigit()):
+                words.pop()
+            if words and words[-1] in _HINT_OF:
+                bits |= _HINT_BIT[_HINT_OF[words[-1]]]
+    return bits
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """Runs of text between boundaries of block elements, with what stands around them.
 
-    Scripts, styles and comments vanish; unclosed and stray tags are borne.
+    Scripts, styles and comments vanish; unclosed and stray tags are borne. Time and memory are in proportion to the page.
     """
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    # of each element on the way down: name, number, tags, nearest, hints around, own hints, hidden, place of the nearest that holds list items and the like
+    root = ("none", 0, 0, "none", 0, 0, False, -1)
+    stack: list[tuple] = []
+    open_at: dict[str, list[int]] = {}
+    parents, elements = [0], ["none"]
     blocks: list[Block] = []
+    where: list[int] = []
     held: list[str] = []
     linked = 0
     in_link = False
-    seen: dict[str, tuple[tuple[str, ...], bool]] = {}
+    seen: dict[str, tuple[int, bool]] = {}
 
     def end() -> None:
         nonlocal linked
@@ -81,13 +118,16 @@ def leaf_blocks(page: str) -> list[Block]:
             raw = "".join(held)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                tags = frozenset(x[0] for x in stack)
-                nearest = next((x[0] for x in reversed(stack) if x[0] in NEAREST), "none")
-                hints = [h for x in stack for h in x[1]]
-                blocks.append(Block(text, stack[-1][0] if stack else "none", tags, nearest, tuple(dict.fromkeys(hints)), hints[-1] if hints else "none", min(1.0, linked / max(1, len(raw))), any(x[2] for x in stack)))
+                name, number, tags, nearest, hints, own, hidden, _ = stack[-1] if stack else root
+                blocks.append(Block(text, name, tags, nearest, hints, own, hidden, min(1.0, linked / max(1, len(raw)))))
+                where.append(number)
             held.clear()
         linked = 0
 
+    def close(at: int) -> None:
+        while len(stack) > at:
+            open_at[stack.pop()[0]].pop()
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -105,38 +145,108 @@ def leaf_blocks(page: str) -> list[Block]:
         if name not in BLOCK:
             continue
         end()
-        if m.group(2):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if name == "p" and stack[i][0] != "p":
-                    break
-        else:
-            if stack and stack[-1][0] == "p":
-                stack.pop()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in HOLDS or name not in ENDS:
-                    break
-                if stack[i][0] in ENDS[name]:
-                    del stack[i:]
-                    break
-            if name in VOID or m.group(4).endswith("/"):
-                continue
-            if m.group(4) not in seen:
-                words = [w.lower() for found in _NAMES.findall(m.group(4)) for w in _PART.findall(" ".join(found))]
-                seen[m.group(4)] = tuple(dict.fromkeys(_HINT_OF[w] for w in words if w in _HINT_OF)), bool(_HIDDEN.search(m.group(4)))
-            stack.append((name, *seen[m.group(4)]))
         in_link = False
+        if m.group(2):
+            if open_at.get(name) and (name != "p" or stack[-1][0] == "p"):
+                close(open_at[name][-1])
+            continue
+        if stack and stack[-1][0] == "p":
+            close(len(stack) - 1)
+        if name in ENDS:
+            holder = stack[-1][7] if stack else -1
+            first = [places[i] for other in ENDS[name] if (places := open_at.get(other)) and (i := bisect_right(places, holder)) < len(places)]
+            if first:
+                close(min(first))
+        attributes = m.group(4)
+        if name in VOID or attributes.endswith("/"):
+            continue
+        if attributes not in seen:
+            seen[attributes] = name_hints(attributes), bool(_HIDDEN.search(attributes))
+        own, hidden = seen[attributes]
+        above = stack[-1] if stack else root
+        parents.append(above[1])
+        elements.append(name)
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append((name, len(parents) - 1, above[2] | _BIT.get(name, 0), name if name in NEAREST else above[3], above[4] | above[5], own, above[6] or hidden, len(stack) if name in HOLDS else above[7]))
     if at < len(page):
         held.append(page[at:])
     end()
+    for block, zone in zip(blocks, _zones(blocks, where, parents, elements)):
+        block.zone = zone
     return blocks
 
 
+def _zones(blocks: list[Block], where: list[int], parents: list[int], elements: list[str]) -> list[tuple[str, ...]]:
+    """What the part of the page that holds each block is like.
+
+    Below the lowest element that holds a whole, its children with structure of their own are its zones, and all else in it
+    is one more, its flow. Zones are split up again, DEPTH levels at most. Of a block's last zone counts its
+    share of the page's words outside links, whether it and those above it have the most words among their like,
+    its words a block, its share of links and whether it has a first heading.
+    """
+    n = len(parents)
+    words, count, linked, heads = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    sizes = np.array([b.text.count(" ") + 1.0 for b in blocks])
+    share = np.array([b.linked for b in blocks])
+    if not len(blocks):
+        return []
+    own = np.array(where)
+    np.add.at(words, own, sizes * (1 - share))
+    np.add.at(count, own, 1)
+    np.add.at(linked, own, sizes * share)
+    np.add.at(heads, own, np.array([b.tag == "h1" for b in blocks], float))
+    direct = count.tolist()
+    sums = [list(x) for x in zip(words.tolist(), direct, linked.tolist(), heads.tolist())]
+    children: list[list[int]] = [[] for _ in range(n)]
+    for i in range(n - 1, 0, -1):  # parents come before their children
+        if sums[i][1]:
+            above = sums[parents[i]]
+            for k in range(4):
+                above[k] += sums[i][k]
+            children[parents[i]].append(i)
+    page = sums[0][0] or 1.0
+    marks: dict[int, tuple[str, ...]] = {}
+    ahead: list[tuple[int, int, int]] = [(0, 0, 0)]  # element, level, the first level at which it isn't the largest
+
+    def described(s: list[float], off: int, flow: bool, alone: bool) -> tuple[str, ...]:
+        part, mean = s[0] / page, s[0] / max(1.0, s[1])
+        names = ["zone_alone" if alone else f"zone_off_{off}" if off else "zone_top"]
+        names.append("zone_part_" + ("0" if part < 0.05 else "5" if part < 0.2 else "20" if part < 0.5 else "50" if part < 0.8 else "80"))
+        names.append("zone_mean_" + ("low" if mean < 5 else "some" if mean < 12 else "high"))
+        if flow:
+            names.append("zone_flow")
+        if s[2] > 0.5 * (s[0] + s[2]):
+            names.append("zone_links")
+        if s[3]:
+            names.append("zone_h1")
+        return tuple(names)
+
+    while ahead:
+        at, level, off = ahead.pop()
+        while len(children[at]) == 1 and not direct[at] and elements[children[at][0]] not in FLOW:
+            at = children[at][0]
+        apart = [c for c in children[at] if elements[c] not in FLOW and (children[c] or elements[c] in NEAREST)]
+        flow = [sums[at][k] - sum(sums[c][k] for c in apart) for k in range(4)]
+        most = max([sums[c][0] for c in apart] + [flow[0]])
+        alone = level == 0 and not apart
+        marks[at] = described(flow, off or (level + 1 if flow[0] < most else 0), True, alone)
+        for c in apart:
+            now = off or (level + 1 if sums[c][0] < most else 0)
+            if level + 1 < DEPTH and children[c]:
+                ahead.append((c, level + 1, now))
+            else:
+                marks[c] = described(sums[c], now, False, False)
+    found: list[tuple[str, ...]] = [marks.get(0, ())] * n
+    for i in range(1, n):
+        found[i] = marks.get(i) or found[parents[i]]
+    return [found[i] for i in where]
+
+
 FEATURES = ("bias", *[f"in_{t}" for t in TAGS], *[f"is_{t}" for t in TAGS], *[f"near_{t}" for t in sorted(NEAREST)], "near_none",
-            *[f"hint_{h}" for h in HINTS], *[f"inner_{h}" for h in HINTS], "hidden", "words_1", "words_2_4", "words_5_14", "words_15_39", "words_40",
-            "linked_some", "linked_half", "ends", "sign", "first", "after_h1")
+            *[f"hint_{h}" for h in HINTS], *[f"own_box_{h}" for h in HINTS], *[f"own_text_{h}" for h in HINTS], *[f"cue_{c}" for c in CUES], "hidden",
+            "words_1", "words_2_4", "words_5_14", "words_15_39", "words_40", "linked_some", "linked_half", "ends", "sign", "first", "after_h1",
+            "zone_alone", "zone_top", *[f"zone_off_{i + 1}" for i in range(DEPTH)], *[f"zone_part_{p}" for p in (0, 5, 20, 50, 80)], *[f"zone_mean_{m}" for m in ("low", "some", "high")],
+            "zone_flow", "zone_links", "zone_h1")
 _INDEX = {f: i for i, f in enumerate(FEATURES)}
 
 
@@ -145,12 +255,16 @@ def block_features(blocks: list[Block]) -> list[list[int]]:
     out, headed = [], False
     known: dict[tuple, list[int]] = {}
     for i, b in enumerate(blocks):
-        around = (b.tag, b.tags, b.nearest, b.hints, b.inner, b.hidden)
+        around = (b.tag, b.tags, b.nearest, b.hints, b.own, b.hidden, b.zone)
         if around not in known:
-            names = ["bias", *[f"in_{t}" for t in b.tags], f"is_{b.tag}", f"near_{b.nearest}", *[f"hint_{h}" for h in b.hints], f"inner_{b.inner}", *["hidden"] * b.hidden]
+            kind = "text" if b.tag in FLOW else "box"
+            names = ["bias", *[f"in_{t}" for t, bit in _BIT.items() if b.tags & bit], f"is_{b.tag}", f"near_{b.nearest}", *b.zone, *["hidden"] * b.hidden]
+            names += [f"hint_{h}" for h, bit in _HINT_BIT.items() if b.hints & bit] + [f"own_{kind}_{h}" for h, bit in _HINT_BIT.items() if b.own & bit]
             known[around] = [_INDEX[n] for n in names if n in _INDEX]
         n = b.text.count(" ") + 1
         own = ["words_1" if n == 1 else "words_2_4" if n < 5 else "words_5_14" if n < 15 else "words_15_39" if n < 40 else "words_40"]
+        if n <= 25:
+            own += {f"cue_{_CUE_OF[w]}" for x in b.text.lower().split() if (w := x.strip(".,:;!?()")) in _CUE_OF}
         if b.linked > 0.1:
             own.append("linked_half" if b.linked > 0.5 else "linked_some")
         if b.text[-1] in ".!?:;\"”»":
@@ -162,7 +276,7 @@ def block_features(blocks: list[Block]) -> list[list[int]]:
         if headed:
             own.append("after_h1")
         headed = headed or b.tag == "h1"
-        out.append(known[around] + [_INDEX[n] for n in own])
+        out.append(known[around] + sorted(_INDEX[n] for n in own))
     return out
 
 
@@ -230,122 +344,157 @@ def fit_crf(pages: list[tuple[list[list[int]], list[bool]]], steps: int = 300, r
     return Crf(unary, pair)
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]:
-    """Pages put together from random words by random layouts, and whether each leaf block belongs to the article."""
+#: Words of names that training pages use; the other words of HINTS only serve as features and are met for the first time in use.
+TRAINED_NAMES = {hint: tuple(words.split()[::2]) for hint, words in HINTS.items()}
+
+
+def labelled_pages(n: int = 500, seed: int = 11, names: dict[str, tuple[str, ...]] | None = None, wrappers: tuple[str, ...] = ("", "div", "div div", "main"), named: float = 0.45) -> list[tuple[str, list[bool]]]:
+    """Pages put together from random words by random layouts, and whether each leaf block belongs to the article.
+
+    A share `named` of the pages has class and id names from `names` (by kind of part; default: TRAINED_NAMES); of the others, one half has names
+    that say nothing and one half none. `wrappers` are the elements that may stand around the page's parts.
+    """
     r = random.Random(seed)
+    names = TRAINED_NAMES if names is None else names
     word = lambda: "".join(r.choice("abdefgilmnorstué") for _ in range(r.randint(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
-    sentence = lambda a=3, b=60: words(a, b).capitalize() + r.choice("...!?")
-    name = lambda *hints: r.choice(HINTS[r.choice(hints)].split())
     pages = []
+
+    def sentence(a: int = 3, b: int = 60, cue: str = "", often: float = 0.5) -> str:
+        own = words(a, b).split()
+        if cue in CUES and r.random() < often:
+            own.insert(r.randrange(len(own) + 1), r.choice(CUES[cue].split()))
+        return " ".join(own).capitalize() + r.choice("...!?")
+
     for _ in range(n):
         out: list[str] = []
         labels: list[bool] = []
+        style = r.random()
+        mode = "names" if style < named else "odd" if style < (1 + named) / 2 else "bare"
 
         def put(tag: str, text: str, label: bool, attributes: str = "", close: bool = True) -> None:
             out.append(f"<{tag}{attributes}>{text}" + f"</{tag}>" * close)
             labels.append(label)
 
-        def links(label: bool = False) -> None:
-            out.append("<ul>")
+        def links() -> None:
+            tag = r.choice(["ul", "ul", "div"])
+            out.append(f"<{tag}>")
             for _ in range(r.randint(2, 7)):
-                put("li", f'<a href="/{word()}">{words(1, 3)}</a>', label)
-            out.append("</ul>")
-
-        def around(kind: str) -> None:
-            """A part that isn't of the article, marked by its element, its name, or both."""
-            element, hints = {
-                "menu": ("nav", ("menu",)), "head": ("header", ("head",)), "foot": ("footer", ("foot",)), "side": ("aside", ("side",)), "ad": ("div", ("ad",)),
-                "note": ("div", ("note",)), "talk": ("section", ("talk",)), "form": ("form", ("form",)), "share": ("div", ("share",)),
-            }[kind]
-            plain = element in ("div", "section")
-            tag = element if plain or r.random() < 0.6 else "div"
-            named = plain or tag == "div" or r.random() < 0.4
-            if named and tag == "div" and kind in ("side", "talk", "head", "foot", "menu") and r.random() < 0.3:
+                put("li" if tag == "ul" else r.choice(["div", "p"]), f'<a href="/{word()}">{words(1, 3)}</a>', False)
+            out.append(f"</{tag}>")
+
+        def name(kind: str) -> str:
+            if mode == "bare":
+                return ""
+            value = r.choice(["", "site-", "main-", "c-", "box "]) + r.choice(names[kind]) if mode == "names" else r.choice(["zone-", "x", "part_", "c"]) + r.choice("abcdefgh123456")
+            return f' {r.choice(["class", "id"])}="{value}"'
+
+        def around(kind: str, inside: bool) -> None:
+            """A part that isn't of the article, marked by its element, its name, or where neither is given by what it holds."""
+            element = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside", "ad": "div", "note": "div", "talk": "section", "form": "form", "share": "div"}[kind]
+            telling = element not in ("div", "section")
+            tag = element if r.random() < (0.6 if mode == "names" or not inside else 1.0) else "div"
+            if inside and mode != "names" and not telling:
+                tag = "aside"  # nothing else would tell it from the article around it
+            own = name(kind) if tag == "div" or tag == "section" or r.random() < 0.4 else ""
+            if own and tag == "div" and kind in ("side", "talk", "head", "foot", "menu") and r.random() < 0.3:
                 tag = "section"
-            out.append(f"<{tag}" + f' {r.choice(["class", "id"])}="{r.choice(["", "site-", "main-", "c-", "box "])}{name(*hints)}"' * named + ">")
-            if kind in ("menu", "side") and r.random() < 0.8:
+            out.append(f"<{tag}{own}>")
+            if kind in ("menu", "side") and (r.random() < 0.8 or tag == "div"):
                 if r.random() < 0.4:
-                    put("h3", words(1, 3), False)
+                    put("h3", sentence(1, 2, kind)[:-1], False)
                 links()
             elif kind == "form":
                 put(r.choice(["label", "p", "div"]), words(1, 6), False)
                 out.append('<input type="text" name="q">')
+                if r.random() < 0.3:
+                    out.append("<select>")
+                    for _ in range(r.randint(1, 4)):
+                        put("option", words(1, 2), False)
+                    out.append("</select>")
                 put("button", words(1, 2), False)
             elif kind == "talk":
-                put("h2", words(1, 2), False)
-                for _ in range(r.randint(1, 5)):
-                    put(r.choice(["p", "div", "li"]), sentence(2, 50), False)
+                if mode == "names" or r.random() < 0.7:
+                    put("h2", sentence(1, 2, kind, 0.8)[:-1], False)
+                for _ in range(r.randint(1, 5 if mode == "names" else 3)):
+                    put(r.choice(["p", "div", "li"]), sentence(2, 50 if mode == "names" else 18, kind, 0.3), False)
             elif kind == "head":
                 put(r.choice(["h1", "div", "p", "a"]), words(1, 4), False) if r.random() < 0.5 else put("div", words(1, 4), False)
                 if r.random() < 0.4:
                     links()
             elif kind == "foot":
-                put(r.choice(["p", "div"]), r.choice(["&copy; ", "© ", ""]) + sentence(2, 20), False)
+                put(r.choice(["p", "div"]), r.choice(["&copy; ", "© ", ""]) + sentence(2, 20, kind, 0.4), False)
                 if r.random() < 0.3:
                     links()
             else:
-                for _ in range(r.randint(1, 2)):
-                    inner = r.choice(["", "p", "div", "span"])
-                    if inner in ("p", "div"):
-                        put(inner, sentence(2, 30), False)
-                    elif not labels or out[-1].startswith("<"):
-                        out.append(sentence(2, 30))
-                        labels.append(False)
-                        break
+                inner = r.choice(["", "p", "div"])
+                if inner:
+                    for _ in range(r.randint(1, 2)):
+                        put(inner, sentence(2, 25, kind), False)
+                else:
+                    out.append(sentence(2, 25, kind))
+                    labels.append(False)
             out.append(f"</{tag}>")
 
-        out.append("<html><head>")
-        out.append(f"<title>{words(2, 8)}</title></head><body>")
+        wrap = r.choice(wrappers).split()
+        out.append(f"<html><head><title>{words(2, 8)}</title></head><body>")
+        out += [f"<{w}>" for w in wrap]
+        minimal = r.random() < 0.12
         for kind in ("note", "head", "menu", "ad"):
-            if r.random() < (0.7 if kind in ("head", "menu") else 0.35):
-                around(kind)
-        style = r.random()
-        holder = "article" if style < 0.45 else "main" if style < 0.6 else "div" if style < 0.9 else ""
-        if holder:
-            marked = holder == "div" or r.random() < 0.3
-            out.append(f"<{holder}" + f' {r.choice(["class", "id"])}="{r.choice(["", "post-", "the-"])}{name("text")}"' * marked + ">")
-            if r.random() < 0.15 and holder != "article":
-                out.append("<article>")
-        if r.random() < 0.85:
+            if not minimal and r.random() < (0.7 if kind in ("head", "menu") else 0.35):
+                around(kind, False)
+        holder = r.choice(["article"] * 5 + ["main"] * 2 + ["div"] * 5 + ["div div"]) if not minimal else ""
+        if not holder and not minimal:
+            holder = "div"
+        bare = mode != "names" and holder.startswith("div")
+        for i, tag in enumerate(holder.split()):
+            own = name("text") if i == 0 and (tag == "div" or r.random() < 0.3) else ""
+            out.append(f"<{tag}{own}>")
+        shape = r.choice(["p", "p", "p", "div"])
+        if r.random() < (0.3 if minimal else 0.85):
             put("h1", words(2, 10) + r.choice(["", "", "."]), True)
-        for _ in range(r.randint(1, 14)):
+        for _ in range(r.randint(1, 4) if minimal else r.randint(3 if bare else 1, 14)):
             x = r.random()
-            if x < 0.74:
-                put("p", r.choice(["", "", "<b>"]) + sentence(1, 90), True, close=r.random() < 0.85)
+            own = f' class="{r.choice(["lead ", ""])}{r.choice(sum(map(list, names.values()), []))}-{r.choice(["on-", ""])}{word()}"' if r.random() < 0.06 else f' class="{r.choice(sum(map(list, names.values()), []))}"' if r.random() < 0.02 else ""
+            if x < 0.74 or minimal:
+                put(shape, r.choice(["", "", "<b>"]) + sentence(12 if bare else 2, 90, r.choice(list(CUES)), 0.04), True, own, close=shape == "div" or r.random() < 0.85)
             elif x < 0.80:
-                put(r.choice(["h2", "h3"]), words(1, 6), True)
+                put(r.choice(["h2", "h3"]), words(1, 6), True, own)
             elif x < 0.85:
                 out.append("<ul>")
                 for _ in range(r.randint(1, 4)):
                     put("li", sentence(2, 20), True)
                 out.append("</ul>")
             elif x < 0.88:
-                put(r.choice(["blockquote", "pre", "figcaption"]), sentence(3, 30), True)
+                put(r.choice(["blockquote", "pre", "figcaption"]), sentence(3, 30), True, own)
             elif x < 0.90:
                 out.append("<table><tr>")
                 for _ in range(r.randint(2, 4)):
                     put("td", words(1, 5), True)
                 out.append("</tr></table>")
             elif x < 0.92:
-                put("div", sentence(5, 60), True)
+                out.append("<select>")
+                for _ in range(r.randint(1, 4)):
+                    put("option", words(1, 3), False)
+                out.append("</select>")
             else:
-                around(r.choice(["ad", "side", "note", "share", "form", "talk"]))
+                around(r.choice(["ad", "side", "note", "share", "form", "talk"]), True)
         for kind in ("talk", "share"):
-            if r.random() < 0.2:
-                around(kind)
-        if holder:
-            out.append(f"</{holder}>")
+            if not minimal and r.random() < 0.2:
+                around(kind, True)
+        out += [f"</{tag}>" for tag in reversed(holder.split())]
         for kind in ("talk", "side", "form", "ad", "foot", "note"):
-            if r.random() < (0.7 if kind == "foot" else 0.3):
-                around(kind)
+            if not minimal and r.random() < (0.7 if kind == "foot" else 0.3):
+                around(kind, False)
+        out += [f"</{w}>" for w in reversed(wrap)]
         out.append("</body></html>")
         pages.append(("".join(out), labels))
     return pages
 
 
-def trained(n: int = 400, seed: int = 11) -> Crf:
-    """The model, from `n` labelled pages; pages whose layout gives other blocks than were labelled are left out."""
+@lru_cache(maxsize=4)
+def trained(n: int = 500, seed: int = 11) -> Crf:
+    """The model, from `n` labelled pages; pages whose layout gives other blocks than were labelled are left out. Made once in a process."""
     ready = []
     for page, labels in labelled_pages(n, seed):
         blocks = leaf_blocks(page)

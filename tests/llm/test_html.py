@@ -34,6 +34,55 @@ def test_held_out_layouts(model):
     assert wrong <= 0.01 * total
 
 
+@pytest.mark.parametrize("named", [0.9, 0.0])
+def test_names_and_layouts_that_training_never_saw(model, named):
+    other = {hint: tuple(words.split()[1::2]) for hint, words in h.HINTS.items()}
+    assert not any(set(other[k]) & set(h.TRAINED_NAMES[k]) for k in other)
+    wrong = total = 0
+    for page, labels in h.labelled_pages(200, seed=78, names=other, wrappers=("section", "div div div", "center"), named=named):
+        blocks = h.leaf_blocks(page)
+        assert len(blocks) == len(labels)
+        wrong += sum(a != b for a, b in zip(model.decode(h.block_features(blocks)), labels))
+        total += len(labels)
+    assert wrong <= 0.01 * total
+
+
+def test_parts_without_telling_names(model):
+    body = "".join(f"<p>{'Some words of the article that goes on. ' * n}</p>" for n in (5, 6, 4))
+    page = f"""<body><div class="zone-a"><p>We use cookies on this site to make it better.</p></div><div class="zone-b"><h1>The title</h1>{body}</div>
+<div class="zone-c"><p>I liked this a lot, thanks.</p><p>Me too, said the other.</p></div><div class="zone-d"><p>All of it by us</p></div></body>"""
+    text, kept, _ = h.main_text(page, model)
+    assert kept == 4 and text.startswith("The title\nSome words") and "cookies" not in text and "liked" not in text
+
+
+def test_names_inside_an_article(model):
+    page = '<article><p class="comment-on-law">The law is as it is.</p><p class="lead share-price">The price went up again.</p><p>Third block here.</p></article>'
+    assert h.main_text(page, model)[0].split("\n") == ["The law is as it is.", "The price went up again.", "Third block here."]
+
+
+def test_paragraphs_and_nothing_else(model):
+    page = "<body><div>First paragraph of it, with some words.</div><div>Second paragraph of it, with more words.</div></body>"
+    assert h.main_text(page, model)[1] == 2
+
+
+def test_choices_inside_an_article(model):
+    page = "<body><article><h1>Title</h1><p>Some text is here.</p><select><option>One</option><option>Two</option></select><p>More text is here.</p></article></body>"
+    assert h.main_text(page, model)[0] == "Title\nSome text is here.\nMore text is here."
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<div>" * 10_000 + "x", "<div>x" * 10_000, "<center>" * 10_000 + "<ul>" + "<li>a</li>" * 10_000, "<!" * 500_000, '<a x="' * 170_000, "<a x='" * 80_000 + '<b y="' * 80_000, "</div>" * 170_000, "<p " + "x" * 1_000_000],
+    ids=range(9),
+)
+def test_time_grows_with_the_page(model, page):
+    import time
+
+    began = time.perf_counter()
+    h.main_text(page, model)
+    assert time.perf_counter() - began < 5
+
+
 def test_viterbi_is_the_best_path(model):
     from itertools import product
 
