@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +61,11 @@ def join_nulls(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(right, [F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()], how).drop(*names.values())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)`, with `value` computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def identity(*columns: Column | str) -> Column:
     """128 bits that rows share which agree in all `columns`, nulls included; rows that don't, by chance never."""
     parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))] if all(isinstance(c, str) for c in columns) else [x for c in columns for x in (c.isNull(), c)]
@@ -103,15 +108,15 @@ def numbered(df: DataFrame, keys: list[str], place: str) -> DataFrame:
     return out.select(*df.columns, (F.col("before") + F.col(i)).alias(place))
 
 
-def running_sum(df: DataFrame, group: list[str], position: str, ties: list[str], value: str, rows_per_bucket: int = 5_000) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], position: str, ties: list[str], value: str, rows_per_bucket: int = 200) -> DataFrame:
     """Adds `before`: the sum of `value` over the rows of the same group that come earlier.
 
-    Rows are ordered by `position`, a double in [0, 1), then by `ties`. A group is cut into buckets
-    of equal width in `position`, as many as its row count asks for, so that a group with a third
-    of all rows is summed by many tasks; only the bucket sums are brought in order.
+    Rows are ordered by `position`, a double in [0, 1), then by `ties`. A group of n rows is cut into buckets
+    of equal width in `position`, of about the square root of n rows but `rows_per_bucket` at least, so that a group with a third
+    of all rows is summed by many tasks; only the bucket sums, no more than a bucket has rows, are brought in order.
     Nulls make a group of their own. `df` is read three times: pass a cut table.
     """
-    counts = df.groupBy(*group).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows_per_bucket)).alias("_buckets"))
+    counts = df.groupBy(*group).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.greatest(F.lit(float(rows_per_bucket)), F.sqrt(F.count("*"))))).alias("_buckets"))
     bucket = F.least(F.floor(F.col(position) * F.col("_buckets")), F.col("_buckets") - 1)
     dealt = join_nulls(df, counts, group).withColumn("_bucket", bucket).drop("_buckets")
     sums = dealt.groupBy(*group, "_bucket").agg(F.sum(value).alias("_sum"))

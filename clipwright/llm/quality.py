@@ -62,8 +62,18 @@ def features(text: str | None) -> np.ndarray:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(t).astype(np.float32) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], names=["quality", "x"])
+        found = [features(t).astype(np.float32) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float32()))], names=["doc_id", "quality", "x"])
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: weights and intercept for all rows (doc_id, quality, x) of the only partition."""
+    x, y = [np.zeros((0, len(FEATURES)), np.float32)], [np.zeros(0)]
+    for batch in batches:
+        x.append(batch.column(2).flatten().to_numpy().reshape(-1, len(FEATURES)))
+        y.append(batch.column(1).to_numpy())
+    weights, intercept = fit_logistic(np.concatenate(x).astype(float), np.concatenate(y))
+    yield pa.RecordBatch.from_arrays([pa.array([weights], pa.list_(pa.float64())), pa.array([intercept])], names=["weights", "intercept"])
 
 
 def _score_rows(weights: np.ndarray, intercept: float):
@@ -127,7 +137,7 @@ def score_quality(
     Returns doc_id, p_doc, host_posterior, path_posterior, p, keep (p >= threshold) and row_key, which
     rows share that agree in text, host and path. `labels` has doc_id and quality (0 or 1; null ones are left out).
     A logistic regression over the text's shape and its words is fitted to the labelled rows, or as many as a hash of
-    doc_id picks of them with an expected number of `max_labelled`; only these reach the driver. All rows'
+    doc_id picks of them with an expected number of `max_labelled`, in one task; only its weights reach the driver. All rows'
     p_doc are then summed by host and by path within host. Without the row itself, a host's rate is
     drawn to the overall rate and a path's to its host's, by strengths estimated from how much hosts
     and paths differ; a sparse site so has the rate above it, and a row's own evidence counts once. The row's log-odds
@@ -145,10 +155,10 @@ def score_quality(
     share = max_labelled / max(1, known.count())
     sample = docs.select("doc_id", "text").join(known.where(uniform("label", F.col("doc_id")) < share), "doc_id")
     one = F.min_by("text", F.struct(F.xxhash64("text"), F.length("text")))
-    sample = sample.groupBy("doc_id").agg(F.first("quality").alias("quality"), one.alias("text")).orderBy("doc_id").select("quality", "text")
-    sample = sample.mapInArrow(_feature_rows, "quality double, x array<float>").toPandas()
-    x = np.stack(sample["x"].to_numpy()).astype(float) if len(sample) else np.zeros((0, len(FEATURES)))
-    weights, intercept = fit_logistic(x, sample["quality"].to_numpy(float))
+    sample = sample.groupBy("doc_id").agg(F.first("quality").alias("quality"), one.alias("text"))
+    sample = sample.mapInArrow(_feature_rows, f"doc_id {kind}, quality double, x array<float>")
+    fitted = sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fit_rows, "weights array<double>, intercept double").first()
+    weights, intercept = (np.array(fitted["weights"]), fitted["intercept"]) if fitted else (np.zeros(len(FEATURES)), 0.0)
 
     rows = docs.select(_key(host, path).alias("row_key"), "doc_id", column(host).cast("string").alias("host"), column(path).cast("string").alias("path"), "text")
     scored = cut(rows.mapInArrow(_score_rows(weights, intercept), f"row_key struct<a:bigint,b:bigint>, doc_id {kind}, host string, path string, p_doc double"))

@@ -279,7 +279,7 @@ def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 3
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(identity(*docs.columns).alias("row_key"), "doc_id", "text")
     rows = cut(rows.mapInArrow(_sketch_rows(n), f"row_key struct<a:bigint,b:bigint>, doc_id {kind}, node long, fp long, keys array<long>"))
-    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = cut(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("row_key").alias("row_key")))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keyed = cut(keyed.join(shared, "key"))
@@ -289,9 +289,11 @@ def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 3
     alike = nodes.join(firsts, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     near = cut(near.unionAll(alike))
 
+    # only texts that have a candidate need their sets, one text of all that have the same
     met = near.select(F.explode(F.array("a", "b")).alias("node")).unionAll(keyed.select("node")).distinct()
-    sets = docs.select("text").mapInArrow(_set_rows(n), "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes"))
-    sets = cut(sets.join(met, "node", "left_semi"))
+    shown = nodes.select("node", "row_key").join(met, "node", "left_semi").select("row_key")
+    sets = docs.select(identity(*docs.columns).alias("row_key"), "text").join(shown, "row_key", "left_semi")
+    sets = cut(sets.select("text").mapInArrow(_set_rows(n), "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")))
 
     links = cut(_verified(near, sets, least))
     for turn in range(rounds + 1):

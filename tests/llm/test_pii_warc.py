@@ -60,6 +60,68 @@ def test_key_decides(spark):
     assert all(one[i]["text"] != other[i]["text"] for i in range(3))
 
 
+def brute(texts, rows):
+    """What each e-mail address and number became, over all texts; each thing one surrogate and no two the same."""
+    put = {}
+    for i, text in enumerate(texts):
+        for a, b in zip(re.findall(r"\S+@\S+\.com|\d{3}-\d{2}-\d{4}", text), re.findall(r"\S+@\S+\.com|\d{3}-\d{2}-\d{4}", rows[i]["text"])):
+            assert put.setdefault(a.lower(), b.lower()) == b.lower()
+    return put
+
+
+def test_distinct_and_the_same_everywhere(spark):
+    import random
+
+    r = random.Random(2)
+    mails = [f"{a}{b}@{c}.example.com" for a in "xyz" for b in range(40) for c in ("a", "b", "n1")] + ["a@b.com", "c@b.com", "e@b.com", "i@b.com", "o@b.com", "u@b.com"]
+    texts = [" ".join(r.choice([r.choice(mails), r.choice(mails).upper().replace(".COM", ".com"), "word", f"{r.randrange(60):03d}-12-3456"]) for _ in range(30)) for _ in range(60)]
+    put = brute(texts, run(spark, texts))
+    assert len(put) > 300 and len(set(put.values())) == len(put) and not set(put.values()) & set(put)
+
+
+def test_one_person_in_many_forms(spark):
+    texts = [
+        "James Smith came. Later Mr Smith and Smith spoke; then Mr. James Smith left. John Smith stayed, James Miller not. Smith's hat.",
+        "Dr Jane Miller and Prof. Dr. Omar bin Said met Ahmed Khan. Khan said so. My name is Xenia Roth. The Park is open.",
+        "Smith alone isn't a person here, nor Miller. Mr James Smith is in text 0.".replace("Mr James Smith is in text 0.", ""),
+        "王小明 和 李先生 在这里。国王万岁。",
+        "Again: James Smith.",
+    ]
+    found = run(spark, texts)
+    a = found[0]["text"]
+    m = re.fullmatch(r"(\S+) (\S+) came\. Later Mr (\S+) and (\S+) spoke; then Mr\. (\S+) (\S+) left\. (\S+) (\S+) stayed, (\S+) (\S+) not\. (\S+)'s hat\.", a)
+    given, surname = m[1], m[2]
+    assert {m[3], m[4], m[6], m[8], m[11]} == {surname} and m[5] == m[9] == given and m[7] != given and m[10] != surname
+    assert given in pii.GIVEN["latin", "m"] and given != "James" and "Smith" not in a and "Miller" not in a
+    assert f"{given} {surname}" in found[4]["text"]
+    b = found[1]["text"]
+    assert not any(x in b for x in ("Jane", "Miller", "Said", "Ahmed", "Khan", "Xenia", "Roth")) and "bin" in b and "The Park is open." in b
+    assert b.startswith("Dr ") and "Prof. Dr. " in b and m[10] in b
+    assert found[2]["text"] == texts[2]
+    c = found[3]["text"]
+    assert "王小明" not in c and "李先生" not in c and c.endswith(" 在这里。国王万岁。") and "先生" in c
+
+
+def test_accounts_and_addresses(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 or DE89370400440532013000, not DE88370400440532013000. At 2001:db8:85a3::8a2e:370:7334 from 12:30:45, std::vector a::b.", "call (017) 555-7713 or +1 (017) 555-7713 or +44 (017) 555-7713; 100 000 000 and 1.234.567 people"]
+    found = run(spark, texts)
+    a = found[0]["text"]
+    spaced, plain = re.search(r"IBAN (DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20})", a).groups()
+    assert spaced.replace(" ", "") == plain != "DE89370400440532013000" and int(plain[4:] + "1314" + plain[2:4]) % 97 == 1
+    assert "DE88370400440532013000" in a and "2001:db8" not in a and re.search(r"At [0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4} from 12:30:45, std::vector a::b\.", a)
+    b = re.fullmatch(r"call (\(\d{3}\) \d{3}-\d{4}) or \+1 (.*) or \+44 (.*); 100 000 000 and 1\.234\.567 people", found[1]["text"])
+    assert b[1] == b[2] == b[3] != "(017) 555-7713"
+
+
+def test_hostile_texts(spark):
+    import time
+
+    texts = ["x@" + "a." * 50_000, "a@" + "b" * 100_000 + ".com", "1:" * 50_000, "A" * 100_000 + " " + "Mr " * 50_000, "+1 " * 50_000, "Mr " + "Ab-" * 50_000, "password=" * 20_000, "Anna " * 40_000, "von " * 50_000, "DE89 " * 40_000]
+    began = time.time()
+    assert len(run(spark, texts)) == len(texts)
+    assert time.time() - began < 90
+
+
 def test_no_two_share_a_surrogate(spark):
     values = [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 9) for b in range(8) for c in range(8) for d in range(4)]
     values += [("ssn", f"{i:09d}") for i in range(50)]
