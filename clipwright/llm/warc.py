@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clipwright.llm.common import cut
+from clipwright.llm.common import cut, let
 
 #: Headers of a stored response that a 304 doesn't replace: they speak of a body or of the one connection (fixed values).
 NOT_MERGED = (
@@ -17,17 +17,56 @@ NOT_MERGED = (
 TRACKING = "utm_[a-z_]*|ref|fbclid|gclid|sessionid"
 
 
+def _decoded(x: Column) -> Column:
+    """Percent-encoded letters, digits and -._~ as they are, other codes in capitals."""
+
+    def one(p: Column, i: Column) -> Column:
+        code = F.chr(F.conv(F.substring(p, 1, 2), 16, 10).cast("int"))
+        rest = F.substring(p, 3, 1_000_000)
+        coded = F.when(code.rlike("^[A-Za-z0-9._~-]$"), F.concat(code, rest)).otherwise(F.concat(F.lit("%"), F.upper(F.substring(p, 1, 2)), rest))
+        return F.when(i == 0, p).when(p.rlike("^[0-9A-Fa-f]{2}"), coded).otherwise(F.concat(F.lit("%"), p))
+
+    return F.array_join(F.transform(F.split(x, "%"), one), "")
+
+
+def _plain_path(path: Column) -> Column:
+    """A path without empty segments, `.` and `..`, and without a closing slash."""
+
+    def put(kept: Column, s: Column) -> Column:
+        return F.when((s == "") | (s == "."), kept).when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, s))
+
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), put)
+    return let(kept, lambda k: F.when(F.size(k) > 0, F.concat(F.lit("/"), F.array_join(k, "/"))).otherwise(""))
+
+
 def canonical_url(url: Column) -> Column:
-    """One form for a page's addresses: no scheme, www. or m., fragment, tracking parameters, default port or closing slash; host in lower case."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host, rest = F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), F.regexp_replace(bare, "^[^/?]*", "")
-    host = F.regexp_replace(F.regexp_replace(host, "^(www|m)\\.", ""), ":(80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(rest, "^[^?]*", 0), "/+$", "")
+    """One form for a page's addresses.
+
+    Without scheme, user, www. or m., default port, fragment, tracking parameters, closing or doubled
+    slashes and dot segments; host in lower case, needless percent-encoding undone, parameters in order.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^([A-Za-z][A-Za-z0-9+.-]*:)?//", "")
+    host, rest = F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), _decoded(F.regexp_replace(bare, "^[^/?]*", ""))
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), "^(www|m)\\.", ""), ":(80|443)$", "")
+    path = _plain_path(F.regexp_extract(rest, "^[^?]*", 0))
     query = F.regexp_extract(rest, "\\?(.*)$", 1)
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"^({TRACKING})(=|$)"))), "&")
     return F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
+def _lower_headers(headers: Column) -> Column:
+    """Names in lower case; those that differ in nothing else are one header, their values joined by a comma in the order of the names. Null values go."""
+    none = F.create_map().cast("map<string,string>")
+    entries = F.array_sort(F.filter(F.map_entries(F.coalesce(headers, none)), lambda e: e["value"].isNotNull()))
+
+    def merged(es: Column) -> Column:
+        names = F.array_distinct(F.transform(es, lambda e: F.lower(e["key"])))
+        joined = lambda n: F.array_join(F.transform(F.filter(es, lambda e: F.lower(e["key"]) == n), lambda e: e["value"]), ", ")
+        return F.map_from_arrays(names, F.transform(names, joined))
+
+    return let(entries, merged)
+
+
 def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
@@ -46,36 +85,36 @@ def resolve_revisits(records: DataFrame, rows_per_bucket: int = 5_000) -> DataFr
     - `resolved` otherwise.
 
     For the last two, headers are the response's, with the revisit's in their place
-    where a 304 may update them; names are in lower case. A response at the very time of the revisit isn't earlier; of several at
+    where a 304 may update them; names are in lower case, and names that differ in nothing else are one. A response at the very time of the revisit isn't earlier; of several at
     one time the largest record_id counts. Null urls or times resolve to nothing. Repeated
     revisits each get a row. An empty table gives no rows; other columns don't matter.
 
-    Only ids, validators and headers are shuffled. A page with very many captures is cut into
-    buckets of time, as many as its captures ask for; each bucket hands its last response on
-    to the later ones, and only these hand-overs are brought in order page by page.
+    Only ids, validators and headers are shuffled. Of all responses of a page at one instant only the last counts, and all
+    revisits at one instant have the same answer, so instants are what is brought in order: in ranges of page and time,
+    each of which hands its last response on to the page's later ones. A page with a third of all
+    captures has many ranges, however close together they lie.
     """
     page = canonical_url(F.col("url"))
     columns = ["record_id", "kind", "captured_at", "etag", "last_modified", "digest", "headers"]
     rows = cut(records.where(F.col("kind").isin("response", "revisit")).select(page.alias("page"), *columns))
-    spans = rows.where("page is not null and captured_at is not null").groupBy("page").agg(
-        F.count("*").alias("n"), F.min("captured_at").alias("start"), F.max("captured_at").alias("stop")
-    )
-    spans = spans.withColumn("buckets", F.ceil(F.col("n") / rows_per_bucket))
-    share = (F.col("captured_at") - F.col("start")) / (F.col("stop") - F.col("start") + 1)
-    placed = rows.join(spans, "page").withColumn("bucket", F.floor(share * F.col("buckets")).cast("int")).drop("n", "start", "stop", "buckets")
-
+    asked = rows.where("kind = 'revisit'")
     full = F.struct("captured_at", "record_id", "etag", "last_modified", "digest", "headers")
-    response = F.when(F.col("kind") == "response", full)
-    order = F.struct("captured_at", "record_id")
-    last = placed.groupBy("page", "bucket").agg(F.max_by(response, F.when(F.col("kind") == "response", order)).alias("last"))
-    before = Window.partitionBy("page").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    handed = last.select("page", "bucket", F.last("last", ignorenulls=True).over(before).alias("handed"))
-    # at one time, responses stand in order of record_id; the range leaves out whatever has the row's own time
-    within = Window.partitionBy("page", "bucket").orderBy("captured_at").rangeBetween(Window.unboundedPreceding, -1)
-    found = placed.withColumn("near", F.max_by(response, F.when(F.col("kind") == "response", order)).over(within)).where("kind = 'revisit'")
-    found = found.join(handed, ["page", "bucket"]).withColumn("full", F.coalesce("near", "handed")).drop("near", "handed", "bucket")
-    lost = rows.where("kind = 'revisit' and (page is null or captured_at is null)").withColumn("full", F.lit(None).cast(found.schema["full"].dataType))
-    found = found.select("page", *columns, "full").unionByName(lost.select("page", *columns, "full"))
+    timed = "page is not null and captured_at is not null"
+    responses = rows.where(f"kind = 'response' and {timed}").groupBy("page", "captured_at").agg(F.max_by(full, "record_id").alias("full"))
+    moments = asked.where(timed).select("page", "captured_at").distinct()
+    instants = responses.unionByName(moments.withColumn("full", F.lit(None).cast(responses.schema["full"].dataType)))
+    ranges = max(1, -(-rows.count() // rows_per_bucket))
+    placed = cut(instants.repartitionByRange(ranges, "page", "captured_at").withColumn("part", F.spark_partition_id()))
+
+    at = F.when(F.col("full").isNotNull(), F.col("captured_at"))
+    last = placed.groupBy("page", "part").agg(F.max_by("full", at).alias("last"))
+    before = Window.partitionBy("page").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = last.select("page", "part", F.last("last", ignorenulls=True).over(before).alias("handed"))
+    # the range leaves out whatever has the row's own time
+    within = Window.partitionBy("page", "part").orderBy("captured_at").rangeBetween(Window.unboundedPreceding, -1)
+    answers = placed.withColumn("near", F.max_by("full", at).over(within)).where("full is null").join(handed, ["page", "part"])
+    answers = answers.select(F.col("page").alias("_page"), F.col("captured_at").alias("_at"), F.coalesce("near", "handed").alias("full"))
+    found = asked.join(answers, (F.col("page") == F.col("_page")) & (F.col("captured_at") == F.col("_at")), "left").drop("_page", "_at")
 
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     same = (
@@ -84,12 +123,10 @@ def resolve_revisits(records: DataFrame, rows_per_bucket: int = 5_000) -> DataFr
         .when(has("digest"), F.col("digest").eqNullSafe(F.col("full.digest")))
     )
     outcome = F.when(F.col("full").isNull(), "no-response").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
-    none = F.create_map().cast("map<string,string>")
-    lower = lambda m: F.map_from_entries(F.transform(F.map_entries(F.coalesce(m, none)), lambda e: F.struct(F.lower(e["key"]), e["value"])))
-    update = F.map_filter(lower(F.col("headers")), lambda k, v: ~k.isin(*NOT_MERGED) & v.isNotNull())
-    stored = F.map_filter(lower(F.col("full.headers")), lambda k, v: ~F.map_contains_key(update, k))
-    merged = F.map_concat(stored, update)
-    found = found.withColumn("outcome", outcome)
+    update = F.map_filter(_lower_headers(F.col("headers")), lambda k, v: ~k.isin(*NOT_MERGED))
+    found = found.withColumn("outcome", outcome).withColumn("update", update)
+    stored = F.map_filter(_lower_headers(F.col("full.headers")), lambda k, v: ~F.map_contains_key("update", k))
+    merged = F.map_concat(stored, F.col("update"))
     return found.select(
         "record_id",
         F.col("page").alias("canonical_url"),

@@ -145,6 +145,24 @@ def test_canonical_urls(spark):
     same = ["http://www.A.example.com/x/?utm_source=f&b=2&a=1#top", "https://a.example.com/x?a=1&b=2", "HTTPS://m.a.example.com:443/x/?b=2&a=1&ref=q"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in same], "u string").select(warc.canonical_url(F.col("u"))).collect()]
     assert set(got) == {"a.example.com/x?a=1&b=2"}
+    pairs = {"//H.example.com//a/./b/../%7euser/": "h.example.com/a/~user", "https://me:pw@h.example.com:80/%3f%2f?%41=1": "h.example.com/%3F%2F?A=1", "http://h.example.com/../..": "h.example.com", "h.example.com/100%": "h.example.com/100%", "http://h.example.com/%zz": "h.example.com/%zz"}
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in pairs], "u string").select(warc.canonical_url(F.col("u"))).collect()]
+    assert got == list(pairs.values())
+
+
+def test_headers_alike_but_for_case(spark):
+    rows = [(1, "http://a/", "response", 1, '"e"', None, None, {"Vary": "x", "vary": "y", "Set-Cookie": None, "A": "1"}, "", ""), (2, "http://a/", "revisit", 2, '"e"', None, None, {"a": "2", "A": "3", "b": None}, "", "")]
+    found = warc.resolve_revisits(spark.createDataFrame(rows, RECORD)).collect()
+    assert [r["headers"] for r in found] == [{"vary": "x, y", "a": "3, 2"}]
+
+
+def test_very_many_captures_at_one_instant(spark):
+    table = spark.range(6000).selectExpr("id as record_id", "'http://a/' as url", "if(id % 3 = 0, 'response', 'revisit') as kind", "if(id % 50 = 0, id, 3000) as captured_at", "cast(null as string) as etag", "cast(null as string) as last_modified", "cast(null as string) as digest", "cast(null as map<string,string>) as headers")
+    found = {r["record_id"]: r["response_id"] for r in warc.resolve_revisits(table, 100).collect()}
+    full = [(i if i % 50 == 0 else 3000, i) for i in range(0, 6000, 3)]
+    best = lambda t: max((x for x in full if x[0] < t), default=(None, None))[1]
+    answers = {t: best(t) for t in {3000, *range(0, 6000, 50)}}
+    assert found == {i: answers[i if i % 50 == 0 else 3000] for i in range(6000) if i % 3}
 
 
 def test_revisits_equal_plain_rule(spark):
