@@ -296,19 +296,25 @@ def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 3
     sets = cut(sets.select("text").mapInArrow(_set_rows(n), "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")))
 
     links = cut(_verified(near, sets, least))
-    for turn in range(rounds + 1):
-        if turn:
-            roots = connected_components(links)
-            placed = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        else:
-            placed = keyed.withColumn("root", F.col("node"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("one"), F.min_by("root", F.xxhash64("node", F.lit(turn))).alias("of")).where("low < high")
+    placed, known, turn = keyed.withColumn("root", F.col("node")), links.count(), 0
+    while True:
+        pick = F.xxhash64("node", F.lit(turn))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), pick).alias("one"))
+        mixed = cut(mixed.where("low < high").select("key", "one"))
+        if mixed.isEmpty():
+            break
         if turn < rounds:
-            pairs = placed.join(mixed.select("key", "one", "of"), "key").where("root <> of").select(F.col("node").alias("a"), F.col("one").alias("b"))
+            pairs = placed.join(mixed, "key").where("root <> one.root").select(F.col("node").alias("a"), F.col("one.node").alias("b"))
         else:
             left = cut(placed.join(mixed.select("key"), "key"))
             pairs = left.toDF("key", "a", "ra").join(left.toDF("key", "b", "rb"), "key").where("ra < rb").select("a", "b")
         links = cut(links.unionAll(_verified(pairs, sets, least)))
+        if turn >= rounds:
+            break
+        now = links.count()
+        # a round that finds nothing new leaves only texts that share bands without being near
+        turn, known = (turn + 1 if now > known else rounds), now
+        placed = cut(keyed.join(connected_components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     roots = connected_components(links)
     return _named(cut(rows.select("row_key", "doc_id", "node").join(roots, "node", "left").select("row_key", "doc_id", F.coalesce("root", "node").alias("root"))))
 
