@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipwright.functions import lexicons as lx
@@ -30,14 +31,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def hits(text: Column, lexicon: Sequence[str]) -> Column:
+@dataclass(frozen=True)
+class Text:
+    """A text with what the word scores look at: itself in lower case, and its distinct pieces between white space."""
+
+    raw: Column
+    low: Column
+    pieces: Column
+
+
+def prepared(df: DataFrame, column: str = "text") -> tuple[DataFrame, Text]:
+    """`df` with the columns that a `Text` of `column` needs, _low and _pieces, so that each is made once for all scores."""
+    rows = df.withColumn("_low", F.lower(F.coalesce(column, F.lit(""))))
+    rows = rows.withColumn("_pieces", F.array_join(F.array_distinct(F.split("_low", "\\s+")), " "))
+    return rows, Text(F.col(column), F.col("_low"), F.col("_pieces"))
+
+
+def raw(text: Column | Text) -> Column:
+    return text.raw if isinstance(text, Text) else text
+
+
+def _each(text: Column | Text, lexicon: Sequence[str], join: Callable[[list[Column]], Column]) -> Column:
+    # a word without white space is in the text if and only if it is in one of its pieces
+    if isinstance(text, Text):
+        return join([(text.low if any(c.isspace() for c in w) else text.pieces).contains(w) for w in lexicon])
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: join([low.contains(w) for w in lexicon]))
+
+
+def hits(text: Column | Text, lexicon: Sequence[str]) -> Column:
     """How many words of the lexicon occur in the lower-cased text."""
-    count = lambda low: sum((low.contains(w).cast("int") for w in lexicon[1:]), low.contains(lexicon[0]).cast("int"))
-    return let(F.lower(F.coalesce(text, F.lit(""))), count)
+    return _each(text, lexicon, lambda found: reduce(lambda a, b: a + b, [f.cast("int") for f in found]))
 
 
-def any_of(text: Column, lexicon: Sequence[str]) -> Column:
-    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: reduce(lambda a, w: a | low.contains(w), lexicon[1:], low.contains(lexicon[0])))
+def any_of(text: Column | Text, lexicon: Sequence[str]) -> Column:
+    return _each(text, lexicon, lambda found: reduce(lambda a, b: a | b, found))
 
 
 def occurrences(text: Column, sign: str) -> Column:
@@ -69,63 +96,63 @@ def segment_text_quality(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(capped(score, 1.0))
 
 
-def clip_text_quality(text: Column) -> Column:
-    n = n_words(text)
-    sentence = F.regexp_replace(text, "[.\\s]", "") != ""
+def clip_text_quality(text: Column | Text) -> Column:
+    n = n_words(raw(text))
+    sentence = F.regexp_replace(raw(text), "[.\\s]", "") != ""
     score = (
         F.when((n >= 10) & (n <= 100), 0.3).when(n >= 5, 0.1).otherwise(0.0)
         + F.when(sentence, 0.2).otherwise(0.0)
-        + F.when(_open_end(text), 0.0).otherwise(0.1)
-        + F.when(text.rlike("[?!]"), 0.1).otherwise(0.0)
+        + F.when(_open_end(raw(text)), 0.0).otherwise(0.1)
+        + F.when(raw(text).rlike("[?!]"), 0.1).otherwise(0.0)
     )
-    return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(score)
+    return F.when(F.coalesce(raw(text), F.lit("")) == "", 0.0).otherwise(score)
 
 
-def clip_engagement(text: Column) -> Column:
+def clip_engagement(text: Column | Text) -> Column:
     score = (
         capped(hits(text, lx.CLIP_ENGAGEMENT) * 0.05, 0.2)
         + capped(hits(text, lx.CLIP_PRACTICE) * 0.08, 0.3)
         + capped(hits(text, lx.CLIP_INSTRUCTION) * 0.06, 0.2)
-        + capped(occurrences(text, "?") * 0.08, 0.15)
-        + capped(occurrences(text, "!") * 0.05, 0.1)
+        + capped(occurrences(raw(text), "?") * 0.08, 0.15)
+        + capped(occurrences(raw(text), "!") * 0.05, 0.1)
         + F.when(any_of(text, lx.CLIP_ADDRESS), 0.15).otherwise(0.0)
         + F.when(any_of(text, lx.CLIP_BREATH), 0.1).otherwise(0.0)
         + F.when(any_of(text, lx.CLIP_MOVEMENT), 0.1).otherwise(0.0)
     )
-    return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(capped(score, 1.0))
+    return F.when(F.coalesce(raw(text), F.lit("")) == "", 0.0).otherwise(capped(score, 1.0))
 
 
-def clip_type(text: Column) -> Column:
+def clip_type(text: Column | Text) -> Column:
     pose = any_of(text, lx.POSE)
     out = (
-        F.when(F.coalesce(text, F.lit("")) == "", "general")
+        F.when(F.coalesce(raw(text), F.lit("")) == "", "general")
         .when(pose & any_of(text, ["breathe", "inhale", "exhale", "hold"]), "yoga_breathing")
         .when(pose & any_of(text, ["move", "flow", "transition"]), "yoga_movement")
         .when(pose, "yoga_instruction")
     )
     for label, lexicon in lx.CLIP_TYPES.items():
         rule = any_of(text, lexicon)
-        out = out.when(rule | text.contains("?") if label == "interactive" else rule, label)
+        out = out.when(rule | raw(text).contains("?") if label == "interactive" else rule, label)
     return out.otherwise("instruction")
 
 
-def speech_type(text: Column) -> Column:
-    out = F.when(text.contains("?"), "question")
+def speech_type(text: Column | Text) -> Column:
+    out = F.when(raw(text).contains("?"), "question")
     for label, lexicon in lx.SPEECH_TYPES.items():
         out = out.when(any_of(text, lexicon), label)
     return out.otherwise("general")
 
 
-def best_label(text: Column, groups: dict[str, Sequence[str]], default: str) -> Column:
+def best_label(text: Column | Text, groups: dict[str, Sequence[str]], default: str) -> Column:
     """The group with most hits; the first of equal ones; `default` without any."""
     scored = F.array(*[F.struct(hits(text, lexicon).alias("n"), F.lit(-i).alias("first"), F.lit(label).alias("label")) for i, (label, lexicon) in enumerate(groups.items())])
     return let(F.array_max(scored), lambda best: F.when(best["n"] > 0, best["label"]).otherwise(default))
 
 
-def emotional_intensity(text: Column) -> Column:
-    n = n_words(text)
+def emotional_intensity(text: Column | Text) -> Column:
+    n = n_words(raw(text))
     score = hits(text, lx.EMOTION["high"]) * 1.0 + hits(text, lx.EMOTION["medium"]) * 0.5 + hits(text, lx.EMOTION["low"]) * 0.1
-    score = score + occurrences(text, "!") * 0.2 + occurrences(text, "?") * 0.1
+    score = score + occurrences(raw(text), "!") * 0.2 + occurrences(raw(text), "?") * 0.1
     return F.when(n > 0, capped(score / n, 1.0)).otherwise(0.0)
 
 
@@ -143,14 +170,14 @@ def theme_score(text: Column, theme: str) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(capped(score, 1.0))
 
 
-def viral_potential(text: Column, has_faces: Column | None = None, high_motion: Column | None = None) -> Column:
+def viral_potential(text: Column | Text, has_faces: Column | None = None, high_motion: Column | None = None) -> Column:
     flag = lambda c: F.lit(0.0) if c is None else F.when(c, 0.05).otherwise(0.0)
     feeling = capped(hits(text, lx.FEELINGS) * 0.2, 1.0)
     score = (
         capped(hits(text, lx.VIRAL) * 0.1, 0.3)
         + capped(hits(text, lx.HOOKS) * 0.1, 0.2)
         + capped(feeling * 0.15, 0.15)
-        + capped(occurrences(text, "?") * 0.05, 0.1)
+        + capped(occurrences(raw(text), "?") * 0.05, 0.1)
         + capped(hits(text, lx.URGENCY) * 0.05, 0.1)
         + capped(hits(text, lx.SOCIAL_PROOF) * 0.05, 0.1)
         + flag(has_faces)
@@ -159,7 +186,7 @@ def viral_potential(text: Column, has_faces: Column | None = None, high_motion:
     return capped(score, 1.0)
 
 
-def optimization_score(text: Column, viral: Column, duration: Column, quality: Column) -> Column:
+def optimization_score(text: Column | Text, viral: Column, duration: Column, quality: Column) -> Column:
     content = (
         capped(hits(text, lx.VIRAL) * 0.1, 0.3)
         + capped(hits(text, lx.HOOKS) * 0.15, 0.3)
@@ -170,7 +197,7 @@ def optimization_score(text: Column, viral: Column, duration: Column, quality: C
     return quality * 0.4 + viral * 0.3 + content * 0.2 + length * 0.1
 
 
-def audience(text: Column) -> Column:
+def audience(text: Column | Text) -> Column:
     def of_category(category: Column) -> Column:
         out = F.when(F.lit(False), "general")
         for label, target in lx.CATEGORY_AUDIENCE.items():

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clipwright.functions import lexicons as lx
-from clipwright.functions.text import any_of, best_label, capped, hits, strip, words
+from clipwright.functions.text import any_of, best_label, capped, hits, let, n_words, occurrences, strip, words
 
 
 def long_sentences(text: Column) -> Column:
@@ -96,3 +96,56 @@ def cleaned_reply(text: Column) -> Column:
     inner = F.regexp_replace(inner, "^[\"']+|[\"']+$", "")
     inner = F.regexp_replace(inner, "(?i)^(title:|description:)\\s*", "")
     return strip(F.regexp_replace(F.regexp_replace(inner, "^[*_`]+|[*_`]+$", ""), "\\s+", " "))
+
+
+# Words of file names and texts that tell what a video is.
+NAMES = {"educational": ["tutorial", "lesson", "course", "guide", "how"], "entertainment": ["funny", "comedy", "entertainment", "fun"]}
+KIND_WORDS = {
+    "educational": ["learn", "tutorial", "how to", "explain", "lesson", "course", "teach", "education", "study", "guide", "training", "tip", "technique", "method", "process", "step", "instruction"],
+    "entertainment": ["funny", "laugh", "comedy", "joke", "entertainment", "fun", "amazing", "incredible", "wow", "cool", "awesome", "epic", "hilarious", "crazy", "wild", "unbelievable", "shocking"],
+}
+
+
+def video_kind(name: Column, text: Column) -> Column:
+    """By the file's name, else by which words the text has more of, three at least."""
+    taught, fun = hits(text, KIND_WORDS["educational"]), hits(text, KIND_WORDS["entertainment"])
+    named = F.when(any_of(name, NAMES["educational"]), "educational").when(any_of(name, NAMES["entertainment"]), "entertainment")
+    return named.when((taught > fun) & (taught > 2), "educational").when(fun > 2, "entertainment").otherwise("social_media")
+
+
+def emphasis_level(text: Column) -> Column:
+    """Words of emphasis and words in capitals as shares of the words, and exclamation and question marks of the characters; 1 at most."""
+    loud = lambda w: (F.upper(w) == w) & (F.lower(w) != w)
+    score = let(words(text), lambda ws: (F.size(F.filter(ws, lambda w: w.isin(*lx.EMPHASIS_TOKENS))) + F.size(F.filter(ws, loud))) / F.size(ws))
+    signs = (occurrences(text, "!") + occurrences(text, "?")) / F.length(text)
+    return F.when(n_words(text) > 0, F.least(F.lit(1.0), score + signs)).otherwise(0.0)
+
+
+def text_transform(text: Column, how: str) -> Column:
+    """`uppercase`, `lowercase`, `capitalize` (the first letter, the others small), or as it is."""
+    capital = F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1_000_000)))
+    return {"uppercase": F.upper(text), "lowercase": F.lower(text), "capitalize": capital}.get(how, text)
+
+
+def frame_seconds(frame: Column, fps: Column) -> Column:
+    """The time of a frame counted from 1."""
+    return (frame - 1) / fps
+
+
+def clock(seconds: Column) -> Column:
+    """HH:MM:SS"""
+    whole = F.floor(seconds)
+    return F.format_string("%02d:%02d:%02d", F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60)
+
+
+def technical_notes(emotion: Column, questions: Column, urgency: Column, viral: Column, has_faces: Column, motion: Column, duration: Column) -> Column:
+    """Advice by thresholds: a struct of arrays."""
+    some = lambda *rules: F.filter(F.array(*[F.when(rule, F.lit(note)) for rule, note in rules]), lambda x: x.isNotNull())
+    always = F.lit(True)
+    return F.struct(
+        some((emotion > 0.7, "Add dynamic cuts during emotional peaks"), (questions > 0, "Pause briefly after questions for impact")).alias("recommended_edits"),
+        some((always, "Ensure clear speech throughout"), (urgency > 0, "Consider faster pacing for urgency")).alias("audio_recommendations"),
+        some((has_faces, "Ensure faces are clearly visible"), (motion == "low", "Consider adding motion or zoom effects")).alias("visual_recommendations"),
+        some((duration > 45, "Consider faster pacing or cutting content"), (duration < 20, "Could expand with additional context")).alias("pacing_notes"),
+        some((viral == 0, "Consider adding hook words or phrases"), (questions == 0, "Add rhetorical questions to engage viewers")).alias("engagement_tips"),
+    )

@@ -11,27 +11,21 @@ from pyspark.sql.window import Window
 from clipwright.functions.text import strip
 
 
-def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], width: float = 60.0, closed: bool = False, how: str = "inner") -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], width: float = 60.0, closed: bool = False) -> DataFrame:
     """Rows of equal `by` whose spans overlap, with all columns of both; `by` once, other names must differ.
 
     Spans overlap if each starts before the other ends (`closed`: or just then). Both sides are
     dealt to buckets of `width` seconds that they touch, so a video of any length is joined by many
-    tasks; a pair that shares several buckets comes from the first one only. `how` may be `left`.
+    tasks; a pair that shares several buckets comes from the first one only.
     """
     bucket = lambda c: F.floor(F.col(c) / width).cast("long")
     spread = lambda df, span, name: df.withColumn(name, F.explode(F.sequence(bucket(span[0]), F.greatest(bucket(span[0]), bucket(span[1])))))
     a, b = left_span
     c, d = right_span
-    keyed = left.withColumn("_row", F.struct(*left.columns)) if how == "left" else left
-    lhs = spread(keyed, left_span, "_bucket")
+    lhs = spread(left, left_span, "_bucket")
     rhs = spread(right, right_span, "_bucket")
     meet = (F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) if closed else (F.col(a) < F.col(d)) & (F.col(c) < F.col(b))
-    joined = lhs.join(rhs, [*by, "_bucket"]).where(meet & (F.col("_bucket") == F.greatest(bucket(a), bucket(c)))).drop("_bucket")
-    if how == "inner":
-        return joined
-    found = joined.select("_row", *[x for x in right.columns if x not in by])
-    alone = keyed.join(found.select("_row").distinct(), "_row", "left_anti").select("_row", *[F.lit(None).cast(right.schema[x].dataType).alias(x) for x in right.columns if x not in by])
-    return found.unionByName(alone).select("_row.*", *[x for x in right.columns if x not in by])
+    return lhs.join(rhs, [*by, "_bucket"]).where(meet & (F.col("_bucket") == F.greatest(bucket(a), bucket(c)))).drop("_bucket")
 
 
 def segment_text(segments: DataFrame, transcript: DataFrame, width: float = 60.0) -> DataFrame:
@@ -59,10 +53,17 @@ def nearest_vision(segments: DataFrame, vision: DataFrame, within: float = 10.0)
     last = vision.groupBy("video_id", F.col("start").alias("v_start")).agg(
         F.min("pos").alias("pos"), *[F.max_by(c, "pos").alias(c) for c in ("visual_score", "visual_interest", "people_count", "scene_type")]
     )
-    reach = segments.select("video_id", "segment_id", "seg_start", (F.col("seg_start") - within).alias("_from"), (F.col("seg_start") + within).alias("_to"))
-    points = last.withColumn("_at", F.col("v_start"))
-    met = interval_join(reach, points, ["video_id"], ("_from", "_to"), ("v_start", "_at"))
-    best = met.groupBy("video_id", "segment_id").agg(F.min(F.struct(F.abs(F.col("v_start") - F.col("seg_start")).alias("dt"), "pos", "v_start", "visual_score", "visual_interest", "people_count", "scene_type")).alias("v"))
+    kept = F.struct("v_start", "pos", "visual_score", "visual_interest", "people_count", "scene_type")
+    marks = last.select("video_id", F.col("v_start").alias("_at"), kept.alias("v"), F.lit(0).alias("_asks"), F.lit(None).cast(segments.schema["segment_id"].dataType).alias("segment_id"))
+    asked = segments.select("video_id", F.col("seg_start").alias("_at"), F.lit(None).cast(marks.schema["v"].dataType).alias("v"), F.lit(1).alias("_asks"), "segment_id")
+    # one sort by video and time brings both sides together: the nearest is the last before or the first after
+    w = Window.partitionBy("video_id").orderBy("_at", "_asks")
+    before = F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("v", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    both = marks.unionByName(asked).select("video_id", "segment_id", "_at", "_asks", F.array(before, after).alias("_both")).where("_asks = 1")
+    away = lambda v: F.struct(F.abs(v["v_start"] - F.col("_at")).alias("dt"), v["pos"].alias("pos"), v.alias("v"))
+    near = F.array_min(F.filter(F.transform(F.filter("_both", lambda v: v.isNotNull()), away), lambda x: x["dt"] < within))
+    best = both.select("video_id", "segment_id", near["v"].alias("v")).where("v is not null")
     joined = segments.join(best, ["video_id", "segment_id"], "left")
     people = F.when(F.col("v.people_count") > 0, 0.1).otherwise(0.0)
     lively = F.when(F.col("v.scene_type").isin("action", "demonstration", "presentation"), 0.05).otherwise(0.0)
@@ -163,9 +164,9 @@ def gaps_between(segments: DataFrame, least: float = 5.0) -> DataFrame:
     return segments.select("video_id", F.col("seg_end").alias("gap_start"), F.lead("seg_start").over(w).alias("gap_end")).where(F.col("gap_end") - F.col("gap_start") > least)
 
 
-def first_containing(points: DataFrame, spans: DataFrame, key: Column | str = "span_start") -> DataFrame:
-    """Each point (video_id, ts) with the first span (video_id, span_start, span_end, ...) that holds it, ends included; points in none are left out."""
+def first_containing(points: DataFrame, spans: DataFrame, by: Sequence[str] = ("video_id", "ts"), key: Column | str = "span_start") -> DataFrame:
+    """Each point (video_id, ts; told apart by `by`) with the first span (video_id, span_start, span_end, ...) that holds it, ends included; points in none are left out."""
     at = points.withColumn("_to", F.col("ts"))
     met = interval_join(at, spans, ["video_id"], ("ts", "_to"), ("span_start", "span_end"), closed=True)
-    w = Window.partitionBy("video_id", "ts").orderBy(key)
+    w = Window.partitionBy(*by).orderBy(key)
     return met.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_to")

@@ -84,9 +84,9 @@ def run_summary(segments: DataFrame, videos: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("videos"), F.count_if(F.col("count").isNull()).alias("without_segments"), F.coalesce(F.sum("count"), F.lit(0)).alias("segments"), F.avg(F.coalesce("count", F.lit(0))).alias("segments_per_video"))
 
 
-def video_issues(videos: DataFrame) -> DataFrame:
+def video_issues(videos: DataFrame, shortest: float = 1.0) -> DataFrame:
     """Videos (duration, fps, width, height) with what is wrong with them."""
-    rules = {"too_short": F.col("duration") < 1, "low_fps": F.col("fps") < 10, "low_resolution": (F.col("width") < 640) | (F.col("height") < 480)}
+    rules = {"too_short": F.col("duration") < shortest, "low_fps": F.col("fps") < 10, "low_resolution": (F.col("width") < 640) | (F.col("height") < 480)}
     return videos.withColumn("issues", F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull()))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clipwright.functions import lexicons as lx
-from clipwright.functions.text import any_of, clip_engagement, clip_text_quality, clip_type, end_quality, flow_quality, hits, segment_text_quality, start_quality, words
+from clipwright.functions.text import any_of, clip_engagement, clip_text_quality, clip_type, end_quality, flow_quality, hits, prepared, segment_text_quality, start_quality, words
 from clipwright.operators.intervals import interval_join
 from clipwright.operators.windows import sentence_starts
 
@@ -26,9 +26,10 @@ def duration_factor(duration: Column) -> Column:
 def scored(segments: DataFrame) -> DataFrame:
     """Quality, engagement and content type of segments with text."""
     dur = F.col("seg_end") - F.col("seg_start")
-    quality = F.least(F.lit(1.0), (F.lit(0.5) + clip_text_quality(F.col("text"))) * duration_factor(dur))
-    engagement = F.least(F.lit(1.0), F.lit(0.5) + clip_engagement(F.col("text")))
-    return segments.select("*", F.round(quality, 4).alias("quality_score"), F.round(engagement, 4).alias("engagement_score"), clip_type(F.col("text")).alias("content_type"))
+    rows, text = prepared(segments)
+    quality = F.least(F.lit(1.0), (F.lit(0.5) + clip_text_quality(text)) * duration_factor(dur))
+    engagement = F.least(F.lit(1.0), F.lit(0.5) + clip_engagement(text))
+    return rows.select(*segments.columns, F.round(quality, 4).alias("quality_score"), F.round(engagement, 4).alias("engagement_score"), clip_type(text).alias("content_type"))
 
 
 def preliminary_quality(segments: DataFrame) -> DataFrame:
@@ -81,9 +82,14 @@ def overlaps(a: dict, b: dict) -> bool:
 
 
 def greedy_top(segments: DataFrame, most: int = 3) -> DataFrame:
-    """The best segments of each video that don't overlap."""
-    columns = ["video_id", "segment_id", "seg_start", "seg_end", "quality_score"]
-    return greedy(segments.select(*columns), [("quality_score", False), ("seg_start", True), ("seg_end", True), ("segment_id", True)], overlaps, most)
+    """The best segments of each video that don't overlap. What is carried from row to row are the few that are taken."""
+    columns = ["segment_id", "seg_start", "seg_end", "quality_score"]
+    row = F.struct((-F.col("quality_score")).alias("q"), "seg_start", "seg_end", "segment_id", "quality_score")
+    rows = segments.groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    kind = rows.schema["_rows"].dataType.simpleString()
+    clash = lambda a, b: (a["seg_start"] < b["seg_end"]) & (b["seg_start"] < a["seg_end"])
+    step = lambda kept, r: F.when((F.size(kept) < most) & ~F.exists(kept, lambda k: clash(r, k)), F.array_append(kept, r)).otherwise(kept)
+    return rows.select("video_id", F.explode(F.aggregate("_rows", F.array().cast(kind), step)).alias("_r")).select("video_id", *[f"_r.{c}" for c in columns])
 
 
 def overlap_ratio(start1: Column, end1: Column, start2: Column, end2: Column) -> Column:
@@ -128,43 +134,45 @@ def deduplicated(segments: DataFrame, most: int = 200, similarity: float = 0.9)
     return segments.join(kept, ["video_id", "segment_id"], "left_semi")
 
 
-def _fold(df: DataFrame, columns: Sequence[str], order: Sequence[str], step: Callable[[Column, Column], Column]) -> DataFrame:
-    """A video's rows in order, folded into a list that `step(list, row)` extends or changes at its end."""
-    row = F.struct(*order, *[c for c in columns if c not in order])
-    rows = df.groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    kind = rows.schema["_rows"].dataType.simpleString()
-    out = F.aggregate("_rows", F.array().cast(kind), step)
-    return rows.select("video_id", F.explode(out).alias("_r")).select("video_id", *[f"_r.{c}" for c in columns])
+def _fold(df: DataFrame, by: Sequence[str], columns: Sequence[str], order: Sequence[str], step: Callable[[list[list], list], None]) -> DataFrame:
+    """The rows (columns) of each `by` in order, of which `step(kept, row)` makes the list of those that stay: it adds rows at the end or changes the last one."""
+    rows = df.select(*by, *columns)
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[list] = []
+        pdf = pdf.sort_values(list(order), kind="stable")
+        for row in pdf[list(columns)].astype(object).itertuples(index=False, name=None):
+            step(kept, list(row))
+        out = pd.DataFrame(kept, columns=list(columns)).astype(pdf[list(columns)].dtypes.to_dict())
+        for name in by:
+            out[name] = pdf[name].iloc[0]
+        return out[[*by, *columns]]
 
-def near_duplicates_merged(segments: DataFrame, within: float = 5.0) -> DataFrame:
-    """By start, of segments whose ends both lie within `within` of the last kept, the better one stays."""
-    columns = ["segment_id", "seg_start", "seg_end", "quality_score"]
+    return rows.groupBy(*by).applyInPandas(run, rows.schema)
 
-    def step(kept: Column, row: Column) -> Column:
-        last = F.element_at(kept, -1)
-        near = (F.abs(row["seg_start"] - last["seg_start"]) <= within) & (F.abs(row["seg_end"] - last["seg_end"]) <= within)
-        rest = F.slice(kept, 1, F.size(kept) - 1)
-        return F.when(F.size(kept) == 0, F.array_append(kept, row)).when(~near, F.array_append(kept, row)).when(row["quality_score"] > last["quality_score"], F.array_append(rest, row)).otherwise(kept)
 
-    return _fold(segments, columns, ["seg_start", "seg_end", "segment_id"], _guarded(step))
+def near_duplicates_merged(segments: DataFrame, within: float = 5.0) -> DataFrame:
+    """By start, of segments whose ends both lie within `within` of the last kept, the better one stays."""
 
+    def step(kept: list[list], row: list) -> None:
+        if not kept or abs(row[1] - kept[-1][1]) > within or abs(row[2] - kept[-1][2]) > within:
+            kept.append(row)
+        elif row[3] > kept[-1][3]:
+            kept[-1] = row
 
-def _guarded(step: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
-    """The first row is always taken; element_at of an empty list would fail."""
-    return lambda kept, row: F.when(F.size(kept) == 0, F.array_append(kept, row)).otherwise(step(kept, row))
+    return _fold(segments, ["video_id"], ["segment_id", "seg_start", "seg_end", "quality_score"], ["seg_start", "seg_end", "segment_id"], step)
 
 
 def merged_breaks(breaks: DataFrame, gap: float = 2.0) -> DataFrame:
     """Breaks in order: one less than `gap` after the last kept replaces it if its confidence is higher, and else is dropped."""
-    columns = ["ts", "type", "confidence"]
 
-    def step(kept: Column, row: Column) -> Column:
-        last = F.element_at(kept, -1)
-        rest = F.slice(kept, 1, F.size(kept) - 1)
-        return F.when(row["ts"] - last["ts"] >= gap, F.array_append(kept, row)).when(row["confidence"] > last["confidence"], F.array_append(rest, row)).otherwise(kept)
+    def step(kept: list[list], row: list) -> None:
+        if not kept or row[0] - kept[-1][0] >= gap:
+            kept.append(row)
+        elif row[2] > kept[-1][2]:
+            kept[-1] = row
 
-    return _fold(breaks, columns, ["ts", "type"], _guarded(step))
+    return _fold(breaks, ["video_id"], ["ts", "type", "confidence"], ["ts", "type", "confidence"], step)
 
 
 def resolved_overlaps(segments: DataFrame) -> DataFrame:
@@ -175,30 +183,37 @@ def resolved_overlaps(segments: DataFrame) -> DataFrame:
     outer one ends there. No segment is dropped and none ends before it starts; the results don't
     overlap, but a segment of no length left (one within rows of equal start) has start = end.
     """
-    columns = ["segment_id", "seg_start", "seg_end"]
 
-    def step(kept: Column, row: Column) -> Column:
-        last = F.element_at(kept, -1)
-        start = F.greatest(last["seg_start"], row["seg_start"])
-        middle = (start + F.greatest(start, F.least(last["seg_end"], row["seg_end"]))) / 2
-        rest = F.slice(kept, 1, F.size(kept) - 1)
-        split = F.array_append(F.array_append(rest, last.withField("seg_end", middle)), row.withField("seg_start", middle).withField("seg_end", F.greatest(middle, row["seg_end"])))
-        return F.when(row["seg_start"] < last["seg_end"], split).otherwise(F.array_append(kept, row))
+    def step(kept: list[list], row: list) -> None:
+        if kept and row[1] < kept[-1][2]:
+            start = max(kept[-1][1], row[1])
+            middle = (start + max(start, min(kept[-1][2], row[2]))) / 2
+            kept[-1][2], row[1], row[2] = middle, middle, max(middle, row[2])
+        kept.append(row)
 
-    return _fold(segments, columns, ["seg_start", "seg_end", "segment_id"], _guarded(step))
+    return _fold(segments, ["video_id"], ["segment_id", "seg_start", "seg_end"], ["seg_start", "seg_end", "segment_id"], step)
 
 
 def spaced(points: DataFrame, gap: float) -> DataFrame:
     """Points (video_id, ts) at least `gap` after the last accepted one."""
-    step = lambda kept, row: F.when(row["ts"] - F.element_at(kept, -1)["ts"] >= gap, F.array_append(kept, row)).otherwise(kept)
-    return _fold(points, ["ts"], ["ts"], _guarded(step))
+
+    def step(kept: list[list], row: list) -> None:
+        if not kept or row[0] - kept[-1][0] >= gap:
+            kept.append(row)
+
+    return _fold(points, ["video_id"], ["ts"], ["ts"], step)
 
 
 def actor_segments(appearances: DataFrame, length: float = 60.0) -> DataFrame:
-    """For each actor, windows around appearances in time order, each left out if it overlaps one taken before."""
+    """For each actor, windows around appearances in time order, each left out if it overlaps the one taken before."""
     start = F.greatest(F.lit(0.0), F.col("t") - length / 2)
     rows = appearances.select("video_id", "actor", F.col("t").cast("double").alias("t"), start.alias("seg_start"), (start + length).alias("seg_end")).distinct()
-    return greedy(rows, [("t", True)], overlaps, by=("video_id", "actor"))
+
+    def step(kept: list[list], row: list) -> None:
+        if not kept or row[1] >= kept[-1][2]:
+            kept.append(row)
+
+    return _fold(rows, ["video_id", "actor"], ["t", "seg_start", "seg_end"], ["t"], step)
 
 
 def diverse(segments: DataFrame, most: int = 5, gap: float = 15.0) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -84,23 +86,84 @@ def search(vectors: DataFrame, references: DataFrame, least: float = 0.75, most:
     return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("ref_id", "vec_id", "score", "place")
 
 
-def leader_clusters(vectors: DataFrame, by: str, least: float = 0.45) -> DataFrame:
-    """In order of vec_id, each vector joins the first leader with a cosine above `least`, or else becomes one; within each `by` (a video)."""
+def _cut(df: DataFrame) -> DataFrame:
+    """`df` written to the session's checkpoint folder; only where none is set, a folder under /tmp."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint(eager=True)
 
+
+def _unit(rows: list) -> np.ndarray:
+    x = np.stack([np.asarray(v, float) for v in rows])
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _first_leaders(least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The first leader of one piece that each vector of the block is near to."""
+        leaders, own = pdf[pdf["leader"]].sort_values("vec_id"), pdf[~pdf["leader"]]
+        if leaders.empty or own.empty:
+            return pd.DataFrame({"vec_id": [], "leader_id": []}, dtype="int64")
+        near = _unit(own["v"]) @ _unit(leaders["v"]).T > least
+        hit = near.any(1)
+        return pd.DataFrame({"vec_id": own["vec_id"].to_numpy()[hit], "leader_id": leaders["vec_id"].to_numpy()[near.argmax(1)[hit]]})
+
+    return run
+
+
+def _settled(least: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The block's vectors that no earlier leader is near to, among themselves in order."""
         pdf = pdf.sort_values("vec_id")
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        ids, leaders, out = pdf["vec_id"].to_numpy(), [], []
+        x, ids = _unit(pdf["v"]), pdf["vec_id"].to_numpy()
+        leaders, out = [], []
         for i in range(len(x)):
             near = np.flatnonzero(x[leaders] @ x[i] > least) if leaders else []
-            if len(near):
-                out.append(ids[leaders[near[0]]])
-            else:
+            out.append(leaders[near[0]] if len(near) else i)
+            if not len(near):
                 leaders.append(i)
-                out.append(ids[i])
-        return pd.DataFrame({by: pdf[by].to_numpy(), "vec_id": ids, "leader_id": out})
+        return pd.DataFrame({"vec_id": ids, "leader_id": ids[out]})
+
+    return run
 
-    rows = vectors.select(by, "vec_id", "embedding")
+
+def leader_clusters(vectors: DataFrame, by: str, least: float = 0.45, block: int = 4_096, piece: int = 4_096) -> DataFrame:
+    """In order of vec_id, each vector joins the first leader with a cosine above `least`, or else becomes one; within each `by` (a video).
+
+    A group goes through its vectors in blocks of `block`: those of a block meet the leaders so far, dealt in pieces of `piece` to
+    tasks of their own; what none of them is near to is settled in one task, which so holds one block at most. All groups go
+    through their blocks together. Ids are distinct within a group; rows without id or vector are left out.
+    """
+    w = Window.partitionBy(by).orderBy("vec_id")
+    rows = vectors.where("vec_id is not null and embedding is not null").select(by, F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    placed = rows.select(by, "vec_id").withColumn("_block", F.floor((F.row_number().over(w) - 1) / block).cast("int"))
+    rows = _cut(rows.join(placed, [by, "vec_id"]))
     kind = rows.schema[by].dataType.simpleString()
-    return rows.groupBy(by).applyInPandas(run, f"{by} {kind}, vec_id long, leader_id long")
+    done, leaders = [], None
+    for i in range((rows.agg(F.max("_block")).first()[0] or 0) + 1):
+        now = rows.where(F.col("_block") == i).select(by, "vec_id", "v")
+        if leaders is not None:
+            pieces = leaders.groupBy(by).agg(F.ceil(F.count("*") / piece).alias("_n"))
+            each = now.join(pieces, by).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select(by, "_piece", "vec_id", "v", F.lit(False).alias("leader"))
+            dealt = leaders.join(pieces, by).select(by, F.pmod(F.xxhash64("vec_id"), F.col("_n")).alias("_piece"), "vec_id", "v", F.lit(True).alias("leader"))
+            found = each.unionByName(dealt).groupBy(by, "_piece").applyInPandas(_named(by, _first_leaders(least)), f"{by} {kind}, vec_id long, leader_id long")
+            found = _cut(found.groupBy(by, "vec_id").agg(F.min("leader_id").alias("leader_id")))
+            done.append(found)
+            now = now.join(found, [by, "vec_id"], "left_anti")
+        own = _cut(now.groupBy(by).applyInPandas(_named(by, _settled(least)), f"{by} {kind}, vec_id long, leader_id long"))
+        done.append(own)
+        new = rows.join(own.where("vec_id = leader_id").select(by, "vec_id"), [by, "vec_id"]).select(by, "vec_id", "v")
+        leaders = _cut(new if leaders is None else leaders.unionByName(new))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _named(by: str, run):
+    """`run`, with the group's `by` put before its columns."""
+
+    def named(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = run(pdf)
+        out.insert(0, by, pdf[by].iloc[0])
+        return out
+
+    return named

@@ -270,7 +270,7 @@ s as (select *, case when first not in ({', '.join(map(q, lx.CONTINUATION))}) an
   + case when len(list_filter(string_split_regex(text, '[.!?]'), lambda x: regexp_replace(x, '\\s', '', 'g') <> '')) >= 2 then 0.25 when len(list_filter(string_split_regex(text, '[.!?]'), lambda x: regexp_replace(x, '\\s', '', 'g') <> '')) >= 1 then 0.15 else 0 end
   + case when {n_words('text')} between 20 and 150 then 0.25 when {n_words('text')} between 10 and 200 then 0.15 else 0 end as score from f)
 select {_VIDEO}, case when text = '' then 'poor' when score >= 0.8 then 'excellent' when score >= 0.6 then 'good' when score >= 0.4 then 'acceptable' else 'poor' end as flow from s""",
-    "vector_search": """with r as (select vec_id as ref_id, embedding::double[] as ref from embeddings where vec_id % 100 = 0),
+    "vector_search": """with r as (select vec_id as ref_id, embedding::double[] as ref from embeddings where vec_id % 50 = 0),
 met as (select ref_id, vec_id, round(list_dot_product(embedding::double[], ref) / sqrt(list_dot_product(ref, ref)) / sqrt(list_dot_product(embedding::double[], embedding::double[])), 3) as score from embeddings, r)
 select ref_id, vec_id, score, place from (select *, row_number() over (partition by ref_id order by score desc, vec_id)::int as place from met where score >= 0.2) where place <= 5""",
     "track_summary": f"""with {DETECTIONS} select video_id, class_name || '_' || floor(cx / 100.0)::bigint || '_' || floor(cy / 100.0)::bigint as track, count(*) as detections, round(avg(confidence), 6) as mean_confidence, max(confidence) as best_confidence,

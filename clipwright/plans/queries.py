@@ -140,7 +140,8 @@ def text_quality(spark, sf_dir):
 
 @query
 def text_engagement(spark, sf_dir):
-    return st.table(spark, sf_dir, "documents").select("doc_id", F.round(tx.clip_engagement(F.col("text")), 4).alias("engagement"))
+    docs, text = tx.prepared(st.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.round(tx.clip_engagement(text), 4).alias("engagement"))
 
 
 @query
@@ -157,8 +158,8 @@ def emotional_intensity(spark, sf_dir):
 
 @query
 def viral_potential(spark, sf_dir):
-    text = F.col("text")
-    docs = st.table(spark, sf_dir, "documents").withColumn("viral", F.round(tx.viral_potential(text), 4))
+    docs, text = tx.prepared(st.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.withColumn("viral", F.round(tx.viral_potential(text), 4))
     score = tx.optimization_score(text, F.col("viral"), F.lit(30.0), F.lit(0.5))
     return docs.select("doc_id", "viral", F.round(score, 4).alias("optimization"), tx.audience(text).alias("audience"))
 
@@ -364,7 +365,7 @@ def actor_segments(spark, sf_dir):
 @query
 def vector_search(spark, sf_dir):
     vectors = st.table(spark, sf_dir, "embeddings")
-    references = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref"))
+    references = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref"))
     return vc.search(vectors, references, 0.2, 5)
 
 

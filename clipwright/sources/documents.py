@@ -80,3 +80,18 @@ def cache_lookup(asked: DataFrame, cache: DataFrame, now: int, max_age_days: int
 
 def expired(cache: DataFrame, now: int, max_age_days: int = 7) -> DataFrame:
     return cache.where(F.col("cached_at") < now - max_age_days * 86400)
+
+
+def duplicates(files: DataFrame) -> DataFrame:
+    """MD5 of contents (id, content: text or binary) that more than one file has, with how many and the first id."""
+    return files.where("content is not null").groupBy(F.md5("content").alias("hash")).agg(F.count("*").alias("files"), F.min("id").alias("first")).where("files > 1")
+
+
+def json_record(*columns: str):
+    """The columns as one line of JSON; null ones are left out."""
+    return F.to_json(F.struct(*columns))
+
+
+def cache_stats(files: DataFrame) -> DataFrame:
+    """Files, bytes and share of hits of cache files (size, hit)."""
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.avg(F.col("hit").cast("double")), F.lit(0.0)).alias("hit_rate"))

@@ -28,3 +28,19 @@ def validated(requests: DataFrame) -> DataFrame:
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows without errors, and rows with."""
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
+
+
+def derived(requests: DataFrame) -> DataFrame:
+    """Adds what requests (video_id, uploaded_video_id, aspect_ratio, canvas_type, subtitle_overlay, external_srt_url) imply: media_id, ratio_w, ratio_h and whether captions are kinetic.
+
+    A ratio that isn't two numbers is the canvas's own; captions are kinetic if an overlay is asked for and no file with captions is given.
+    """
+    parts = F.split("aspect_ratio", ":")
+    given = F.col("aspect_ratio").rlike("^[0-9]+:[0-9]+$")
+    shorts = F.col("canvas_type") == "shorts"
+    return requests.withColumns({
+        "media_id": F.coalesce("video_id", "uploaded_video_id"),
+        "ratio_w": F.when(given, parts[0].cast("int")).when(shorts, 9).otherwise(16),
+        "ratio_h": F.when(given, parts[1].cast("int")).when(shorts, 16).otherwise(9),
+        "kinetic": F.coalesce("subtitle_overlay", F.lit(False)) & F.col("external_srt_url").isNull(),
+    })
