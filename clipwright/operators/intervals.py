@@ -11,21 +11,29 @@ from pyspark.sql.window import Window
 from clipwright.functions.text import strip
 
 
-def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], width: float = 60.0, closed: bool = False) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], width: float = 60.0, closed: bool = False, how: str = "inner") -> DataFrame:
     """Rows of equal `by` whose spans overlap, with all columns of both; `by` once, other names must differ.
 
     Spans overlap if each starts before the other ends (`closed`: or just then). Both sides are
     dealt to buckets of `width` seconds that they touch, so a video of any length is joined by many
-    tasks; a pair that shares several buckets comes from the first one only.
+    tasks; a pair that shares several buckets comes from the first one only. `how` may be `left`: rows without a match
+    are told from others by a hash of all their columns.
     """
     bucket = lambda c: F.floor(F.col(c) / width).cast("long")
     spread = lambda df, span, name: df.withColumn(name, F.explode(F.sequence(bucket(span[0]), F.greatest(bucket(span[0]), bucket(span[1])))))
     a, b = left_span
     c, d = right_span
-    lhs = spread(left, left_span, "_bucket")
+    keyed = left.withColumn("_row", F.struct(F.xxhash64(*left.columns), F.xxhash64(F.lit(1), *left.columns))) if how == "left" else left
+    lhs = spread(keyed, left_span, "_bucket")
     rhs = spread(right, right_span, "_bucket")
     meet = (F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) if closed else (F.col(a) < F.col(d)) & (F.col(c) < F.col(b))
-    return lhs.join(rhs, [*by, "_bucket"]).where(meet & (F.col("_bucket") == F.greatest(bucket(a), bucket(c)))).drop("_bucket")
+    joined = lhs.join(rhs, [*by, "_bucket"]).where(meet & (F.col("_bucket") == F.greatest(bucket(a), bucket(c)))).drop("_bucket")
+    if how == "inner":
+        return joined
+    alone = keyed.join(joined.select("_row").distinct(), "_row", "left_anti")
+    others = [x for x in right.columns if x not in by]
+    found = joined.select(*left.columns, *others)
+    return found.unionByName(alone.select(*left.columns, *[F.lit(None).cast(right.schema[x].dataType).alias(x) for x in others]))
 
 
 def segment_text(segments: DataFrame, transcript: DataFrame, width: float = 60.0) -> DataFrame:
