@@ -31,6 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Delete the files of a `cut` table. Nothing may be computed from it, or from what it was used for and isn't cut itself, afterwards."""
+    spark = df.sparkSession
+    kept = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if kept.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(kept.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def rewritten(df: DataFrame) -> DataFrame:
     """`df` written as Parquet in the checkpoint folder, and read again."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipwright.llm.common import cut
+from clipwright.llm.common import cut, drop_cut
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until every edge leads to a root. Each step is a
     grouped minimum, which is combined before the shuffle, and a join back, whose hot keys Spark
-    can split. Each round is cut off from its lineage; two numbers reach the driver.
+    can split. Each round is cut off from its lineage, and the one before it deleted; two numbers reach the driver.
     """
     a, b = edges.columns[:2]
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, cut(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        drop_cut(before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
