@@ -164,7 +164,7 @@ def music_pattern(text: Column) -> Column:
 
 
 def theme_score(text: Column, theme: str) -> Column:
-    keywords, feelings, patterns = (x.split("|") for x in lx.THEMES[theme])
+    keywords, feelings, patterns = lx.THEMES[theme]
     found = sum((any_of(text, p.split()).cast("int") for p in patterns), F.lit(0))
     score = hits(text, keywords) / len(keywords) * 0.5 + hits(text, feelings) / len(feelings) * 0.3 + found / len(patterns) * 0.2
     return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(capped(score, 1.0))

@@ -28,7 +28,7 @@ def themes(text: Column) -> Column:
     """Structs (theme, confidence) of the themes above 0.1, in their order."""
     out = []
     for theme, (keywords, feelings, _) in lx.THEMES.items():
-        k, f = keywords.split("|"), feelings.split("|")
+        k, f = keywords, feelings
         score = F.when(F.lower(text).contains(theme), 0.5).otherwise(0.0) + hits(text, k) / len(k) * 0.3 + hits(text, f) / len(f) * 0.2
         if theme == "comedy":
             score = score + F.when(is_comedy_request(text), 0.8).otherwise(0.0)

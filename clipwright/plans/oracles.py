@@ -164,7 +164,7 @@ select video_id, min(ts) as run_start, arg_max(coalesce(next_ts, -1), frame_no)
 def themes() -> str:
     out = []
     for theme, parts in lx.THEMES.items():
-        keywords, feelings, patterns = (p.split("|") for p in parts)
+        keywords, feelings, patterns = parts
         found = " + ".join(f"{any_of('text', p.split())}::int" for p in patterns)
         score = f"case when text = '' then 0 else least(1.0::double, {hits('text', keywords)}::double / {len(keywords)} * 0.5::double + {hits('text', feelings)}::double / {len(feelings)} * 0.3::double + ({found})::double / {len(patterns)} * 0.2::double) end"
         out.append(f"select video_id, segment_id, '{theme}' as theme, round({score}, 4) as score from clip_texts")
@@ -336,7 +336,7 @@ COMEDY = f"({hits('prompt', lx.COMEDY_WORDS)} + {hits('prompt', lx.COMEDY_PHRASE
 def theme_confidences() -> str:
     out = []
     for theme, (keywords, feelings, _) in lx.THEMES.items():
-        k, f = keywords.split("|"), feelings.split("|")
+        k, f = keywords, feelings
         comedy = f" + case when {COMEDY} then 0.8 else 0 end" if theme == "comedy" else ""
         out.append(f"round((case when contains(lower(prompt), {q(theme)}) then 0.5 else 0 end + {hits('prompt', k)}::double / {len(k)} * 0.3 + {hits('prompt', f)}::double / {len(f)} * 0.2{comedy})::double, 4) as c_{theme}")
     return ", ".join(out)

@@ -98,11 +98,11 @@ def asked(spark, sf_dir):
 j as (select c.*, list_filter(ws, lambda x: x <> '') as ws, factors, kind from crossed c join k on video_id = request_id)
 select video_id, segment_id, round(greatest(0.0, least(1.0, composite * 0.3 + (len(list_filter(ws, lambda x: contains(lower(text), x)))::double / greatest(len(ws), 1) * 0.6 + case when len(factors) > 0 then len(list_filter(factors, lambda x: contains(lower(text), lower(x))))::double / len(factors) else 0.5 end * 0.4) * 0.25
   + case kind when 'tutorial' then least(1.0, {TUT}::double / 3) when 'entertainment' then least(1.0, {ENT}::double / 2) else 0.5 end * 0.15
-  + least(1.0, 0.5 + least({ATT} * 0.1, 0.3) + least({ASK} * 0.05, 0.1) + least({CRY} * 0.05, 0.1)) * 0.15 + 0.7 * 0.1 + 0.6 * 0.05)), 5) as enhanced from j""",
+  + least(1.0, 0.5 + least({ATT} * 0.1, 0.3) + least({ASK} * 0.05, 0.1) + least({CRY} * 0.05, 0.1)) * 0.15 + 0.7 * 0.1 + 0.6 * 0.05)), 8) as enhanced from j""",
     KINDS=KINDS, TUT=hits("text", rc.TUTORIAL), ENT=hits("text", rc.ENTERTAINMENT), ATT=hits("text", rc.ATTRACTION), ASK=count("text", "?"), CRY=count("text", "!")))
 def enhanced_quality(spark, sf_dir):
     rows = crossed(spark, sf_dir).join(asked(spark, sf_dir).select("video_id", "prompt", "content_kind", pr.intent_keywords(F.col("prompt")).alias("factors")), "video_id")
-    return rounded(rc.enhanced_quality(rows).select("video_id", "segment_id", "enhanced"), "enhanced", places=5)
+    return rounded(rc.enhanced_quality(rows).select("video_id", "segment_id", "enhanced"), "enhanced", places=8)
 
 
 @query(sql("""with recursive {C},{SCORED},
