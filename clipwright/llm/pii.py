@@ -311,6 +311,9 @@ def replace_personal_data(docs: DataFrame, key: str = "surrogate", names: Names
     collided = settle(found, key, names).where("attempt > 0").select("kind", "value", "attempt")
     odd = found.join(collided, ["kind", "value"]).groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("_odd"))
 
+    # texts with a collision are few: unless they aren't, they come to the texts, and not the other way round
+    odd = cut(odd)
+    odd = F.broadcast(odd) if odd.count() <= 100_000 else odd
     rows = docs.select("doc_id", "text", identity("text").alias("_key")).join(odd, "_key", "left")
     typed = lambda found: F.transform(found, lambda m: F.struct(m.alias("m"), entity_type(m).alias("kind")))
     rows = rows.select("doc_id", "text", "_odd", typed(F.regexp_extract_all("text", first, F.lit(0))).alias("_met"))
