@@ -108,3 +108,18 @@ def test_folds_are_linear(spark):
     rows = spark.range(60_000).selectExpr("1 as video_id", "id as segment_id", "cast(id as double) as seg_start", "id + 1.5D as seg_end")
     began = time.time()
     assert sl.resolved_overlaps(rows).count() == 60_000 and time.time() - began < 30
+
+
+def test_seeded_variation(spark):
+    from clipwright.operators import reports as rs
+
+    rows = spark.createDataFrame([(v, i, float(i // 2), 1.0 - i / 40) for v in range(3) for i in range(40)], "video_id int, segment_id int, seg_start double, quality_score double")
+    draw = lambda seed: sorted((r["video_id"], r["segment_id"], r["tier"]) for r in rs.varied(rows, seed=seed).collect())
+    one, other = draw("1"), draw("2")
+    assert one == draw("1") != other
+    for found in (one, other):
+        for v in range(3):
+            own = [x for x in found if x[0] == v]
+            # two of the better half, three of the other, and of the two segments of a start only the better one
+            assert [x[2] for x in own].count("high") == 2 and len(own) == 5 and all(x[1] % 2 == 0 for x in own)
+            assert all((x[2] == "high") == (x[1] < 20) for x in own)
