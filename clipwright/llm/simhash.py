@@ -237,8 +237,9 @@ def _sketch_rows(n: int):
             sets = [shingle_set(t, n) for t in batch.column(2).to_pylist()]
             node = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
             fp = np.array([_simhash_of(s) for s in sets], np.uint64).view(np.int64)
+            size = np.array([len(s) for s in sets], np.int64)
             keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(fp), keys], names=["row_key", "doc_id", "node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(size), pa.array(fp), keys], names=["row_key", "doc_id", "node", "size", "fp", "keys"])
 
     return run
 
@@ -261,7 +262,94 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.where(both >= least * (na + nb - both) - 1e-9).select("a", "b")
 
 
-def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 3, rounds: int = 3) -> DataFrame:
+def _set_links(nodes: list[int], roots: list[int], sets: list[np.ndarray], least: float, pilots: int = 8) -> Iterator[tuple[int, int]]:
+    """Links of `least` or more Jaccard similarity that connect the sets as far as all such links and the equal roots do.
+
+    The sets are looked up in an index of all their hashes. After a few, those of the class that is the
+    largest by then are passed over as long as they are in it: two of them need no link.
+    """
+    sizes = np.array([len(s) for s in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    owner, (words, start) = owner[order], np.unique(values[order], return_index=True)
+    length = np.diff(np.append(start, len(values)))
+    label = np.unique(np.array(roots), return_inverse=True)[1]
+
+    def link(x: int) -> Iterator[tuple[int, int]]:
+        at = np.searchsorted(words, sets[x])
+        runs = length[at]
+        ends = np.cumsum(runs)
+        both = np.bincount(owner[np.arange(ends[-1]) + np.repeat(start[at] - ends + runs, runs)], minlength=len(sets))
+        for y in np.flatnonzero((both >= least * (sizes[x] + sizes - both) - 1e-9) & (label != label[x])).tolist():
+            if label[x] != label[y]:
+                label[label == label[y]] = label[x]
+                yield nodes[x], nodes[y]
+
+    for x in range(min(pilots, len(sets))):
+        yield from link(x)
+    largest = int(np.flatnonzero(label == np.bincount(label).argmax())[0])
+    for x in range(pilots, len(sets)):
+        if label[x] != label[largest]:
+            yield from link(x)
+
+
+def _search_sets(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        now, nodes, roots, sets, out = None, [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+        for batch in batches:
+            key, tree, part, node, root = (batch.column(i).to_numpy().tolist() for i in range(5))
+            ends = batch.column(5).value_lengths().to_numpy().cumsum().tolist()
+            hashes = np.split(batch.column(5).flatten().to_numpy().view(np.uint64), ends[:-1])
+            for k, n, r, s in zip(zip(key, tree, part), node, root, hashes):
+                if k != now:
+                    if len(set(roots)) > 1:
+                        out.extend(_set_links(nodes, roots, sets, least))
+                    now, nodes, roots, sets = k, [], [], []
+                nodes.append(n)
+                roots.append(r)
+                sets.append(s)
+            if len(out) > 10_000:
+                yield flush()
+        if len(set(roots)) > 1:
+            out.extend(_set_links(nodes, roots, sets, least))
+        yield flush()
+
+    return run
+
+
+def _links_in_bands(placed: DataFrame, sets: DataFrame, least: float, across: int, piece: int, piece_hashes: int) -> DataFrame:
+    """Links (a, b) among the texts of each band of `placed` (key, node, size, root) whose texts have several roots.
+
+    A band's texts are dealt to pieces of about `piece` texts and `piece_hashes` hashes; each piece is searched
+    in one task. With `across` each two pieces meet instead, in bands of that many pieces or more, but for
+    those that hold the band's most frequent root alone. A text's set travels once for each task that it is part of.
+    """
+    # nodes of one root are counted together, so that the most frequent root of a hot band is found in two steps
+    held = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    bands = held.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("most")).where("roots > 1")
+    pieces = lambda n, size: F.greatest(F.ceil(n / piece), F.ceil(size / piece_hashes)).cast("int")
+    every = pieces(F.col("n"), F.col("size"))
+    bands = bands.select("key", every.alias("every"), F.col("most.root").alias("most"), pieces(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("rest"), pieces(F.col("most.n"), F.col("most.size")).alias("alike"))
+    at = F.xxhash64("node", "key")
+    if across:
+        own = F.when(F.col("root") == F.col("most"), F.col("rest") + F.pmod(at, F.col("alike"))).otherwise(F.pmod(at, F.col("rest"))).cast("int")
+        last = F.when(F.col("own") < F.col("rest"), F.col("rest") + F.col("alike") - 1).otherwise(F.col("rest") - 1)
+        dealt = placed.join(bands.where(F.col("every") >= across), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last))).where("own <> other")
+    else:
+        dealt = placed.join(bands, "key").withColumn("own", F.pmod(at, F.col("every")).cast("int")).withColumn("other", F.col("own"))
+    work = dealt.select("key", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("part"), "node", "root").join(sets, "node")
+    work = work.select("key", "tree", "part", "node", "root", "hashes").repartition("key", "tree", "part").sortWithinPartitions("key", "tree", "part")
+    return work.mapInArrow(_search_sets(least), "a long, b long")
+
+
+def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 3, rounds: int = 2, piece: int = 2_048, piece_hashes: int = 1_000_000) -> DataFrame:
     """The class of each row of `docs` (doc_id, text) under links of `least` or more Jaccard similarity of distinct `n`-word shingles.
 
     Returns doc_id, component_id, the smallest doc_id of the class (null if it has none), row_key (what
@@ -271,16 +359,17 @@ def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 3
 
     Candidates are the links of SimHash fingerprints of the shingles (`near_links`), and the texts that
     share a MinHash band; bit blocks of fingerprints would tell nothing at the 10 bits or so that
-    0.8 means. Each candidate is verified by its sets, so nothing else is linked. In each round
-    (two over some of the bands, then `rounds` over all) a band's texts meet one of them only, and those that are
-    connected by then don't meet again; whatever a band still holds of different classes meets in full at the end. Pairs without a
+    0.8 means. Each is verified by its sets, so nothing else is linked. A band's texts are searched in
+    tasks of about `piece` texts and `piece_hashes` hashes (`_links_in_bands`): first those of some of the bands (an eighth,
+    with two `rounds`), then those of all in which texts of different classes are left. Last, in bands of
+    several pieces that still hold different classes, pieces meet each other. Pairs without a
     common band are missed, by chance 1 in 14,000 at 0.8 and fewer above.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(identity(*docs.columns).alias("row_key"), "doc_id", "text")
-    rows = cut(rows.mapInArrow(_sketch_rows(n), f"row_key struct<a:bigint,b:bigint>, doc_id {kind}, node long, fp long, keys array<long>"))
-    nodes = cut(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("row_key").alias("row_key")))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    rows = cut(rows.mapInArrow(_sketch_rows(n), f"row_key struct<a:bigint,b:bigint>, doc_id {kind}, node long, size long, fp long, keys array<long>"))
+    nodes = cut(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("row_key").alias("row_key")))
+    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keyed = cut(keyed.join(shared, "key"))
 
@@ -296,30 +385,14 @@ def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 3
     sets = cut(sets.select("text").mapInArrow(_set_rows(n), "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")))
 
     links = cut(_verified(near, sets, least))
-    # near texts share many bands: those that an eighth of the bands have connected needn't meet in the others
-    shares = [1, 3, *[8] * rounds, None]
-    placed, known, turn = keyed.withColumn("root", F.col("node")), links.count(), 0
-    while turn < len(shares):
-        share = shares[turn]
-        some = placed.where(F.pmod(F.xxhash64("key"), F.lit(8)) < share) if share in (1, 3) else placed
-        mixed = some.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("one"))
-        mixed = cut(mixed.where("low < high").select("key", "one"))
-        if share not in (1, 3) and mixed.isEmpty():
-            break
-        if share is None:
-            left = cut(placed.join(mixed.select("key"), "key"))
-            pairs = left.toDF("key", "a", "ra").join(left.toDF("key", "b", "rb"), "key").where("ra < rb").select("a", "b")
-        else:
-            pairs = some.join(mixed, "key").where("root <> one.root").select(F.col("node").alias("a"), F.col("one.node").alias("b"))
-        before, links = links, cut(links.unionAll(_verified(pairs, sets, least)))
+    # near texts share many bands: those that some of the bands have connected needn't meet in the others
+    for share, across in [*((max(1, 8 >> 3 * i), 0) for i in reversed(range(rounds))), (8, 2 if rounds else 1)]:
+        placed = keyed.where(F.pmod(F.xxhash64("key"), F.lit(8)) < share)
+        placed = cut(placed.join(connected_components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+        found = _links_in_bands(placed, sets, least, across, piece, piece_hashes)
+        before, links = links, cut(links.unionAll(found))
         drop_cut(before)
-        drop_cut(mixed)
-        if share is None:
-            break
-        now = links.count()
-        # a round over all bands that finds nothing new leaves only texts that share bands without being near
-        turn, known = (len(shares) - 1 if share == 8 and now == known else turn + 1), now
-        placed = cut(keyed.join(connected_components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+        drop_cut(placed)
     roots = connected_components(links)
     return _named(cut(rows.select("row_key", "doc_id", "node").join(roots, "node", "left").select("row_key", "doc_id", F.coalesce("root", "node").alias("root"))))
 

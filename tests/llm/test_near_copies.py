@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from clipwright.llm import simhash
 from clipwright.llm.common import table
@@ -53,6 +55,30 @@ def test_edited_copies(spark):
     for rounds in (0, 1, 3):
         kept = simhash.keep_first(docs, simhash.near_copies(docs, rounds=rounds))
         assert sorted(x["doc_id"] for x in kept.collect()) == sorted(want)
+    for rounds, piece, piece_hashes in ((0, 2, 1_000_000), (1, 3, 1_000_000), (2, 2_048, 150)):
+        kept = simhash.keep_first(docs, simhash.near_copies(docs, rounds=rounds, piece=piece, piece_hashes=piece_hashes))
+        assert sorted(x["doc_id"] for x in kept.collect()) == sorted(want)
+
+
+def test_links_of_sets():
+    r = random.Random(5)
+    for n in (2, 9, 60):
+        base = [{r.randrange(10**6) for _ in range(40)} for _ in range(3)]
+        sets = [{x if r.random() > 0.06 else r.randrange(10**6) for x in r.choice(base)} for _ in range(n)]
+        roots = [r.randrange(4 * n) for _ in sets]
+        hashes = [np.array(sorted(s), np.uint64) for s in sets]
+        alike = [(i, j) for i in range(n) for j in range(i) if roots[i] == roots[j]]
+        near = [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+        links = list(simhash._set_links(list(range(n)), roots, hashes, 0.8))
+        assert {(max(p), min(p)) for p in links} <= set(near)
+        assert classes(n, links + alike) == classes(n, near + alike)
+
+
+def classes(n, links):
+    label = list(range(n))
+    for a, b in links:
+        label = [label[a] if x == label[b] else x for x in label]
+    return {tuple(i for i in range(n) if label[i] == x) for x in label}
 
 
 def test_near_copies_without_doc_id(spark):
