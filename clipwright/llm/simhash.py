@@ -386,7 +386,11 @@ def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 3
 
     links = cut(_verified(near, sets, least))
     # near texts share many bands: those that some of the bands have connected needn't meet in the others
-    for share, across in [*((max(1, 8 >> 3 * i), 0) for i in reversed(range(rounds))), (8, 2 if rounds else 1)]:
+    turns = [(max(1, 8 >> 3 * i), 0) for i in reversed(range(rounds))]
+    large = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where((F.col("n") > piece) | (F.col("size") > piece_hashes))
+    if not rounds or not large.isEmpty():  # a band of one piece is done by then
+        turns.append((8, 2 if rounds else 1))
+    for share, across in turns:
         placed = keyed.where(F.pmod(F.xxhash64("key"), F.lit(8)) < share)
         placed = cut(placed.join(connected_components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
         found = _links_in_bands(placed, sets, least, across, piece, piece_hashes)
