@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipwright.llm import decontam, embed_dedup, html_crf, langid, mixing, pii, quality, sharding, simhash, warc
+from clipwright.llm import alignment, decontam, embed_dedup, html_crf, langid, mixing, packing, pii, quality, sharding, simhash, turns, warc
 from clipwright.llm.common import table
 
 
@@ -53,6 +53,18 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_diagonal_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score_links(table(spark, sf_dir, "documents"))
+
+
+def op13_cyk_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_trial(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_crf": op1_html_crf,
     "op2_warc_revisits": op2_warc_revisits,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_containment": op8_benchmark_containment,
     "op9_kneser_ney_langid": op9_kneser_ney_langid,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_diagonal_alignment": op12_diagonal_alignment,
+    "op13_cyk_turn_repair": op13_cyk_turn_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
