@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clipwright.functions.text import srt_time, words, wrapped_caption
+from clipwright.operators.intervals import interval_join
 
 
 def timed_words(transcript: DataFrame) -> DataFrame:
@@ -52,3 +53,27 @@ def srt_lines(captions: DataFrame) -> DataFrame:
     clean = clean.withColumn("n", n)
     cue = F.concat_ws("\n", F.col("n").cast("string"), F.concat_ws(" --> ", srt_time(F.col("cap_start")), srt_time(F.col("cap_end"))), "caption")
     return clean.select("video_id", "segment_id", "n", cue.alias("cue"))
+
+
+def has_word_timing(lines: DataFrame) -> DataFrame:
+    """(video_id, words, timed, has_timing): whether any word of a video's lines (video_id, words) ends elsewhere than it starts."""
+    moves = lambda w: w["start"] != w["end"]
+    sizes = lines.select("video_id", F.coalesce(F.size("words"), F.lit(0)).alias("n"), F.coalesce(F.size(F.filter("words", moves)), F.lit(0)).alias("t"))
+    return sizes.groupBy("video_id").agg(F.sum("n").alias("words"), F.sum("t").alias("timed"), (F.sum("t") > 0).alias("has_timing"))
+
+
+def clip_words(clips: DataFrame, lines: DataFrame) -> DataFrame:
+    """(video_id, segment_id, seg_idx, line_start, line_end, words): the lines with words that lie at least half in a clip, on the clip's own time.
+
+    A line's words (word, start, end) are filtered, moved and put back as one array. Words outside the clip go, as do those that would start too
+    early: before 0 where four fifths of the line lie in the clip, 0.1 s where three fifths do, else 0.3 s. A line that loses all its words goes.
+    """
+    met = interval_join(clips.select("video_id", "segment_id", "seg_start", "seg_end"), lines.select("video_id", "seg_idx", "start", "end", "words"), ["video_id"], ("seg_start", "seg_end"), ("start", "end"))
+    share = (F.least("end", "seg_end") - F.greatest("start", "seg_start")) / (F.col("end") - F.col("start"))
+    rows = met.where(F.size("words") > 0).withColumn("share", share).where("share >= 0.5").withColumn("early", F.when(F.col("share") >= 0.8, 0.0).when(F.col("share") >= 0.6, 0.1).otherwise(0.3))
+    inside = F.filter("words", lambda w: (w["end"] > F.col("seg_start")) & (w["start"] < F.col("seg_end")) & (w["start"] - F.col("seg_start") >= F.col("early")))
+    at = lambda w: w["start"] - F.col("seg_start")
+    moved = F.transform(inside, lambda w: F.struct(w["word"].alias("word"), at(w).alias("start"), F.greatest(at(w) + 0.01, w["end"] - F.col("seg_start")).alias("end")))
+    begin = F.greatest(F.lit(0.0), F.col("start") - F.col("seg_start"))
+    rows = rows.withColumn("moved", moved).where(F.size("moved") > 0)
+    return rows.select("video_id", "segment_id", "seg_idx", F.greatest(begin, "early").alias("line_start"), F.greatest(begin + 0.01, F.col("end") - F.col("seg_start")).alias("line_end"), F.col("moved").alias("words"))

@@ -178,3 +178,22 @@ def first_containing(points: DataFrame, spans: DataFrame, by: Sequence[str] = ("
     met = interval_join(at, spans, ["video_id"], ("ts", "_to"), ("span_start", "span_end"), closed=True)
     w = Window.partitionBy(*by).orderBy(key)
     return met.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_to")
+
+
+def tolerant_match(segments: DataFrame, analyses: DataFrame, tolerance: float = 2.0, data: str = "data") -> DataFrame:
+    """Each segment (video_id, segment_id, seg_start, seg_end) with the `data` of the analysis (video_id, pos, v_start, v_end, data) of the same times, or else of the first one whose times both differ by less than `tolerance`.
+
+    Of analyses with the same times the last one's data stand in the first one's place. Analyses are dealt to the nine cells of a grid over start and end around
+    their own, segments to their own cell, so that a pair meets once or never. Adds `exact`; both are null without a match.
+    """
+    cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
+    around = lambda c: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cell(c) + d))
+    once = analyses.groupBy("video_id", "v_start", "v_end").agg(F.min("pos").alias("pos"), F.max_by(data, "pos").alias(data))
+    near = once.withColumn("_i", around("v_start")).withColumn("_j", around("v_end"))
+    own = segments.withColumn("_i", cell("seg_start")).withColumn("_j", cell("seg_end"))
+    exact = (F.col("v_start") == F.col("seg_start")) & (F.col("v_end") == F.col("seg_end"))
+    close = (F.abs(F.col("v_start") - F.col("seg_start")) < tolerance) & (F.abs(F.col("v_end") - F.col("seg_end")) < tolerance)
+    met = own.join(near, ["video_id", "_i", "_j"], "left")
+    row = F.struct("exact", data)
+    best = met.withColumn("exact", exact).groupBy(*segments.columns).agg(F.min_by(row, F.when(close, F.struct(~exact, "pos"))).alias("best"))
+    return best.select(*segments.columns, "best.exact", f"best.{data}")

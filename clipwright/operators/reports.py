@@ -121,3 +121,28 @@ def smoothed_speakers(detections: DataFrame, last: int = 5) -> DataFrame:
     weight = F.size("_h") * (F.size("_h") + 1) / 2
     mean = lambda c: F.floor(F.aggregate(F.transform("_h", lambda b, i: b[c] * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x) / weight).alias(f"s_{c}")
     return rows.select("video_id", "speaker", "det_id", *[mean(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+def log_entries(transcript: DataFrame, detections: DataFrame, vision: DataFrame) -> DataFrame:
+    """(kind, video_id, class, words, chars, score): one row for each line, detection and vision segment, by speaker, class and scene type."""
+    unknown = lambda c: F.coalesce(c, F.lit("unknown")).alias("class")
+    nothing, none = F.lit(0).cast("long"), F.lit(None).cast("double").alias("score")
+    audio = transcript.select(F.lit("audio").alias("kind"), "video_id", unknown("speaker"), F.col("n_words").cast("long").alias("words"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), none)
+    objects = detections.select(F.lit("object").alias("kind"), "video_id", unknown("class_name"), nothing.alias("words"), nothing.alias("chars"), none)
+    scenes = vision.select(F.lit("vision").alias("kind"), "video_id", unknown("scene_type"), nothing.alias("words"), nothing.alias("chars"), F.nullif(F.col("visual_interest"), F.lit(0.0)).alias("score"))
+    return audio.unionByName(objects).unionByName(scenes)
+
+
+def run_report(entries: DataFrame) -> DataFrame:
+    """Counts of `log_entries` by kind, by kind and class, by kind and video, and by all three, in one pass.
+
+    Adds words and characters, the number of distinct classes and videos, and the mean, least and largest score, of which zero and missing ones are
+    left out (0 without any). `level` names what a row is about; the columns that it isn't about are null.
+    """
+    sets = [["kind"], ["kind", "class"], ["kind", "video_id"], ["kind", "class", "video_id"]]
+    score = lambda f: F.coalesce(f("score"), F.lit(0.0))
+    level = F.concat_ws("+", F.lit("kind"), F.when(F.grouping("class") == 0, "class"), F.when(F.grouping("video_id") == 0, "video"))
+    return entries.groupingSets([[F.col(c) for c in s] for s in sets], "kind", "class", "video_id").agg(
+        level.alias("level"), F.count("*").alias("entries"), F.sum("words").alias("words"), F.sum("chars").alias("chars"), F.count_distinct("class").alias("classes"), F.count_distinct("video_id").alias("videos"),
+        score(F.avg).alias("mean_score"), score(F.min).alias("least_score"), score(F.max).alias("most_score"),
+    )

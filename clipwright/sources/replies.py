@@ -64,3 +64,44 @@ def staged(labels: DataFrame) -> DataFrame:
         .otherwise(body)
     )
     return labels.select(F.col("doc_id").alias("reply_id"), raw.alias("raw"))
+
+
+def as_variant(raw: Column) -> Column:
+    """A reply as VARIANT: the text itself, a fenced block, its outermost braces, or these repaired; null if nothing can be read."""
+    fence = F.regexp_extract(raw, "(?s)```(?:json)?\\s*(.*?)\\s*```", 1)
+    braces = F.regexp_extract(raw, "(?s)(\\{.*\\})", 1)
+    return F.coalesce(*[F.when(text.startswith("{"), F.try_parse_json(text)) for text in (F.trim(raw), fence, braces, repaired(braces))])
+
+
+def staged_analyses(labels: DataFrame) -> DataFrame:
+    """(video_id, pos, raw): analyses of eight videos' labels each, of seven shapes: lists under one name or the other, an error, no list, metadata, and broken text."""
+    k, t = F.col("doc_id") % 7, F.col("doc_id") % 50
+    span = lambda a, b, share: F.concat(F.lit('{"confidence":0.'), share, F.lit(',"end_time":'), t + b, F.lit(',"start_time":'), t + a, F.lit("}"))
+    tenth = F.col("doc_id") % 9 + 1
+    raw = (
+        F.when(k == 0, F.concat(F.lit('{"segments":['), span(0, 5, tenth), F.lit(',{"end_time":9,"start_time":6},{"note":"open"}]}')))
+        .when(k == 1, F.concat(F.lit('{"segments":[],"zoom_decisions":['), span(1, 4, tenth), F.lit("]}")))
+        .when(k == 2, F.concat(F.lit('{"engagement_analysis":[0.'), tenth, F.lit(',0.5],"scenes":[{"at":'), t, F.lit('},{"at":'), t + 3, F.lit("}]}")))
+        .when(k == 3, F.concat(F.lit('{"error":null,"segments":['), span(0, 1, tenth), F.lit("]}")))
+        .when(k == 4, F.concat(F.lit('{"scenes":"none","segments":{"start_time":'), t, F.lit("}}")))
+        .when(k == 5, F.concat(F.lit('{"content_category":"'), F.when(F.col("quality") == 1, "tutorial").otherwise("talk"), F.lit('","mood'), F.col("doc_id") % 3, F.lit('":'), tenth, F.lit(',"segments":['), span(2, 8, tenth), F.lit("]}")))
+        .otherwise(F.concat(F.lit('{"segments":['), span(0, 5, tenth), F.lit(",")))
+    )
+    return labels.select(F.floor(F.col("doc_id") / 8).alias("video_id"), F.col("doc_id").alias("pos"), raw.alias("raw"))
+
+
+def staged_batches(places: DataFrame, key: str, index: str) -> DataFrame:
+    """(video_id, batch, raw): replies about (video_id, batch, idx, quality_score); some are missing, others fenced, broken, cut, without the key, or name a place that isn't there."""
+    one = F.concat(F.lit(f'{{"{index}":'), "idx", F.lit(',"overall_score":'), F.round("quality_score", 2), F.lit(',"recommended":'), F.when(F.col("quality_score") >= 0.5, "true").otherwise("false"), F.lit("}"))
+    some = F.array_sort(F.collect_list(F.when(F.col("idx") % 3 != 2, F.struct("idx", one.alias("x")))))
+    rows = places.groupBy("video_id", "batch").agg(F.transform(some, lambda s: s["x"]).alias("xs"))
+    body, k = F.concat(F.lit(f'{{"{key}": ['), F.array_join("xs", ", ")), (F.col("video_id") * 3 + F.col("batch")) % 7
+    raw = (
+        F.when(k == 0, F.concat(body, F.lit("]}")))
+        .when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("]}\n```")))
+        .when(k == 2, F.concat(F.lit("So: "), body, F.lit(",]}")))
+        .when(k == 3, F.concat(body, F.lit(f', {{"{index}": 99, "overall_score": 1}}]}}')))
+        .when(k == 4, F.lit('{"other": []}'))
+        .when(k == 5, F.concat(body, F.lit(", {")))
+    )
+    return rows.select("video_id", "batch", raw.alias("raw")).where("raw is not null")
