@@ -11,14 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from clipwright.llm.common import cut
 
 ORDER = 4
 SPACE = 32
-#: Entries of all languages' hash arrays together, at twelve bytes each: a model's size has this bound, however much text it has seen.
-MAX_ENTRIES = 4_000_000
+#: Models of up to so many n-grams and contexts, at twelve bytes each, are sent to all tasks; larger ones stay tables that texts' n-grams are joined to.
+MOST_SENT = 4_000_000
 CHUNK = 1 << 20
 TEMPERATURES = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 
@@ -177,13 +176,12 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "k", "context", "keys", "values"])
 
 
-def fit(texts: DataFrame, max_entries: int = MAX_ENTRIES) -> Model:
-    """Models of the languages in `texts` (text, lang), from all its rows; null texts and languages count for nothing.
+def tables(texts: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """The models of the languages in `texts` (text, lang), from all its rows; null texts and languages count for nothing.
 
-    Tasks count n-grams of the highest order; all else follows from these counts by grouping: the
-    lower orders' continuation counts, the discounts and the back-off weights. The driver, and from there the tasks, get
-    the n-grams and contexts of the highest counts, `max_entries` of all languages together at most, an equal share for each: where a
-    language has more, those below a count go, and lower orders speak for them.
+    Returns (lang, k, context, key, value), the log-probability of each n-gram of order k and the log-weight of each context, and the log-probability
+    of a new symbol by language. Tasks count n-grams of the highest order; all else follows from these counts by grouping: the
+    lower orders' continuation counts, the discounts and the back-off weights. Nothing is left out, however many there are.
     """
     known = texts.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
     counted = known.mapInArrow(_count_rows, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
@@ -207,31 +205,32 @@ def fit(texts: DataFrame, max_entries: int = MAX_ENTRIES) -> Model:
             unseen = before.join(alphabet, "lang").select("lang", F.log(F.col("weight") / F.col("v")).alias("unseen"))
         else:
             rows = rows.withColumn("suffix", F.col("key").bitwiseAND((1 << 16 * (k - 1)) - 1)).join(lower, ["lang", "suffix"])
-            contexts.append(before.select("lang", F.lit(k).alias("k"), F.lit(True).alias("context"), F.col("context").alias("key"), F.log("weight").alias("value"), F.col("total").alias("n")))
+            contexts.append(before.select("lang", F.lit(k).alias("k"), F.lit(True).alias("context"), F.col("context").alias("key"), F.log("weight").alias("value")))
         p = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("below")
-        rows = rows.select("lang", "key", p.alias("p"), "n")
+        rows = rows.select("lang", "key", p.alias("p"))
         if 1 < k < ORDER:
             rows = cut(rows)
         lower = rows.select("lang", F.col("key").alias("suffix"), F.col("p").alias("below"))
-        grams.append(rows.select("lang", F.lit(k).alias("k"), F.lit(False).alias("context"), "key", F.log("p").alias("value"), "n"))
-
-    entries = reduce(DataFrame.unionByName, grams + contexts).withColumn("level", F.floor(F.log2("n") * 16).cast("int"))
-    entries = cut(entries)
-    new = {r["lang"]: r["unseen"] for r in unseen.collect()}
-    share = max_entries // max(1, len(new))
-    falling = Window.partitionBy("lang").orderBy(F.desc("level"))
-    levels = entries.groupBy("lang", "level").agg(F.count("*").alias("rows")).withColumn("above", F.sum("rows").over(falling))
-    least = levels.where(F.col("above") <= share).groupBy("lang").agg(F.min("level").alias("least"))
-    kept = entries.join(few(least), "lang").where("level >= least").select("lang", "k", "context", "key", "value")
-    tables: dict[bool, dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]] = {False: {}, True: {}}
+        grams.append(rows.select("lang", F.lit(k).alias("k"), F.lit(False).alias("context"), "key", F.log("p").alias("value")))
+    return cut(reduce(DataFrame.unionByName, grams + contexts)), {r["lang"]: r["unseen"] for r in unseen.collect()}
+
+
+def collected(entries: DataFrame, unseen: dict[str, float]) -> Model:
+    """The whole model as sorted hash arrays, of as many entries as the caller has counted."""
+    found: dict[bool, dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]] = {False: {}, True: {}}
     held: dict[tuple, list[tuple[bytes, bytes]]] = {}
-    for r in kept.mapInArrow(_packed_rows, "lang string, k int, context boolean, keys binary, values binary").collect():
+    for r in entries.mapInArrow(_packed_rows, "lang string, k int, context boolean, keys binary, values binary").collect():
         held.setdefault((r["context"], r["lang"], r["k"]), []).append((r["keys"], r["values"]))
     for (context, lang, k), packed in held.items():
         keys, values = (np.frombuffer(b"".join(map(bytes, x)), t) for x, t in zip(zip(*packed), (np.uint64, np.float32)))
         order = np.argsort(keys)
-        tables[context][lang, k] = keys[order], values[order]
-    return Model(sorted(new), tables[False], tables[True], new)
+        found[context][lang, k] = keys[order], values[order]
+    return Model(sorted(unseen), found[False], found[True], unseen)
+
+
+def fit(texts: DataFrame) -> Model:
+    """`tables` as one model, for texts whose model is known to be small."""
+    return collected(*tables(texts))
 
 
 def _entropy_rows(shared):
@@ -252,7 +251,69 @@ def _entropy_rows(shared):
     return run
 
 
-def identify(docs: DataFrame, train: Column | None = None, spread: float = 6.0) -> DataFrame:
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_key, doc_id, held_out, lang, keys, times): each text's distinct n-grams; a long text has several rows of one row_key."""
+    from pyspark import TaskContext
+
+    row = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        seen, at, grams, times = set(), [], [], []
+        for own, starts, keys in pieces(texts):
+            for i, part in zip(own, np.split(keys, starts[1:])):
+                some, n = np.unique(part, return_counts=True)
+                at.append(i)
+                grams.append(some.view(np.int64))
+                times.append(n.astype(np.int64))
+                seen.add(i)
+        for i in range(len(texts)):
+            if i not in seen:
+                at.append(i)
+                grams.append(np.zeros(0, np.int64))
+                times.append(np.zeros(0, np.int64))
+        ends = pa.array(np.cumsum([0, *map(len, grams)]), pa.int32())
+        many = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*x, np.zeros(0, np.int64)]))) for x in (grams, times)]
+        own = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([row + i for i in at], pa.int64()), *(batch.column(c).take(own) for c in (0, 2, 3)), *many], names=["row_key", "doc_id", "held_out", "lang", "keys", "times"])
+        row += len(texts)
+
+
+def joined_entropies(chosen: DataFrame, entries: DataFrame, unseen: dict[str, float]) -> DataFrame:
+    """(doc_id, held_out, lang, entropy) for the rows of `chosen`, by joins with the whole tables: for models of any size.
+
+    The distinct n-grams of all texts are looked up, from order 1 upwards, each order with its back-off to the one below; texts then meet the
+    results by n-gram, and their sums are combined before they are shuffled. Only languages, not n-grams, are in the plan.
+    """
+    kind, names = chosen.schema["doc_id"].dataType.simpleString(), F.array(*[F.lit(x) for x in sorted(unseen)])
+    rows = cut(chosen.select("doc_id", "text", "held_out", "lang").mapInArrow(_gram_rows, f"row_key long, doc_id {kind}, held_out boolean, lang string, keys array<long>, times array<long>"))
+    own = rows.select("row_key", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row_key", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
+    wanted = {ORDER: cut(own.select("key").distinct())}
+    for k in range(ORDER - 1, 0, -1):
+        wanted[k] = wanted[k + 1].select(F.col("key").bitwiseAND((1 << 16 * k) - 1).alias("key")).distinct()
+
+    def by_key(k: int, context: bool, name: str) -> DataFrame:
+        found = entries.where((F.col("k") == k) & (F.col("context") == context)).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "value"))).alias("_m"))
+        return found.select(F.col("key").alias(f"{name}_key"), F.transform(names, lambda x: F.try_element_at("_m", x)).alias(name))
+
+    new = F.array(*[F.lit(unseen[x]) for x in sorted(unseen)])
+    lower = None
+    for k in range(1, ORDER + 1):
+        met = wanted[k].join(by_key(k, False, "hit"), F.col("key") == F.col("hit_key"), "left")
+        if k == 1:
+            less = new
+        else:
+            met = met.join(by_key(k, True, "weight"), F.shiftrightunsigned("key", 16) == F.col("weight_key"), "left").join(lower, F.col("key").bitwiseAND((1 << 16 * (k - 1)) - 1) == F.col("lower_key"))
+            less = F.when(F.col("weight").isNull(), F.col("less")).otherwise(F.zip_with("less", "weight", lambda a, w: a + F.coalesce(w, F.lit(0.0))))
+        p = F.when(F.col("hit").isNull(), less).otherwise(F.zip_with(less, F.col("hit"), lambda a, h: F.coalesce(h, a)))
+        lower = cut(met.select(F.col("key").alias("lower_key"), p.alias("less")))
+    scored = own.join(lower, F.col("key") == F.col("lower_key"))
+    sums = scored.groupBy("row_key").agg(F.sum("times").alias("n"), *[F.sum(F.col("times") * F.col("less")[i]).alias(f"p{i}") for i in range(len(unseen))])
+    entropy = F.array(*[-F.col(f"p{i}") / F.col("n") for i in range(len(unseen))])
+    texts = rows.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.first("lang").alias("lang"))
+    return texts.join(sums.select("row_key", entropy.alias("entropy")), "row_key", "left").select("doc_id", "held_out", "lang", "entropy")
+
+
+def identify(docs: DataFrame, train: Column | None = None, spread: float = 6.0, most_sent: int = MOST_SENT) -> DataFrame:
     """The language of each row of `docs` (doc_id, text, lang), from models of those rows' texts that `train` picks.
 
     Without `train`, those are the rows whose CRC-32 of doc_id, as text, isn't 2 modulo 4.
@@ -260,26 +321,31 @@ def identify(docs: DataFrame, train: Column | None = None, spread: float = 6.0)
     The language whose model has the lowest mean cross-entropy, in nats a symbol, is chosen; of equal ones the first.
     score is its share in a softmax of the negative cross-entropies, at the temperature that
     makes the training rows' own languages likeliest. rejected is true where the cross-entropy is more
-    than `spread` standard deviations above the mean that training rows of that language have.
+    than `spread` standard deviations above the mean that training rows of that language have. Models of up to `most_sent` n-grams and
+    contexts are sent to the tasks; larger ones are joined to. Both use every n-gram, and give the same labels.
 
     Null texts and texts without letters get `und`, score 0 and rejected; so does every row if nothing
     could be learned. A null doc_id is neither held out nor learned from; repeated rows count
-    each. Null languages aren't learned from. An empty table gives no rows; other columns don't matter.
+    each; very long texts go through memory in pieces. Null languages aren't learned from. An empty table gives no rows; other columns don't matter.
     """
     spark = docs.sparkSession
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     held_out = F.coalesce(remainder == 2, F.lit(False))
     train = F.coalesce(remainder != 2, F.lit(False)) if train is None else train
-    model = fit(docs.where(train).select("text", "lang"))
+    entries, unseen = tables(docs.where(train).select("text", "lang"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     learned = F.when(train, F.col("lang").cast("string"))
     chosen = docs.select("doc_id", F.col("text"), held_out.alias("held_out"), learned.alias("lang"))
     none = docs.select("doc_id", held_out.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    if not model.languages:
+    if not unseen:
         return none
-    shared = spark.sparkContext.broadcast(model)
-    rows = cut(chosen.mapInArrow(_entropy_rows(shared), f"doc_id {kind}, held_out boolean, lang string, entropy array<double>"))
-    names = F.array(*[F.lit(x) for x in model.languages])
+    if entries.count() <= most_sent:
+        shared = spark.sparkContext.broadcast(collected(entries, unseen))
+        rows = chosen.mapInArrow(_entropy_rows(shared), f"doc_id {kind}, held_out boolean, lang string, entropy array<double>")
+    else:
+        rows = joined_entropies(chosen, entries, unseen)
+    rows = cut(rows)
+    names = F.array(*[F.lit(x) for x in sorted(unseen)])
     least = F.array_min("entropy")
     rows = rows.withColumn("cross_entropy", least).withColumn("lang_pred", F.when(F.col("entropy").isNull(), "und").otherwise(F.element_at(names, F.array_position("entropy", least).cast("int"))))
 

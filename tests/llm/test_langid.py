@@ -71,14 +71,45 @@ def test_hashes_differ():
     assert len(np.unique(langid.hashed(keys))) == len(np.unique(keys))
 
 
-def test_model_is_bounded(spark):
-    texts = [("the cat sat on the mat " * 5, "en"), ("a dog and the other cat that sat there on my hat", "en"), ("der hund und die katze " * 4, "de")]
-    frame = spark.createDataFrame(texts, "text string, lang string")
-    size = lambda m: sum(len(keys) for table in (m.grams, m.contexts) for keys, _ in table.values())
-    whole, small = langid.fit(frame), langid.fit(frame, max_entries=200)
-    assert 0 < size(small) <= 200 < size(whole) and small.languages == whole.languages
-    keys = np.array([sum(c << 16 * (3 - j) for j, c in enumerate(g)) for g in grams("the cat")], np.uint64)
-    assert small.log_probability(keys).mean(1)[1] > small.log_probability(keys).mean(1)[0]
+def large_alphabet():
+    """Texts in two languages of ordinary alphabets and one of some thousand letters, and odd rows."""
+    rng = np.random.default_rng(9)
+    wide = lambda n: "".join(chr(0x4E00 + int(c)) for c in np.minimum(rng.zipf(1.3, n), 3000))
+    small = lambda n, letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    rows = [(i, [small(12, "abcdeghin"), small(12, "ijklmnost"), wide(60)][i % 3], ["en", "fi", "zh"][i % 3], "s", "z") for i in range(90)]
+    return [*rows, (200, None, "en", "s", "z"), (201, "12 ...", "zh", "s", "z"), (None, wide(20), "zh", "s", "z"), (5, rows[5][1], "zh", "s", "z"), (202, "Ωψχ", None, "s", "z")]
+
+
+def test_joins_equal_the_sent_model(spark):
+    docs = spark.createDataFrame(large_alphabet(), SCHEMA).repartition(3)
+    columns = ["doc_id", "held_out", "lang_pred", "rejected", "score", "cross_entropy"]
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["lang_pred"])
+    sent, joined = (sorted(langid.identify(docs, most_sent=n).select(*columns).collect(), key=key) for n in (langid.MOST_SENT, 0))
+    assert [tuple(r)[:4] for r in sent] == [tuple(r)[:4] for r in joined]
+    assert np.allclose([r["score"] for r in sent], [r["score"] for r in joined], atol=1e-4)
+    assert np.allclose([r["cross_entropy"] or 0 for r in sent], [r["cross_entropy"] or 0 for r in joined], atol=1e-5)
+    by = {r["doc_id"]: r for r in joined}
+    assert by[200]["lang_pred"] == by[201]["lang_pred"] == "und" and by[None]["lang_pred"] == "zh"
+
+
+def test_joined_entropies_equal_plain_models(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CHUNK", 50)
+    rows = [r for r in large_alphabet() if r[1] and r[2]]
+    entries, unseen = langid.tables(spark.createDataFrame(rows, SCHEMA).select("text", "lang"))
+    chosen = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "true as held_out", "source as lang")
+    plain = {lang: Plain([r[1] for r in rows if r[2] == lang]) for lang in unseen}
+    got = {r["doc_id"]: r["entropy"] for r in langid.joined_entropies(chosen, entries, unseen).collect()}
+    for r in rows:
+        want = [plain[lang].entropy(r[1]) for lang in sorted(unseen)] if len(langid.symbols(r[1])) else None
+        assert (got[r[0]] is None and want is None) or np.allclose(got[r[0]], want, atol=1e-6), r
+
+
+def test_no_ngram_is_left_out(spark):
+    rows = [r for r in large_alphabet() if r[1] and r[2]]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA).select("text", "lang"))
+    for lang in model.languages:
+        kept = {g for r in rows if r[2] == lang for g in grams(r[1])} if any(grams(r[1]) for r in rows if r[2] == lang) else set()
+        assert len(model.grams[lang, 4][0]) == len(kept)
 
 
 def test_entropies_equal_plain_models(spark):
