@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from clipwright.llm.common import cut, rewritten
 from clipwright.llm.vocab import BETWEEN, Encoded, blocks, offsets
 
+TOKENIZERS = "byte_bpe_50k.json", "piece_bpe_32k.model"
+Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: A pair of ids is one number: A's id times this, and B's id.
 PAIR = 1 << 32
 #: Up to so many distinct pairs (about 40 bytes each in an executor) the counts are sent to all tasks; more are joined by shuffle.
@@ -81,11 +83,25 @@ class Vocabularies:
         self.lengths = [np.array([len(x) for x in xs], np.int64) for xs in self.bytes]
         # B's merges stay within words only if no piece has the sign for a space behind another sign
         self.by_word = not any("▁" in p.lstrip("▁") for p in own)
-        self.words = Encoded(
-            lambda words: (e.ids for e in coder.encode_batch_fast([" " + w for w in words], add_special_tokens=False)),
-            lambda words: pieces.encode(words, num_threads=1),
-            mark=self.joins,
-        )
+        self.coder = coder
+        self.words = Encoded(self.ids_a, lambda words: pieces.encode(words, num_threads=1), mark=self.joins)
+
+    def ids_a(self, words: list[str], together: int = 500) -> list[list[int]]:
+        """A's ids of space + word. Words without white space at their ends are encoded together, and told apart by where their bytes end."""
+        alone = lambda some: [e.ids for e in self.coder.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
+        plain = [w for w in words if not (w[0].isspace() or w[-1].isspace())]
+        groups = [plain[i : i + together] for i in range(0, len(plain), together)]
+        found: dict[str, list[int]] = {}
+        for group, ids in zip(groups, alone([" ".join(g) for g in groups]), strict=True):
+            ends, wanted = np.cumsum(self.lengths[0][ids]), np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in group])
+            cuts = np.minimum(np.searchsorted(ends, wanted), len(ends) - 1)
+            if (ends[cuts] == wanted).all():
+                found |= {w: ids[a:b] for w, a, b in zip(group, [0, *(cuts[:-1] + 1).tolist()], (cuts + 1).tolist(), strict=True)}
+            else:
+                found |= dict(zip(group, alone(group), strict=True))
+        rest = [w for w in words if w not in found]
+        found |= dict(zip(rest, alone(rest), strict=True))
+        return [found[w] for w in words]
 
     def joins(self, text: str, *ids: list[int]) -> bool:
         """Whether the bytes of both tokenizers' tokens are those of space + text."""
@@ -126,14 +142,8 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets(np.array([len(x) for x in arrays], np.int64)), pa.int32()), pa.array(np.concatenate([*arrays, np.empty(0, np.int32)]).astype(np.int32)))
 
 
-def align(docs: DataFrame, tokenizer_a: str = "byte_bpe_50k.json", tokenizer_b: str = "piece_bpe_32k.model") -> DataFrame:
-    """(doc_id, row_key, ids_a, ids_b, ends_a, ends_b): both tokenizers' ids of each whole text and the groups that they fall into.
-
-    Group g has the tokens from ends_a[g - 1] up to ends_a[g] of A and likewise of B: the fewest that cover the same
-    bytes of space + text. Texts that are null, empty, or whose tokens' bytes don't join to space + text have no
-    tokens. row_key tells rows apart, whatever their doc_id, but only once the result is written. Other columns are not read. A
-    text is aligned as a whole, in time and memory that follow its length.
-    """
+def aligned_rows(tokenizer_a: str, tokenizer_b: str) -> Rows:
+    """From (doc_id, text) to the rows of `align`, about a million characters at a time."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, key = vocabularies(tokenizer_a, tokenizer_b), TaskContext.get().partitionId() << 33
@@ -155,8 +165,19 @@ def align(docs: DataFrame, tokenizer_a: str = "byte_bpe_50k.json", tokenizer_b:
                 )
                 first = last
 
+    return rows
+
+
+def align(docs: DataFrame, tokenizer_a: str = TOKENIZERS[0], tokenizer_b: str = TOKENIZERS[1]) -> DataFrame:
+    """(doc_id, row_key, ids_a, ids_b, ends_a, ends_b): both tokenizers' ids of each whole text and the groups that they fall into.
+
+    Group g has the tokens from ends_a[g - 1] up to ends_a[g] of A and likewise of B: the fewest that cover the same
+    bytes of space + text. Texts that are null, empty, or whose tokens' bytes don't join to space + text have no
+    tokens. row_key tells rows apart, whatever their doc_id, but only once the result is written. Other columns are not read. A
+    text is aligned as a whole, in time and memory that follow its length.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(rows, f"doc_id {kind}, row_key long, ids_a array<int>, ids_b array<int>, ends_a array<int>, ends_b array<int>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(aligned_rows(tokenizer_a, tokenizer_b), f"doc_id {kind}, row_key long, ids_a array<int>, ids_b array<int>, ends_a array<int>, ends_b array<int>")
 
 
 def _arrays(column: pa.ListArray) -> Callable[[int], np.ndarray]:
@@ -164,42 +185,44 @@ def _arrays(column: pa.ListArray) -> Callable[[int], np.ndarray]:
     return lambda i: values[at[i] : at[i + 1]]
 
 
-def group_digests(aligned: DataFrame) -> DataFrame:
-    """(doc_id, row_key, n_a, n_b, n_groups, groups_sha256, pairs, times) for the rows of `align`.
+def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, row_key, n_a, n_b, n_groups, groups_sha256, pairs, times) from the rows of `align`.
 
     groups_sha256 is of all groups as `a1,a2|b1;a3|b2,b3`, empty without tokens. `pairs` are the distinct (last A token, last B token)
     of groups, which are the tokens that end together, and `times` how often each stands in the text.
     """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digits = [str(i).encode() for i in range(1 << 16)]
-        words = [d + sign for sign in (b",", b"|", b",", b";") for d in digits]  # A's and B's ids, inside a group and at its end
-        for batch in batches:
-            get = {c: _arrays(batch.column(batch.schema.get_field_index(c))) for c in ("ids_a", "ids_b", "ends_a", "ends_b")}
-            out = {c: [] for c in ("n_a", "n_b", "n_groups", "groups_sha256")}
-            pairs, times = [], []
-            for i in range(batch.num_rows):
-                a, b, ends_a, ends_b = (get[c](i).astype(np.int64) for c in get)
-                closes_a, closes_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-                closes_a[ends_a - 1], closes_b[ends_b - 1] = True, True
-                # tokens in the order in which they are written: of each group A's, then B's
-                group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
-                code = np.empty(len(a) + len(b), np.int64)
-                code[np.arange(len(a)) + np.concatenate([[0], ends_b])[group_a]] = a + closes_a * (1 << 16)
-                code[np.arange(len(b)) + ends_a[group_b]] = b + closes_b * (1 << 16) + (2 << 16)
-                text = b"".join(map(words.__getitem__, code.tolist()))
-                found, n = np.unique(a[ends_a - 1] * PAIR + b[ends_b - 1], return_counts=True)
-                for c, v in zip(out, (len(a), len(b), len(ends_a), hashlib.sha256(text[:-1]).hexdigest() if len(a) else ""), strict=True):
-                    out[c].append(v)
-                pairs.append(found)
-                times.append(n)
-            at = pa.array(offsets(np.array([len(x) for x in pairs], np.int64)), pa.int32())
-            many = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([*xs, np.empty(0, np.int64)]).astype(np.int64))) for xs in (pairs, times)]
-            columns = [pa.array(out[c], pa.string() if c == "groups_sha256" else pa.int64()) for c in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *many], ["doc_id", "row_key", *out, "pairs", "times"])
-
-    kind = aligned.schema["doc_id"].dataType.simpleString()
-    return aligned.mapInArrow(rows, f"doc_id {kind}, row_key long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<long>, times array<long>")
+    digits = [str(i).encode() for i in range(1 << 16)]
+    words = [d + sign for sign in (b",", b"|", b",", b";") for d in digits]  # A's and B's ids, inside a group and at its end
+    for batch in batches:
+        get = {c: _arrays(batch.column(batch.schema.get_field_index(c))) for c in ("ids_a", "ids_b", "ends_a", "ends_b")}
+        out = {c: [] for c in ("n_a", "n_b", "n_groups", "groups_sha256")}
+        pairs, times = [], []
+        for i in range(batch.num_rows):
+            a, b, ends_a, ends_b = (get[c](i).astype(np.int64) for c in get)
+            closes_a, closes_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+            closes_a[ends_a - 1], closes_b[ends_b - 1] = True, True
+            # tokens in the order in which they are written: of each group A's, then B's
+            group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+            code = np.empty(len(a) + len(b), np.int64)
+            code[np.arange(len(a)) + np.concatenate([[0], ends_b])[group_a]] = a + closes_a * (1 << 16)
+            code[np.arange(len(b)) + ends_a[group_b]] = b + closes_b * (1 << 16) + (2 << 16)
+            text = b"".join(map(words.__getitem__, code.tolist()))
+            found, n = np.unique(a[ends_a - 1] * PAIR + b[ends_b - 1], return_counts=True)
+            for c, v in zip(out, (len(a), len(b), len(ends_a), hashlib.sha256(text[:-1]).hexdigest() if len(a) else ""), strict=True):
+                out[c].append(v)
+            pairs.append(found)
+            times.append(n)
+        at = pa.array(offsets(np.array([len(x) for x in pairs], np.int64)), pa.int32())
+        many = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([*xs, np.empty(0, np.int64)]).astype(np.int64))) for xs in (pairs, times)]
+        columns = [pa.array(out[c], pa.string() if c == "groups_sha256" else pa.int64()) for c in out]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *many], ["doc_id", "row_key", *out, "pairs", "times"])
+
+
+def group_digests(docs: DataFrame, tokenizer_a: str = TOKENIZERS[0], tokenizer_b: str = TOKENIZERS[1]) -> DataFrame:
+    """`digest_rows` of the alignment of `docs`, in the task that aligns: the tokens go no further."""
+    aligned, kind = aligned_rows(tokenizer_a, tokenizer_b), docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, row_key long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<long>, times array<long>"
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lambda batches: digest_rows(aligned(batches)), schema)
 
 
 def link_counts(digests: DataFrame) -> DataFrame:
@@ -218,7 +241,7 @@ def score_links(docs: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     Texts are encoded and aligned once; what is kept of them is written. The counts of pairs go to all tasks if there are no
     more than `most_sent` of them; beyond that both sides are shuffled by pair, the documents' sums then by row_key. Both give the same rows.
     """
-    digests = rewritten(group_digests(align(docs)))
+    digests = rewritten(group_digests(docs))
     counts = cut(link_counts(digests))
     small = counts.count() <= most_sent
     links = digests.select("row_key", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row_key", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))

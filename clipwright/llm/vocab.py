@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 
 #: A space between two signs other than white space: the tokenizers start anew with it.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: A task forgets its distinct words beyond this number of them, and encodes them again.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 500_000
 #: Texts are encoded together up to this number of characters; a longer one by itself.
 BLOCK_CHARS = 2_000_000
 
@@ -30,6 +31,14 @@ def offsets(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
+def _filled(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """`array` with `values` from `at` on, in a larger copy if they don't fit."""
+    if at + len(values) > len(array):
+        array = np.concatenate([array[:at], np.empty(max(at, 2 * len(values)), array.dtype)])
+    array[at : at + len(values)] = values
+    return array
+
+
 class Encoded:
     """The ids of words, from one or more encoders, each asked once for each distinct word.
 
@@ -42,32 +51,37 @@ class Encoded:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.flat = [np.empty(1 << 16, np.int32) for _ in self.encoders]
-        self.starts, self.counts = ([np.empty(1 << 14, np.int64) for _ in self.encoders] for _ in range(2))
-        self.marks, self.used = np.empty(1 << 14, bool), [0] * len(self.encoders)
+        self.flat = [np.empty(0, np.int32) for _ in self.encoders]
+        self.starts, self.counts = ([np.empty(0, np.int64) for _ in self.encoders] for _ in range(2))
+        self.marks, self.used, self.words = np.empty(0, bool), [0] * len(self.encoders), 0
 
     def _keep(self, words: list[str]) -> None:
-        for word, *all_ids in zip(words, *(encode(words) for encode in self.encoders), strict=True):
-            k = len(self.at)
-            if k == len(self.marks):
-                self.marks, self.starts, self.counts = np.resize(self.marks, 2 * k), [np.resize(x, 2 * k) for x in self.starts], [np.resize(x, 2 * k) for x in self.counts]
-            for e, ids in enumerate(all_ids):
-                n, used = len(ids), self.used[e]
-                if used + n > len(self.flat[e]):
-                    self.flat[e] = np.resize(self.flat[e], 2 * (used + n))
-                self.flat[e][used : used + n] = ids
-                self.starts[e][k], self.counts[e][k], self.used[e] = used, n, used + n
-            self.marks[k] = self.mark(word, *all_ids)
-            self.at[word] = k
+        if not words:
+            return
+        before, now = self.words, self.words + len(words)
+        all_ids = [list(encode(words)) for encode in self.encoders]
+        self.marks = _filled(self.marks, before, np.fromiter(map(self.mark, words, *all_ids), bool, len(words)))
+        for e, ids in enumerate(all_ids):
+            counts = np.fromiter(map(len, ids), np.int64, len(words))
+            flat, used = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), self.used[e]
+            self.flat[e] = _filled(self.flat[e], used, flat)
+            self.starts[e] = _filled(self.starts[e], before, used + np.cumsum(counts) - counts)
+            self.counts[e] = _filled(self.counts[e], before, counts)
+            self.used[e] = used + len(flat)
+        self.at.update(zip(words, range(before, now), strict=True))
+        self.words = now
 
     def places(self, words: list[str]) -> np.ndarray:
         """The number of each word in `starts`, `counts` and `marks`; good until the next call."""
-        new = set(words).difference(self.at)
+        found = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        new = dict.fromkeys(words[i] for i in missing)
         if len(self.at) + len(new) > MOST_WORDS and self.at:
             self.forget()
-            new = set(words)
+            missing, new = np.arange(len(words)), dict.fromkeys(words)
         self._keep(list(new))
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        found[missing] = [self.at[words[i]] for i in missing]
+        return found
 
     def ids(self, places: np.ndarray, encoder: int = 0) -> np.ndarray:
         return ragged(self.flat[encoder], self.starts[encoder][places], self.counts[encoder][places])

@@ -90,3 +90,13 @@ def test_odd_texts(spark, plain):
 
 def test_no_documents(spark):
     assert alignment.score_links(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_groups_of_the_operator(spark):
+    texts = ["the cat sat", "naïve café, 🙂", None]
+    rows = {r.doc_id: r for r in alignment.align(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    known = alignment.vocabularies(*alignment.TOKENIZERS)
+    for i, text in enumerate(texts):
+        joined = [b"".join(known.bytes[side][x] for x in ids[a:b]) for side, ids, ends in ((0, rows[i].ids_a, rows[i].ends_a), (1, rows[i].ids_b, rows[i].ends_b)) for a, b in zip([0, *ends[:-1]], ends)]
+        half = len(joined) // 2
+        assert joined[:half] == joined[half:] and b"".join(joined[:half]).decode() == (f" {text}" if text else "")
