@@ -29,7 +29,11 @@ RAW = "script|style|noscript|template|textarea|svg|math|xmp|title"
 
 # No part of an attribute begins with "<", and nothing is tried twice, so that tags that never close cost no more than their length.
 _ATTRIBUTES = r"""(?:[^\s>=<]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'<][^\s><]*+)?+)?+|[\s=]++)*+"""
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*+>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES})>", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b({_ATTRIBUTES})>|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES})>", re.S | re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*+>|\Z", re.I) for name in RAW.split("|")}
+#: Elements that may close themselves; the slash may not belong to a value without quotes.
+FOREIGN = frozenset(("svg", "math"))
+_BARE_VALUE = re.compile(r"""=\s*+[^\s"'=<>][^\s<>]*+\Z""")
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|\baria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -95,6 +99,11 @@ def name_hints(attributes: str) -> int:
     return bits
 
 
+def closes_itself(name: str, attributes: str) -> bool:
+    """Whether a raw element has no body: an icon or a formula, `<svg class="i"/>`, whose last sign is a slash of its own."""
+    return name in FOREIGN and attributes.endswith("/") and not _BARE_VALUE.search(attributes[-2000:])
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Runs of text between boundaries of block elements, with what stands around them.
 
@@ -129,24 +138,26 @@ def leaf_blocks(page: str) -> list[Block]:
             open_at[stack.pop()[0]].pop()
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             held.append(page[at : m.start()])
             if in_link:
                 linked += m.start() - at
         at = m.end()
         if m.group(1):
+            if not closes_itself(m.group(1).lower(), m.group(2)):
+                at = _RAW_END[m.group(1).lower()].search(page, at).end()
             continue
-        name = (m.group(3) or "").lower()
+        name = (m.group(4) or "").lower()
         if name == "a":
-            in_link = not m.group(2)
+            in_link = not m.group(3)
         elif name == "br":
             held.append(" ")
         if name not in BLOCK:
             continue
         end()
         in_link = False
-        if m.group(2):
+        if m.group(3):
             if open_at.get(name) and (name != "p" or stack[-1][0] == "p"):
                 close(open_at[name][-1])
             continue
@@ -157,7 +168,7 @@ def leaf_blocks(page: str) -> list[Block]:
             first = [places[i] for other in ENDS[name] if (places := open_at.get(other)) and (i := bisect_right(places, holder)) < len(places)]
             if first:
                 close(min(first))
-        attributes = m.group(4)
+        attributes = m.group(5)
         if name in VOID or attributes.endswith("/"):
             continue
         if attributes not in seen:

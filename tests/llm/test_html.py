@@ -113,3 +113,20 @@ def test_query_table(spark, model):
     assert len(found) == 5 and all(r["n_chars"] == len(r["text"]) for r in found)
     assert [r["n_chars"] for r in found if r["page_id"] == 3] == [300_000 * 5 - 1]
     assert h.extract_text(table.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("icon", ['<svg class="i"/>', "<svg/>", "<svg hidden/>", '<svg viewBox="0 0 1 1" />', "<math/>", '<SVG class="a b"/>', "<svg class='i'><path d='M0 0'/></svg>", "<svg class=i/><path/></svg>"])
+def test_icons_lose_no_text(model, icon):
+    first, second = "The first paragraph of the article is here. " * 5, "And the second paragraph of it goes on. " * 5
+    between = h.main_text(f"<body><article><h1>Title</h1><p>{first}</p>{icon}<p>{second}</p></article></body>", model)[0]
+    assert between.split("\n") == ["Title", first.strip(), second.strip()]
+    within = h.main_text(f"<body><article><h1>Title</h1><p>{first}{icon}{second}</p><p>{second}</p></article></body>", model)[0]
+    assert within.split("\n") == ["Title", first + second.strip(), second.strip()]
+
+
+def test_icons_cost_their_length(model):
+    import time
+
+    began = time.perf_counter()
+    h.main_text("<svg/>" * 100_000 + "<svg " + "=" * 300_000 + "/>" + "<svg class=x/" * 50_000, model)
+    assert time.perf_counter() - began < 20
