@@ -22,7 +22,7 @@ def _decoded(x: Column) -> Column:
 
     def one(p: Column, i: Column) -> Column:
         code = F.chr(F.conv(F.substring(p, 1, 2), 16, 10).cast("int"))
-        rest = F.substring(p, 3, 1_000_000)
+        rest = F.substr(p, F.lit(3))
         coded = F.when(code.rlike("^[A-Za-z0-9._~-]$"), F.concat(code, rest)).otherwise(F.concat(F.lit("%"), F.upper(F.substring(p, 1, 2)), rest))
         return F.when(i == 0, p).when(p.rlike("^[0-9A-Fa-f]{2}"), coded).otherwise(F.concat(F.lit("%"), p))
 
@@ -71,6 +71,10 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+#: Ranges of instants, at most, for each of Spark's shuffle partitions.
+RANGES_PER_PARTITION = 4
+
+
 def resolve_revisits(records: DataFrame, rows_per_bucket: int = 5_000) -> DataFrame:
     """Each revisit in `records` with the latest full response of its page that was captured before it.
 
@@ -92,7 +96,8 @@ def resolve_revisits(records: DataFrame, rows_per_bucket: int = 5_000) -> DataFr
     Only ids, validators and headers are shuffled. Of all responses of a page at one instant only the last counts, and all
     revisits at one instant have the same answer, so instants are what is brought in order: in ranges of page and time,
     each of which hands its last response on to the page's later ones. A page with a third of all
-    captures has many ranges, however close together they lie.
+    captures has many ranges, however close together they lie. A range has about `rows_per_bucket` rows, or
+    more where that would make more than RANGES_PER_PARTITION ranges for each shuffle partition.
     """
     page = canonical_url(F.col("url"))
     columns = ["record_id", "kind", "captured_at", "etag", "last_modified", "digest", "headers"]
@@ -103,7 +108,8 @@ def resolve_revisits(records: DataFrame, rows_per_bucket: int = 5_000) -> DataFr
     responses = rows.where(f"kind = 'response' and {timed}").groupBy("page", "captured_at").agg(F.max_by(full, "record_id").alias("full"))
     moments = asked.where(timed).select("page", "captured_at").distinct()
     instants = responses.unionByName(moments.withColumn("full", F.lit(None).cast(responses.schema["full"].dataType)))
-    ranges = max(1, -(-rows.count() // rows_per_bucket))
+    most = RANGES_PER_PARTITION * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(-(-rows.count() // rows_per_bucket), most))
     placed = cut(instants.repartitionByRange(ranges, "page", "captured_at").withColumn("part", F.spark_partition_id()))
 
     at = F.when(F.col("full").isNotNull(), F.col("captured_at"))
