@@ -169,8 +169,10 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n:
     hits = met.select("text_key", "size", F.explode(F.arrays_zip("parts", "hashes")).alias("hit")).select("text_key", "size", F.col("hit.parts").alias("part"), F.col("hit.hashes").alias("hash"))
     sketches = rows.where("sketch").select("part", "hash", "item_key", "need")
     candidates = hits.join(sketches, ["part", "hash"]).where("size >= need").select("text_key", "item_key").distinct()
-    own = met.select("text_key", F.explode("shingles").alias("shingle")).distinct()
-    shared_rows = own.join(rows.select("shingle", "item_key", "item_id", "n", "need"), "shingle").join(candidates, ["text_key", "item_key"])
+    # only candidates meet their texts' shingles, and only their own items' are looked up
+    own = met.groupBy("text_key").agg(F.first("shingles").alias("shingles"))
+    asked = candidates.join(own, "text_key").select("text_key", "item_key", F.explode("shingles").alias("shingle"))
+    shared_rows = asked.join(rows.select("item_key", "shingle", "item_id", "n", "need"), ["item_key", "shingle"])
     counted = shared_rows.groupBy("text_key", "item_key").agg(F.count("*").alias("found"), F.first("item_id").alias("item_id"), F.first("n").alias("n_shingles"), F.first("need").alias("need")).where("found >= need")
     documents = met.select("doc_id", "text_key").distinct()
     return documents.join(counted, "text_key").select("doc_id", "item_id", "found", "n_shingles", (F.col("found") / F.col("n_shingles")).alias("containment"), "text_key")

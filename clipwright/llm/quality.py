@@ -105,6 +105,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
     return weights, float(w[-1] - weights @ mean)
 
 
+#: Sites of up to so many paths go to all tasks; above, each path goes to so many tasks.
+MOST_SENT, SALTS = 100_000, 16
+
+
 def _logit(p: Column) -> Column:
     p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     return F.log(p / (1 - p))
@@ -124,6 +128,15 @@ def _key(host: Column | str, path: Column | str) -> Column:
     return identity(F.col("text"), *[F.col(c) if isinstance(c, str) else c for c in (host, path)])
 
 
+def _at_sites(scored: DataFrame, paths: DataFrame) -> DataFrame:
+    """Rows with the sums of their host and path, nulls meeting nulls. Up to MOST_SENT paths are sent to the rows; of more, each is dealt to SALTS tasks, so that none with very many rows is a single task."""
+    if paths.count() <= MOST_SENT:
+        return join_nulls(scored, F.broadcast(paths), ["host", "path"])
+    salted = scored.withColumn("_salt", F.pmod(F.xxhash64("row_key", "p_doc"), F.lit(SALTS)).cast("int"))
+    dealt = paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_nulls(salted, dealt, ["host", "path", "_salt"]).drop("_salt")
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -175,7 +188,7 @@ def score_quality(
 
     own = F.col("p_doc")
     rest = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(summed) - own) / (total - 1))) if total > 1 else F.lit(0.5)
-    joined = join_nulls(scored, paths.drop("v"), ["host", "path"])
+    joined = _at_sites(scored, paths.drop("v"))
     joined = joined.withColumn("host_posterior", (F.col("host_s") - own + strong * rest) / (F.col("host_n") - 1 + strong))
     joined = joined.withColumn("path_posterior", (F.col("s") - own + fine * F.col("host_posterior")) / (F.col("n") - 1 + fine))
     odds = _logit(own) + _logit(F.col("path_posterior")) - _logit(rest)

@@ -154,3 +154,22 @@ def test_quality_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert [r["keep"] for r in quality.score_quality(docs, labels).collect()] == [True, True]
     assert quality.score_quality(docs.limit(0), labels).count() == 0
+
+
+def test_salted_sites_equal_sent_ones(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, "good words here. " * r.randint(1, 9) if r.random() < 0.6 else "$$ ## 11", r.choice(["en", None]), r.choice(["a", "a", "a", "b", None]), "z") for i in range(80)]
+    labels = spark.createDataFrame([(i, int("good" in rows[i][1])) for i in range(0, 80, 2)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sent = {x["doc_id"]: round(x["p"], 9) for x in quality.score_quality(docs, labels).collect()}
+    monkeypatch.setattr(quality, "MOST_SENT", 0)
+    assert {x["doc_id"]: round(x["p"], 9) for x in quality.score_quality(docs, labels).collect()} == sent and len(sent) == 80
+
+
+def test_a_shingle_that_all_share(spark):
+    """A passage that every item and document has makes no row that isn't a candidate, and no item is lost."""
+    common = " ".join(f"c{i}" for i in range(12))
+    items = [(i, f"{common} " + " ".join(f"i{i}x{k}" for k in range(20))) for i in range(30)]
+    docs = [(i, common + " tail " * 20, "en", "s", "z") for i in range(60)] + [(100 + i, f"lead {t} tail", "en", "s", "z") for i, t in items[:5]]
+    found = decontam.find_contained(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(100 + i, i) for i in range(5)]
