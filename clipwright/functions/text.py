@@ -40,9 +40,15 @@ class Text:
     pieces: Column
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt anew where it would be fewer tasks than there are cores, as a file of one row group is; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def prepared(df: DataFrame, column: str = "text") -> tuple[DataFrame, Text]:
     """`df` with the columns that a `Text` of `column` needs, _low and _pieces, so that each is made once for all scores."""
-    rows = df.withColumn("_low", F.lower(F.coalesce(column, F.lit(""))))
+    rows = spread(df).withColumn("_low", F.lower(F.coalesce(column, F.lit(""))))
     rows = rows.withColumn("_pieces", F.array_join(F.array_distinct(F.split("_low", "\\s+")), " "))
     return rows, Text(F.col(column), F.col("_low"), F.col("_pieces"))
 

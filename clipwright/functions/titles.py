@@ -123,7 +123,7 @@ def emphasis_level(text: Column) -> Column:
 
 def text_transform(text: Column, how: str) -> Column:
     """`uppercase`, `lowercase`, `capitalize` (the first letter, the others small), or as it is."""
-    capital = F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1_000_000)))
+    capital = F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
     return {"uppercase": F.upper(text), "lowercase": F.lower(text), "capitalize": capital}.get(how, text)
 
 

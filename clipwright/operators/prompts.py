@@ -69,9 +69,10 @@ def focus_tokens(text: Column) -> Column:
     """Rates, sizes with units, resolutions, components and model numbers, of three characters or more."""
     low = F.lower(text)
     every = lambda x, pattern, group=1: F.regexp_extract_all(x, F.lit(pattern), F.lit(group))
+    # fixed values: the rates, units and resolutions that count
     rates = F.transform(every(low, r"\b(60|75|90|100|120|144|150|165|170|180|200|240|300|360)\s*-?\s*(?:hz|hertz)\b"), lambda x: F.concat(x, F.lit("hz")))
     refresh = F.when(any_of(text, lx.HIGH_REFRESH), F.array(F.lit("high_refresh"))).otherwise(F.array().cast("array<string>"))
-    sizes = F.transform(every(low, r"\b(\d+[\d.,]*\s?(?:mah|gb|g|w|nm|fps|nits|nit|inch|in|mm|ghz|khz|mhz|kwh|k|%|mp))\b"), lambda x: F.regexp_replace(x, "[\\s,]", ""))
+    sizes = F.transform(every(low, r"\b(\d+[\d.,]*\s?(?:mah|gb|g|w|nm|fps|nit|nits|inch|in|mm|ghz|khz|mhz|k|kwh|%|mp))\b"), lambda x: F.regexp_replace(x, "[\\s,]", ""))
     parts = F.filter(F.array(*[F.when(low.contains(c), F.lit(c)) for c in lx.COMPONENTS]), lambda x: x.isNotNull())
     models = F.transform(every(text, r"\b([a-zA-Z]+\d+[a-zA-Z\d]*)\b"), F.lower)
     found = F.concat(rates, refresh, sizes, every(low, r"\b(4k|8k|2k|1080p|1440p|2160p|720p)\b"), parts, models)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 #: What is never deleted, and what counts as a video.
 KEPT_EXTENSIONS = (".log", ".json", ".srt", ".ass")
 KEPT_NAMES = ("example", "sample", "demo")
-VIDEO_EXTENSIONS = (".mp4", ".mov", ".avi", ".mkv", ".webm", ".flv", ".wmv", ".m4v")
+VIDEO_EXTENSIONS = (".mp4", ".avi", ".mov", ".mkv", ".wmv", ".flv", ".webm", ".m4v")
 RETENTION_HOURS = {"input": 48, "output": 48, "temp": 24}
 
 
@@ -31,18 +31,31 @@ def by_age(files: DataFrame, now: int) -> DataFrame:
     return _videos(files).where((F.col("mtime") < now - hours * 3600) & may_delete(now)).select("directory", "path", "size", F.lit("age").alias("rule"))
 
 
+def _earlier(rows: DataFrame, value: Column, newest_first: bool = False, width: int = 60) -> DataFrame:
+    """Adds `before`: the sum of `value` over the files of the directory that come earlier, by age and path.
+
+    Files are summed by minutes first, and only minutes are brought in order for a directory, so that one with any share of all files is many tasks.
+    """
+    sign = -1 if newest_first else 1
+    dealt = rows.withColumn("_v", value).withColumn("_minute", F.floor(F.col("mtime") / width) * sign)
+    sums = dealt.groupBy("directory", "_minute").agg(F.sum("_v").alias("_s"))
+    base = F.coalesce(F.sum("_s").over(Window.partitionBy("directory").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = Window.partitionBy("directory", "_minute").orderBy(F.col("mtime") * sign, "path").rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumn("_local", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    joined = local.join(sums.select("directory", "_minute", base.alias("_base")), ["directory", "_minute"])
+    return joined.withColumn("before", F.col("_local") + F.col("_base")).drop("_v", "_minute", "_local", "_base")
+
+
 def by_size(files: DataFrame, now: int, most_bytes: int) -> DataFrame:
     """Of each directory the oldest deletable videos, until enough bytes are freed that it holds `most_bytes`."""
     total = files.groupBy("directory").agg(F.sum("size").alias("total"))
     rows = _videos(files).where(may_delete(now))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("directory").orderBy("mtime", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("freed", before).join(total, "directory").where(F.col("freed") < F.col("total") - most_bytes).select("directory", "path", "size", F.lit("size").alias("rule"))
+    return _earlier(rows, F.col("size")).join(total, "directory").where(F.col("before") < F.col("total") - most_bytes).select("directory", "path", "size", F.lit("size").alias("rule"))
 
 
 def by_count(files: DataFrame, now: int, most: int) -> DataFrame:
     """Deletable videos beyond the newest `most` of each directory."""
-    w = Window.partitionBy("directory").orderBy(F.desc("mtime"), "path")
-    return _videos(files).withColumn("place", F.row_number().over(w)).where((F.col("place") > most) & may_delete(now)).select("directory", "path", "size", F.lit("count").alias("rule"))
+    return _earlier(_videos(files), F.lit(1), newest_first=True).where((F.col("before") >= most) & may_delete(now)).select("directory", "path", "size", F.lit("count").alias("rule"))
 
 
 def plan(files: DataFrame, now: int, most_bytes: int, most: int) -> DataFrame:

@@ -35,9 +35,10 @@ def prioritised(subjects: DataFrame, by: list[str]) -> DataFrame:
 
 
 def weighted_confidence(subjects: DataFrame, by: list[str]) -> DataFrame:
-    """Mean confidence by type's weight, at most 1."""
-    weight = looked_up(WEIGHTS, F.col("type"), 0.1)
-    return subjects.groupBy(*by).agg(F.least(F.lit(1.0), F.sum(F.col("confidence") * weight) / F.sum(weight)).alias("confidence"))
+    """Mean confidence by type's weight, at most 1. Sums are of decimals of nine and two places, so they don't hang on the order of rows."""
+    weight = looked_up(WEIGHTS, F.col("type"), 0.1).cast("decimal(6,2)")
+    exact = lambda c: F.sum(c).cast("double")
+    return subjects.groupBy(*by).agg(F.least(F.lit(1.0), exact(F.col("confidence").cast("decimal(18,9)") * weight) / exact(weight)).alias("confidence"))
 
 
 def decision_confidence(objects: DataFrame, by: list[str]) -> DataFrame:

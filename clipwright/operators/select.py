@@ -286,12 +286,14 @@ def clean_boundaries(segments: DataFrame, transcript: DataFrame, shortest: float
         w = Window.partitionBy("video_id", "segment_id").orderBy(*order)
         return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("video_id", "segment_id", F.col(at).alias(name))
 
-    near = lambda at, point: own.withColumn("_f", F.col(point) - within).withColumn("_t", F.col(point) + within).join(marked, "video_id").where(F.col(at).between(F.col("_f"), F.col("_t")))
+    # lines are met by time, in buckets, and not by video alone
+    near = lambda at, point: interval_join(own.withColumn("_f", F.col(point) - within).withColumn("_t", F.col(point) + within), marked, ["video_id"], ("_f", "_t"), (at, at), closed=True)
     starts = best(near("start", "seg_start"), [F.desc("sq"), F.abs(F.col("start") - F.col("seg_start")), F.col("start")], "start", "new_start")
     ends = best(near("end", "seg_end"), [F.desc("eq"), F.abs(F.col("end") - F.col("seg_end")), F.col("end")], "end", "new_end")
     rows = own.join(starts, ["video_id", "segment_id"], "left").join(ends, ["video_id", "segment_id"], "left")
     rows = rows.select("video_id", "segment_id", F.coalesce("new_start", "seg_start").alias("s"), F.coalesce("new_end", "seg_end").alias("e"))
-    met = rows.join(marked.select("video_id", "end", "eq"), "video_id").withColumn("d", F.col("end") - F.col("s"))
+    reach = rows.withColumn("_f", F.col("s") + min(shortest, longest * 0.8) - 1).withColumn("_t", F.col("s") + longest + 1)
+    met = interval_join(reach, marked.select("video_id", "end", "eq"), ["video_id"], ("_f", "_t"), ("end", "end"), closed=True).withColumn("d", F.col("end") - F.col("s"))
     longer = best(met.where((F.col("d") >= shortest) & (F.col("d") <= longest)), [F.desc("eq"), F.col("d")], "end", "stretched")
     shorter = best(met.where((F.col("d") <= longest) & (F.col("d") >= longest * 0.8)), [F.desc("eq"), F.desc("d")], "end", "trimmed")
     rows = rows.join(longer, ["video_id", "segment_id"], "left").join(shorter, ["video_id", "segment_id"], "left")

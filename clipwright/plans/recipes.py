@@ -380,9 +380,10 @@ def prioritised_subjects(spark, sf_dir):
     return sc.prioritised(typed(spark, sf_dir), ["video_id"]).select("video_id", "det_id", "priority", "place")
 
 
-@query(sql("with {DET},{TYPED}, w as (select *, floor(ts / 86400.0)::bigint as day, case type when 'face' then 1.0 when 'person' then 0.8 else 0.3 end as w from typed) select video_id, day, round(least(1.0, sum(confidence * w) / sum(w)), 6) as confidence from w group by all"))
+@query(sql("with {DET},{TYPED}, w as (select *, floor(ts / 86400.0)::bigint as day, case type when 'face' then 1 when 'person' then 0.8 else 0.3 end::decimal(6,2) as w from typed) select video_id, day, round(least(1.0, sum(confidence::decimal(18,9) * w)::double / sum(w)::double)::decimal(20,12), 6)::double as confidence from w group by all"))
 def type_confidence(spark, sf_dir):
-    return rounded(sc.weighted_confidence(typed(spark, sf_dir), ["video_id", "day"]), "confidence", places=6)
+    found = sc.weighted_confidence(typed(spark, sf_dir), ["video_id", "day"])
+    return found.withColumn("confidence", F.round(F.col("confidence").cast("decimal(20,12)"), 6).cast("double"))
 
 
 @query(sql("with {DET},{DAILY} select video_id, day, round(avg(confidence), 9) as confidence, round(avg(relevance), 9) as relevance, round(avg(confidence) * avg(relevance), 9) as focus from daily group by all"))
@@ -422,10 +423,10 @@ def crop_regions(spark, sf_dir):
     return sc.padded_crops(st.detections(spark, sf_dir)).select("det_id", *names)
 
 
-@query(sql("""with {DET},{DAILY}, f as (select video_id, day, det_id, round(confidence / (1.0 + abs((x1 + x2) / 2.0 / 1920 - 0.5) + abs((y1 + y2) / 2.0 / 1080 - 0.4)), 9) as s from daily where det_id % 2 = 0 and day % 3 <> 0)
+@query(sql("""with {DET}, daily as (select *, floor(ts / 86400.0)::bigint as day, floor(ts / 86400.0)::bigint % 3 <> 0 as speaking from detections), f as (select video_id, day, det_id, round(confidence / (1.0 + abs((x1 + x2) / 2.0 / 1920 - 0.5) + abs((y1 + y2) / 2.0 / 1080 - 0.4)), 9) as s from daily where speaking)
 select video_id, day, det_id, s as speaker_score from f where s > 0 qualify row_number() over (partition by video_id, day order by s desc, det_id) = 1"""))
 def active_speakers(spark, sf_dir):
-    faces = daily(spark, sf_dir).where("det_id % 2 = 0").withColumn("speaking", F.col("day") % 3 != 0)
+    faces = daily(spark, sf_dir).withColumn("speaking", F.col("day") % 3 != 0)
     return sc.active_speakers(faces, ["video_id", "day"])
 
 
