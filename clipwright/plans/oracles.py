@@ -123,9 +123,9 @@ scored as (
   select *, round(least(1.0, (0.5 + {clip_quality('text')}) * {FACTOR})::double, 4) as quality_score, round(least(1.0, 0.5 + {engagement('text')})::double, 4) as engagement_score
   from (select *, seg_end - seg_start as d from clip_texts))"""
 HOURS = """
-hours as (select video_id, s as segment_id, (s * 120.0)::double as seg_start, (s * 120.0 + 60)::double as seg_end from (select distinct event_type as video_id from events), unnest(range(0, 372)) t(s))"""
+hours as (select video_id, s as segment_id, (s * 120.0)::double as seg_start, (s * 120.0 + 60)::double as seg_end from (select event_type as video_id, floor(min(floor((epoch_us(ts) / 1000000.0 - 1704067200) / 60)) / 120)::bigint as lo, floor(max(floor((epoch_us(ts) / 1000000.0 - 1704067200) / 60)) / 120)::bigint as hi from events group by 1), unnest(range(lo, hi + 1)) t(s))"""
 DAYS = """
-days as (select video_id, s as segment_id, (s * 172800.0)::double as seg_start, (s * 172800.0 + 86400)::double as seg_end from (select distinct user_id as video_id from events), unnest(range(0, 16)) t(s))"""
+days as (select video_id, s as segment_id, (s * 172800.0)::double as seg_start, (s * 172800.0 + 86400)::double as seg_end from (select user_id as video_id, floor((min(floor(epoch_us(ts) / 1000000.0)) - 1704067200) / 172800)::bigint as lo, floor((max(floor(epoch_us(ts) / 1000000.0)) - 1704067200) / 172800)::bigint as hi from events group by 1), unnest(range(lo, hi + 1)) t(s))"""
 COVERAGE = """
 coverage as (
   select h.video_id, segment_id, actor, least(1.0, count(*) / 60.0)::double as coverage from hours h join appearances a on a.video_id = h.video_id and a.t between seg_start and seg_end group by all)"""

@@ -215,10 +215,16 @@ def nearest_vision(spark, sf_dir):
     return rounded(found, "quality_score", "engagement_score").select("video_id", "segment_id", "quality_score", "engagement_score", "has_vision", "vision_start", "scene_type")
 
 
+def every_other(times: DataFrame, width: int) -> DataFrame:
+    """(video_id, segment_id): the number of each stretch of `width` from the first to the last of a video's times."""
+    ends = times.groupBy("video_id").agg(F.floor(F.min("t") / width).cast("int").alias("lo"), F.floor(F.max("t") / width).cast("int").alias("hi"))
+    return ends.select("video_id", F.explode(F.sequence("lo", "hi")).alias("segment_id"))
+
+
 def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An hour of minutes every two hours of January, as segments of each event type's timeline."""
-    types = st.table(spark, sf_dir, "events").select(F.col("event_type").alias("video_id")).distinct()
-    rows = types.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(371))).alias("segment_id"))
+    """An hour of minutes every two hours, as segments of each event type's timeline from its first event to its last."""
+    minute = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 - 1_704_067_200) / 60)
+    rows = every_other(st.table(spark, sf_dir, "events").select(F.col("event_type").alias("video_id"), minute.alias("t")), 120)
     return rows.select("video_id", "segment_id", (F.col("segment_id") * 120.0).alias("seg_start"), (F.col("segment_id") * 120.0 + 60).alias("seg_end"))
 
 
@@ -240,9 +246,9 @@ def object_coverage(spark, sf_dir):
 
 
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day of seconds every two days of January for each user."""
-    users = st.table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id")).distinct()
-    rows = users.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("segment_id"))
+    """A day of seconds every two days for each user, from the first event to the last."""
+    second = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000) - 1_704_067_200
+    rows = every_other(st.table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), second.alias("t")), 172_800)
     return rows.select("video_id", "segment_id", (F.col("segment_id") * 172800.0).alias("seg_start"), (F.col("segment_id") * 172800.0 + 86400).alias("seg_end"))
 
 
