@@ -9,7 +9,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,11 +86,20 @@ def search(vectors: DataFrame, references: DataFrame, least: float = 0.75, most:
     return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("ref_id", "vec_id", "score", "place")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """`df` written to the session's checkpoint folder; only where none is set, a folder under /tmp."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is set, one under /tmp if all runs on this machine; on a cluster that is an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """`df` written to the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from clipwright import staging as st
@@ -16,7 +18,9 @@ from clipwright.operators import windows as wd
 from clipwright.plans import oracles as o
 from clipwright.plans.queries import clip_texts, clips, rounded, scored_clips
 from clipwright.plans.recipes import query, sql
+from clipwright.sources import documents as dc
 from clipwright.sources import replies as rp
+from clipwright.sources import store
 
 # Merged analyses
 
@@ -271,3 +275,25 @@ from entries group by grouping sets ((kind), (kind, class), (kind, video_id), (k
 def run_report(spark, sf_dir):
     entries = rs.log_entries(st.transcript(spark, sf_dir), st.detections(spark, sf_dir), st.vision_segments(spark, sf_dir))
     return rounded(rs.run_report(entries), "mean_score", "least_score", "most_score", places=5)
+
+
+# The transcript store
+
+
+@query(sql("""with {T}, spoken as (select 'v' || video_id as asked, count(*) as lines, max("end") as stop from transcript group by all),
+pieces as (select doc_id, coalesce(text, '') as text, list_filter(string_split_regex(coalesce(text, ''), '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '') as p, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') as w from documents),
+runs as (select doc_id, case when len(p) > 0 then list_transform(p, lambda x: len(list_filter(string_split_regex(x, '\\s+'), lambda y: y <> ''))) else list_transform(range(0, len(w), 50), lambda i: least(50, len(w) - i)) end as n from pieces)
+select asked, lines, round(stop, 4) as stop from spoken union all select 'd' || doc_id, len(n), round(list_sum(list_transform(n, lambda x: greatest(1.0, x * 0.5))), 4) from runs where len(n) > 0"""))
+def transcript_store(spark, sf_dir):
+    """Transcripts saved by video id, some of them first without their lines, and documents by upload id, read through either."""
+    spoken = dc.transcript_documents(st.transcript(spark, sf_dir))
+    value = F.to_json(F.struct("text", "segments"))
+    path = f"{vc.shared_folder(spark)}/{uuid.uuid4()}"
+    none = F.lit(None).cast("string").alias("uploaded_video_id")
+    first = spoken.select(F.concat(F.lit("v"), "video_id").alias("video_id"), none, F.lit("not yet").alias("value"))
+    texts = st.table(spark, sf_dir, "documents").select(F.lit(None).cast("string").alias("video_id"), F.concat(F.lit("d"), "doc_id").alias("uploaded_video_id"), F.coalesce("text", F.lit("")).alias("value"))
+    store.save(first.unionByName(texts), path)
+    store.save(spoken.select(F.concat(F.lit("v"), "video_id").alias("video_id"), none, value.alias("value")), path)
+    asked = first.select("video_id", none).unionByName(texts.select("video_id", "uploaded_video_id"))
+    values = store.found(asked, store.stored(spark, path)).select(F.coalesce("video_id", "uploaded_video_id").alias("video_id"), "value")
+    return rounded(store.lines(values).groupBy(F.col("video_id").alias("asked")).agg(F.count("*").alias("lines"), F.max("end").alias("stop")), "stop")
