@@ -21,7 +21,7 @@ def appearance_sessions(stream: DataFrame, gap_seconds: int = 2, late: str = "10
 
 
 def tracked(stream: DataFrame, reach: float = 100.0, lost_after: int = 10) -> DataFrame:
-    """`operators.tracking.tracked` with each video's live tracks kept as state between batches.
+    """`operators.tracking.tracked` with each video's live tracks kept as state between batches, and for good: `streaming.state.tracked` lets go of videos that end.
 
     Frames of a video have to arrive in order of frame_no, as a player reads them.
     """
@@ -56,7 +56,7 @@ def tracked(stream: DataFrame, reach: float = 100.0, lost_after: int = 10) -> Da
 
 
 def stable_layout(stream: DataFrame, steady: int = 5) -> DataFrame:
-    """`operators.tracking.stable_layout` with the last layouts of each video kept as state."""
+    """`operators.tracking.stable_layout` with the last layouts of each video kept as state for good; see `streaming.state.stable_layout`."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         past = list(state.get[0]) if state.exists else []
