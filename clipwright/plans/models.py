@@ -15,7 +15,9 @@ from clipwright.operators import reports as rs
 from clipwright.operators import vectors as vc
 from clipwright.operators import visual as vs
 from clipwright.operators import windows as wd
+from clipwright.functions import lexicons as lx
 from clipwright.plans import oracles as o
+from clipwright.plans.oracles import SQL, any_of, q
 from clipwright.plans.queries import clip_texts, clips, rounded, scored_clips
 from clipwright.plans.recipes import query, sql
 from clipwright.sources import documents as dc
@@ -297,3 +299,31 @@ def transcript_store(spark, sf_dir):
     asked = first.select("video_id", none).unionByName(texts.select("video_id", "uploaded_video_id"))
     values = store.found(asked, store.stored(spark, path)).select(F.coalesce("video_id", "uploaded_video_id").alias("video_id"), "value")
     return rounded(store.lines(values).groupBy(F.col("video_id").alias("asked")).agg(F.count("*").alias("lines"), F.max("end").alias("stop")), "stop")
+
+
+# SQL for queries that are registered elsewhere
+
+SQL["prompt_focus_tokens"] = sql("""with {PROMPTS}, p as (select request_id, prompt, lower(prompt) as low from prompts),
+t as (select request_id, list_concat(list_concat(list_concat(list_transform(regexp_extract_all(low, '\\b(60|75|90|100|120|144|150|165|170|180|200|240|300|360)\\s*-?\\s*(?:hz|hertz)\\b', 1), lambda x: x || 'hz'), case when {HIGH} then ['high_refresh'] else [] end),
+  list_concat(list_transform(regexp_extract_all(low, '\\b(\\d+[\\d.,]*\\s?(?:mah|gb|g|w|nm|fps|nit|nits|inch|in|mm|ghz|khz|mhz|k|kwh|%|mp))\\b', 1), lambda x: regexp_replace(x, '[\\s,]', '', 'g')), regexp_extract_all(low, '\\b(4k|8k|2k|1080p|1440p|2160p|720p)\\b', 1))),
+  list_concat(list_filter([{PARTS}], lambda x: x is not null), list_transform(regexp_extract_all(prompt, '\\b([a-zA-Z]+\\d+[a-zA-Z\\d]*)\\b', 1), lambda x: lower(x)))) as found from p)
+select request_id, array_to_string(list_sort(list_distinct(list_filter(found, lambda x: length(x) >= 3 and x not in ({STOP})))), ',') as tokens from t""",
+    HIGH=any_of("prompt", lx.HIGH_REFRESH), PARTS=", ".join(f"case when contains(low, {q(c)}) then {q(c)} end" for c in lx.COMPONENTS), STOP=", ".join(map(q, lx.FOCUS_STOP)))
+
+QUALITY = f"""heard as (select video_id, seg_idx, start, "end", text as whole, {o.TRIM} as text, lag({o.TRIM}) over w as before, lag("end") over w as before_stop from transcript window w as (partition by video_id order by seg_idx)),
+firsts as (select *, coalesce(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')[1], '') as first, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as n,
+  coalesce(length(text) >= 3 and regexp_matches(before, '[.!?]$') and regexp_matches(text, '^[\\p{{Lu}}"'']'), false) as opens, coalesce(start - before_stop >= 0.5 or regexp_matches(before, '(,|;|:|--|—)$'), false) as rests from heard where text <> ''),
+marked as (select video_id, start, "end",
+  round(greatest(0.0, least(1.0, 0.5 - case when first in ({', '.join(map(q, lx.CONTINUATION))}) then 0.4 else 0.0 end + case when first in ({', '.join(map(q, lx.OPENERS))}) then 0.3 else 0.0 end + case when opens then 0.3 else 0.0 end
+    + case when first in ({', '.join(map(q, lx.QUESTION_WORDS))}) then 0.2 else 0.0 end + case when rests then 0.2 else 0.0 end - case when regexp_matches(text, '^\\p{{Ll}}') then 0.2 else 0.0 end)), 4) as sq,
+  round(greatest(0.0, least(1.0, 0.5 + case when regexp_matches(text, '[.!?]$') then 0.4 when regexp_matches(text, '(,|;|:|--|—)$') then 0.2 else 0.0 end - case when regexp_matches(lower(text), {q(lx.INCOMPLETE)}) then 0.4 else 0.0 end - case when n < 3 then 0.2 else 0.0 end
+    + case when {any_of('text', lx.CLOSING)} then 0.1 else 0.0 end)), 4) as eq from firsts)"""
+SQL["boundary_adjust"] = sql(f"""with {{T}},{{CLIPS}},{QUALITY},
+s as (select video_id, segment_id, start as new_start from clips c join marked m using (video_id) where start between seg_start - 5.0 and seg_start + 5.0 qualify row_number() over (partition by video_id, segment_id order by sq desc, abs(start - seg_start), start) = 1),
+e as (select video_id, segment_id, "end" as new_end from clips c join marked m using (video_id) where "end" between seg_end - 5.0 and seg_end + 5.0 qualify row_number() over (partition by video_id, segment_id order by eq desc, abs("end" - seg_end), "end") = 1),
+r as (select video_id, segment_id, coalesce(new_start, seg_start) as a, coalesce(new_end, seg_end) as z from clips left join s using (video_id, segment_id) left join e using (video_id, segment_id)),
+met as (select r.video_id, segment_id, "end", eq, "end" - a as d from r join marked m on m.video_id = r.video_id),
+longer as (select * from met where d between 15.0 and 60.0 qualify row_number() over (partition by video_id, segment_id order by eq desc, d) = 1),
+shorter as (select * from met where d between 60.0 * 0.8 and 60.0 qualify row_number() over (partition by video_id, segment_id order by eq desc, d desc) = 1)
+select r.video_id, r.segment_id, a as seg_start, case when z - a < 15.0 then coalesce(l."end", a + 15.0) when z - a > 60.0 then coalesce(h."end", a + 60.0) else z end as seg_end
+from r left join longer l using (video_id, segment_id) left join shorter h using (video_id, segment_id)""")
