@@ -84,7 +84,7 @@ class Vocabularies:
         # B's merges stay within words only if no piece has the sign for a space behind another sign
         self.by_word = not any("▁" in p.lstrip("▁") for p in own)
         self.coder = coder
-        self.words = Encoded(self.ids_a, lambda words: pieces.encode(words, num_threads=1), mark=self.joins)
+        self.words = Encoded(self.ids_a, lambda words: pieces.encode(words, num_threads=1), mark=self.joins, most=500_000)
 
     def ids_a(self, words: list[str], together: int = 500) -> list[list[int]]:
         """A's ids of space + word. Words without white space at their ends are encoded together, and told apart by where their bytes end."""

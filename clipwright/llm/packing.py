@@ -24,10 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clipwright.llm.common import rewritten
-from clipwright.llm.vocab import Encoded, blocks, offsets
+from clipwright.llm.vocab import Encoded, blocks, flattened, offsets, ragged
 
 WINDOW = 4096
 END = 2
+#: Signs that may close a word.
+SIGNS = ".,;:!?"
+#: Up to so many cut pieces are sent to the tasks that read their ids again; more are joined by shuffle.
+MOST_SENT = 100_000
 
 
 class Share(NamedTuple):
@@ -185,15 +189,52 @@ def plan(counts: dict[int, int], window: int = WINDOW, most_padding: float = 0.0
     return packing.shares
 
 
+class WordEnds:
+    """Ids of words by a tokenizer whose tokens at the end of a word say so.
+
+    Letters are one word to it, and closing signs behind them another. Words of this form are encoded together, and told apart by their ends; others,
+    and those of a group whose number of ends is another (lower case adds a mark to some letters), are encoded one by one.
+    """
+
+    def __init__(self, tokenizer: str, together: int = 500):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        self.coder, self.together = Tokenizer.from_file(public_tokenizers.path(tokenizer)), together
+        self.final = np.zeros(self.coder.get_vocab_size(), bool)
+        for entry, i in self.coder.get_vocab().items():
+            self.final[i] = entry.endswith("</w>")
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.fromiter((1 if w.isalpha() else 2 if w[-1] in SIGNS and w.rstrip(SIGNS).isalpha() else 0 for w in words), np.int64, len(words))
+        plain = np.flatnonzero(ends)
+        starts = range(0, len(plain), self.together)
+        groups = [plain[i : i + self.together] for i in starts]
+        flat, at, counts, alone = [], [], [], [np.flatnonzero(ends == 0)]
+        for group, ids in zip(groups, self._ids([" ".join([words[i] for i in group]) for group in groups]), strict=True):
+            found = np.flatnonzero(self.final[ids]) + 1
+            last = np.cumsum(ends[group])
+            if len(found) == last[-1]:
+                flat.append(np.array(ids, np.int32))
+                at.append(group)
+                counts.append(np.diff(found[last - 1], prepend=0))
+            else:
+                alone.append(group)
+        rest = np.concatenate(alone)
+        some, n = flattened(self._ids([words[i] for i in rest]))
+        flat, at, counts = np.concatenate([*flat, some]), np.concatenate([*at, rest]), np.concatenate([*counts, n])
+        starts, order = np.cumsum(counts) - counts, np.argsort(at)
+        return ragged(flat, starts[order], counts[order]), counts[order]
+
+
 @lru_cache(1)
 def _words(tokenizer: str) -> Encoded:
     """A worker process keeps the words that it has met."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    coder = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-    return Encoded(lambda words: (e.ids for e in coder.encode_batch_fast(words, add_special_tokens=False)))
+    return Encoded(WordEnds(tokenizer))
 
 
 def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WINDOW, end: int = END) -> DataFrame:
@@ -307,6 +348,8 @@ def piece_digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums, pa.int64())], [*batch.schema.names[:-1], "ids_crc32"])
 
     keep = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
-    cut = with_ids(pieces.where("whole_crc32 is null"), encoded).select(*keep, "ids")
+    wanted = pieces.where("whole_crc32 is null")
+    few = wanted.count() <= MOST_SENT
+    cut = with_ids(F.broadcast(wanted) if few else wanted, encoded).select(*keep, "ids")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields[:-1])
     return pieces.where("whole_crc32 is not null").select(*keep, F.col("whole_crc32").alias("ids_crc32")).unionByName(cut.mapInArrow(rows, f"{kinds}, ids_crc32 long"))

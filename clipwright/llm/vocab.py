@@ -14,8 +14,8 @@ import numpy as np
 
 #: A space between two signs other than white space: the tokenizers start anew with it.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-#: A task forgets its distinct words beyond this number of them, and encodes them again.
-MOST_WORDS = 500_000
+#: A worker forgets its distinct words beyond this number of them, and encodes them again.
+MOST_WORDS = 1_000_000
 #: Texts are encoded together up to this number of characters; a longer one by itself.
 BLOCK_CHARS = 2_000_000
 
@@ -39,14 +39,21 @@ def _filled(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
     return array
 
 
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all lists in one array, and how many each has."""
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
+
+
 class Encoded:
     """The ids of words, from one or more encoders, each asked once for each distinct word.
 
-    `flat[e]`, `starts[e]` and `counts[e]` hold encoder e's ids of all words known; `marks` what `mark` says of each.
+    An encoder gives a list of ids for each word, or the ids of all words in one array and how many each has. `flat[e]`, `starts[e]` and
+    `counts[e]` hold encoder e's ids of all words known; `marks` what `mark`, which needs lists, says of each.
     """
 
-    def __init__(self, *encoders: Callable[[list[str]], Iterable[list[int]]], mark: Callable[..., bool] = lambda *_: True):
-        self.encoders, self.mark = encoders, mark
+    def __init__(self, *encoders: Callable[[list[str]], Iterable[list[int]] | tuple[np.ndarray, np.ndarray]], mark: Callable[..., bool] | None = None, most: int = MOST_WORDS):
+        self.encoders, self.mark, self.most = encoders, mark, most
         self.forget()
 
     def forget(self) -> None:
@@ -59,11 +66,13 @@ class Encoded:
         if not words:
             return
         before, now = self.words, self.words + len(words)
-        all_ids = [list(encode(words)) for encode in self.encoders]
-        self.marks = _filled(self.marks, before, np.fromiter(map(self.mark, words, *all_ids), bool, len(words)))
+        all_ids = [encode(words) for encode in self.encoders]
+        if self.mark is not None:
+            all_ids = [list(ids) for ids in all_ids]
+            self.marks = _filled(self.marks, before, np.fromiter(map(self.mark, words, *all_ids), bool, len(words)))
         for e, ids in enumerate(all_ids):
-            counts = np.fromiter(map(len, ids), np.int64, len(words))
-            flat, used = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), self.used[e]
+            used = self.used[e]
+            flat, counts = ids if isinstance(ids, tuple) else flattened(list(ids))
             self.flat[e] = _filled(self.flat[e], used, flat)
             self.starts[e] = _filled(self.starts[e], before, used + np.cumsum(counts) - counts)
             self.counts[e] = _filled(self.counts[e], before, counts)
@@ -76,7 +85,7 @@ class Encoded:
         found = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(found < 0)
         new = dict.fromkeys(words[i] for i in missing)
-        if len(self.at) + len(new) > MOST_WORDS and self.at:
+        if len(self.at) + len(new) > self.most and self.at:
             self.forget()
             missing, new = np.arange(len(words)), dict.fromkeys(words)
         self._keep(list(new))
