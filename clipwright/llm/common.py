@@ -17,10 +17,12 @@ BLOCK_WORDS = 65_536
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`; only where that is unset (tests, a notebook on one machine) a folder under /tmp."""
+    """The session's `spark.checkpoint.dir`. Where that is unset, a folder under /tmp if all runs on this machine (tests, a notebook); on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 

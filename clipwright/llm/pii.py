@@ -337,7 +337,7 @@ def replace_personal_data(docs: DataFrame, key: str = "surrogate", names: Names
     digits, card and account numbers keep their network or country and valid check digits, phone numbers their country code, addresses of one site share one.
     No two entities get the same surrogate, and none gets a real one.
 
-    A null text stays null; empty texts and those without entities stay as they are, with 0. Each row goes by its own
+    A null text stays null; a very long one is searched as a whole, with patterns that never go back; empty texts and those without entities stay as they are, with 0. Each row goes by its own
     text, so ids may be null or repeated. An empty table gives no rows; other columns don't matter.
 
     A surrogate is computed from the entity where it stands; what is settled between documents are only the few that collide, so

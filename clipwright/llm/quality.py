@@ -156,7 +156,7 @@ def score_quality(
     and paths differ; a sparse site so has the rate above it, and a row's own evidence counts once. The row's log-odds
     are those of its text plus what its path says beyond the overall rate.
 
-    Null hosts and paths are sites like any other. Null and wordless texts have features of 0.
+    Null hosts and paths are sites like any other. Null and wordless texts have features of 0; very long ones are read in one row, and their words in one pass.
     Rows that repeat a doc_id are scored each; of a labelled id with several texts the one with the smallest hash is
     learned from. Without labels of both kinds p_doc is 0.5 and all rows are kept, and so is the overall rate for the only
     row of a table; an empty table gives no rows. Other columns don't matter.
