@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,23 +31,49 @@ def overlapping_boxes(detections: DataFrame, cell: str, least: float = 0.0) -> D
 
 
 def without_duplicates(detections: DataFrame, cell: str, most: float = 0.5) -> DataFrame:
-    """In each frame, boxes by falling confidence, without those whose IoU with one kept is above `most`."""
+    """In each frame, boxes by falling confidence, without those whose IoU with one kept is above `most`.
+
+    Frames are sorted and gone through as a stream: what is held are the kept boxes of one frame. A box without all its sides meets no other.
+    """
     columns = ["video_id", cell, "det_id", "confidence", "x1", "y1", "x2", "y2"]
     rows = detections.select(*columns)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        pdf = pdf.sort_values(["confidence", "det_id"], ascending=[False, True])
-        for r in pdf.itertuples():
-            for k in kept:
-                w, h = min(r.x2, k.x2) - max(r.x1, k.x1), min(r.y2, k.y2) - max(r.y1, k.y1)
-                if w > 0 and h > 0 and w * h / ((r.x2 - r.x1) * (r.y2 - r.y1) + (k.x2 - k.x1) * (k.y2 - k.y1) - w * h) > most:
-                    break
-            else:
-                kept.append(r)
-        return pdf.loc[[k.Index for k in kept]]
-
-    return rows.groupBy("video_id", cell).applyInPandas(run, rows.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, many, n = None, [], np.empty((256, 4)), 0
+        for batch in batches:
+            video, frame, *box = (batch.column(i).to_pylist() for i in (0, 1, 4, 5, 6, 7))
+            keep = []
+            for i, (key, b) in enumerate(zip(zip(video, frame), zip(*box))):
+                if key != now:
+                    now, kept, n = key, [], 0
+                if None not in b:
+                    # a few are looked at one by one, more at once
+                    if any(_iou(b, k) > most for k in kept) or (n and (_ious(b, many[:n]) > most).any()):
+                        continue
+                    if len(kept) < 32:
+                        kept.append(b)
+                    else:
+                        if n == len(many):
+                            many = np.concatenate([many, np.empty_like(many)])
+                        many[n] = b
+                        n += 1
+                keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    order = ["video_id", cell, F.desc("confidence"), "det_id"]
+    return rows.repartition("video_id", cell).sortWithinPartitions(*order).mapInArrow(run, rows.schema)
+
+
+def _iou(a: tuple, b: tuple) -> float:
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h) if w > 0 and h > 0 else 0.0
+
+
+def _ious(a: tuple, boxes: np.ndarray) -> np.ndarray:
+    x1, y1, x2, y2 = boxes.T
+    shared = np.maximum(np.minimum(a[2], x2) - np.maximum(a[0], x1), 0) * np.maximum(np.minimum(a[3], y2) - np.maximum(a[1], y1), 0)
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (x2 - x1) * (y2 - y1) - shared
+    return np.divide(shared, union, out=np.zeros_like(shared), where=shared > 0)
 
 
 def track_summary(detections: DataFrame) -> DataFrame:
