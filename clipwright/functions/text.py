@@ -18,8 +18,7 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), "^\\s+|\\s+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, "\\s+"))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("\\S+")).cast("long")
 
 
 def strip(text: Column) -> Column:
@@ -46,31 +45,55 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def prepared(df: DataFrame, column: str = "text") -> tuple[DataFrame, Text]:
-    """`df` with the columns that a `Text` of `column` needs, _low and _pieces, so that each is made once for all scores."""
-    rows = spread(df).withColumn("_low", F.lower(F.coalesce(column, F.lit(""))))
+def prepared(df: DataFrame, column: str = "text", dealt: bool = False) -> tuple[DataFrame, Text]:
+    """`df` with the columns that a `Text` of `column` needs, _low and _pieces, so that each is made once for all scores.
+
+    `dealt` says that `df` comes from a shuffle and needs no `spread`, which would run that to count its partitions.
+    """
+    rows = (df if dealt else spread(df)).withColumn("_low", F.lower(F.coalesce(column, F.lit(""))))
     rows = rows.withColumn("_pieces", F.array_join(F.array_distinct(F.split("_low", "\\s+")), " "))
     return rows, Text(F.col(column), F.col("_low"), F.col("_pieces"))
 
 
+def same_texts(segments: DataFrame, *by: str, width: float = 600.0) -> DataFrame:
+    """Segments (`by`, seg_start, text, ...) with one row for those of equal `by` and text, so that a text is looked at once; `segments_of` has them back.
+
+    Windows around a line often hold the same lines. Rows are gathered by `width` seconds, so that a long video of equal texts is many rows.
+    """
+    others = [c for c in segments.columns if c not in (*by, "text")]
+    return segments.groupBy(*by, "text", F.floor(F.col("seg_start") / width).alias("_part")).agg(F.collect_list(F.struct(*others)).alias("_rows")).drop("_part")
+
+
+def segments_of(texts: DataFrame, *columns: str) -> DataFrame:
+    """The segments that `same_texts` has gathered, with the `columns` that were added to their texts."""
+    rows = texts.select("*", F.explode("_rows").alias("_row"))
+    own = [c for c in texts.columns if c != "_rows" and c not in columns]
+    return rows.select(*own, "_row.*", *columns)
+
+
 def raw(text: Column | Text) -> Column:
     return text.raw if isinstance(text, Text) else text
 
 
-def _each(text: Column | Text, lexicon: Sequence[str], join: Callable[[list[Column]], Column]) -> Column:
-    # a word without white space is in the text if and only if it is in one of its pieces
+def _each(text: Column | Text, lexicon: Sequence[str], look: Callable[[Column, Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """`look(part, words)` for the words of the lexicon and the part of the text to look in, as arrays: an expression for each word makes methods that are too long for the JVM to compile."""
+    array = lambda ws: F.array(*[F.lit(w) for w in ws])
     if isinstance(text, Text):
-        return join([(text.low if any(c.isspace() for c in w) else text.pieces).contains(w) for w in lexicon])
-    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: join([low.contains(w) for w in lexicon]))
+        # a word without white space is in the text if and only if it is in one of its pieces
+        phrases = [w for w in lexicon if any(c.isspace() for c in w)]
+        plain = [w for w in lexicon if w not in phrases]
+        found = [look(part, array(ws)) for part, ws in ((text.pieces, plain), (text.low, phrases)) if ws]
+        return reduce(join, found)
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: look(low, array(lexicon)))
 
 
 def hits(text: Column | Text, lexicon: Sequence[str]) -> Column:
     """How many words of the lexicon occur in the lower-cased text."""
-    return _each(text, lexicon, lambda found: reduce(lambda a, b: a + b, [f.cast("int") for f in found]))
+    return _each(text, lexicon, lambda part, ws: F.size(F.filter(ws, lambda w: part.contains(w))), lambda a, b: a + b)
 
 
 def any_of(text: Column | Text, lexicon: Sequence[str]) -> Column:
-    return _each(text, lexicon, lambda found: reduce(lambda a, b: a | b, found))
+    return _each(text, lexicon, lambda part, ws: F.exists(ws, lambda w: part.contains(w)), lambda a, b: a | b)
 
 
 def occurrences(text: Column, sign: str) -> Column:
@@ -103,15 +126,13 @@ def segment_text_quality(text: Column) -> Column:
 
 
 def clip_text_quality(text: Column | Text) -> Column:
-    n = n_words(raw(text))
-    sentence = F.regexp_replace(raw(text), "[.\\s]", "") != ""
-    score = (
+    score = lambda n: (
         F.when((n >= 10) & (n <= 100), 0.3).when(n >= 5, 0.1).otherwise(0.0)
-        + F.when(sentence, 0.2).otherwise(0.0)
+        + F.when(raw(text).rlike("[^.\\s]"), 0.2).otherwise(0.0)
         + F.when(_open_end(raw(text)), 0.0).otherwise(0.1)
         + F.when(raw(text).rlike("[?!]"), 0.1).otherwise(0.0)
     )
-    return F.when(F.coalesce(raw(text), F.lit("")) == "", 0.0).otherwise(score)
+    return F.when(F.coalesce(raw(text), F.lit("")) == "", 0.0).otherwise(let(n_words(raw(text)), score))
 
 
 def clip_engagement(text: Column | Text) -> Column:
@@ -244,18 +265,20 @@ def end_quality(text: Column) -> Column:
 
 
 def flow_quality(text: Column) -> Column:
-    text = strip(text)
-    first = F.coalesce(F.try_element_at(words(F.lower(text)), F.lit(1)), F.lit(""))
-    n = n_words(text)
-    sentences = F.size(F.filter(F.split(text, "[.!?]"), lambda s: strip(s) != ""))
-    score = (
-        F.when(~first.isin(*lx.CONTINUATION) & text.rlike("^\\p{Lu}"), 0.25).otherwise(0.0)
-        + F.when(text.rlike("[.!?]$"), 0.25).otherwise(0.0)
-        + F.when(sentences >= 2, 0.25).when(sentences >= 1, 0.15).otherwise(0.0)
-        + F.when((n >= 20) & (n <= 150), 0.25).when((n >= 10) & (n <= 200), 0.15).otherwise(0.0)
-    )
-    label = F.when(score >= 0.8, "excellent").when(score >= 0.6, "good").when(score >= 0.4, "acceptable").otherwise("poor")
-    return F.when(F.coalesce(text, F.lit("")) == "", "poor").otherwise(label)
+    def of(text: Column) -> Column:
+        first = F.coalesce(F.try_element_at(words(F.lower(text)), F.lit(1)), F.lit(""))
+        sentences = F.size(F.filter(F.split(text, "[.!?]"), lambda s: s.rlike("\\S")))
+        length = let(n_words(text), lambda n: F.when((n >= 20) & (n <= 150), 0.25).when((n >= 10) & (n <= 200), 0.15).otherwise(0.0))
+        score = (
+            F.when(~first.isin(*lx.CONTINUATION) & text.rlike("^\\p{Lu}"), 0.25).otherwise(0.0)
+            + F.when(text.rlike("[.!?]$"), 0.25).otherwise(0.0)
+            + let(sentences, lambda n: F.when(n >= 2, 0.25).when(n >= 1, 0.15).otherwise(0.0))
+            + length
+        )
+        label = let(score, lambda x: F.when(x >= 0.8, "excellent").when(x >= 0.6, "good").when(x >= 0.4, "acceptable").otherwise("poor"))
+        return F.when(F.coalesce(text, F.lit("")) == "", "poor").otherwise(label)
+
+    return let(strip(text), of)
 
 
 def sentences(text: Column, chunk: int = 50) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clipwright.functions import lexicons as lx
-from clipwright.functions.text import any_of, clip_engagement, hits, n_words, words
+from clipwright.functions.text import any_of, clip_engagement, hits, n_words, prepared, same_texts, segments_of, words
 
 
 def is_climax_request(text: Column) -> Column:
@@ -101,16 +101,19 @@ def mentioned(prompts: DataFrame, entities: DataFrame) -> DataFrame:
 
 def heuristic_scores(segments: DataFrame) -> DataFrame:
     """Score of segments (text, seg_start, seg_end, keywords, and `stop`, the video's end) against a prompt's keywords."""
-    text, dur = F.lower("text"), F.col("seg_end") - F.col("seg_start")
-    found = F.size(F.filter("keywords", lambda k: text.contains(k)))
-    match = F.when(F.size("keywords") > 0, F.least(F.lit(1.0), found / F.size("keywords") * 2)).otherwise(0.5)
+    texts, text = prepared(same_texts(segments, "video_id", "keywords"), dealt=True)
+    found = F.size(F.filter("keywords", lambda k: text.low.contains(k)))
+    texts = texts.withColumn("_found", found).withColumn("_words", n_words(text.raw)).withColumn("_engagement", clip_engagement(text)).drop("_low", "_pieces")
+    rows = segments_of(texts, "_found", "_words", "_engagement")
+    dur = F.col("seg_end") - F.col("seg_start")
+    match = F.when(F.size("keywords") > 0, F.least(F.lit(1.0), F.col("_found") / F.size("keywords") * 2)).otherwise(0.5)
     length = F.when((dur >= 15) & (dur <= 45), 1.0).when(((dur >= 10) & (dur < 15)) | ((dur > 45) & (dur <= 60)), 0.8).when(((dur >= 5) & (dur < 10)) | ((dur > 60) & (dur <= 90)), 0.5).otherwise(0.2)
-    rate = n_words(F.col("text")) / F.greatest(dur, F.lit(1.0))
+    rate = F.col("_words") / F.greatest(dur, F.lit(1.0))
     density = F.when(F.col("text") == "", 0.3).when((rate >= 1.5) & (rate <= 3.5), 1.0).when((rate >= 1) & (rate <= 5), 0.7).otherwise(0.4)
     place = F.col("seg_start") / F.col("stop")
     position = F.when(place <= 0.1, 0.8).when(place >= 0.85, 0.9).when((place >= 0.4) & (place <= 0.6), 0.7).otherwise(0.5)
-    score = match * 0.3 + 0.6 * 0.2 + length * 0.15 + density * 0.15 + position * 0.1 + clip_engagement(F.col("text")) * 0.2
-    return segments.withColumn("heuristic", F.round(F.least(F.lit(1.0), score), 6))
+    score = match * 0.3 + 0.6 * 0.2 + length * 0.15 + density * 0.15 + position * 0.1 + F.col("_engagement") * 0.2
+    return rows.select(*segments.columns, F.round(F.least(F.lit(1.0), score), 6).alias("heuristic"))
 
 
 def dynamic_threshold(scores: DataFrame) -> DataFrame:

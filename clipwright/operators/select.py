@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clipwright.functions import lexicons as lx
-from clipwright.functions.text import any_of, clip_engagement, clip_text_quality, clip_type, end_quality, flow_quality, hits, prepared, segment_text_quality, start_quality, words
+from clipwright.functions.text import any_of, clip_engagement, clip_text_quality, clip_type, end_quality, flow_quality, hits, prepared, same_texts, segment_text_quality, segments_of, start_quality, words
 from clipwright.operators.intervals import interval_join
 from clipwright.operators.windows import sentence_starts
 
@@ -25,11 +25,12 @@ def duration_factor(duration: Column) -> Column:
 
 def scored(segments: DataFrame) -> DataFrame:
     """Quality, engagement and content type of segments with text."""
-    dur = F.col("seg_end") - F.col("seg_start")
-    rows, text = prepared(segments)
-    quality = F.least(F.lit(1.0), (F.lit(0.5) + clip_text_quality(text)) * duration_factor(dur))
-    engagement = F.least(F.lit(1.0), F.lit(0.5) + clip_engagement(text))
-    return rows.select(*segments.columns, F.round(quality, 4).alias("quality_score"), F.round(engagement, 4).alias("engagement_score"), clip_type(text).alias("content_type"))
+    texts, text = prepared(same_texts(segments, "video_id"), dealt=True)
+    texts = texts.withColumn("_quality", clip_text_quality(text)).withColumn("_engagement", clip_engagement(text)).withColumn("content_type", clip_type(text)).drop("_low", "_pieces")
+    rows = segments_of(texts, "_quality", "_engagement", "content_type")
+    quality = F.least(F.lit(1.0), (F.lit(0.5) + F.col("_quality")) * duration_factor(F.col("seg_end") - F.col("seg_start")))
+    engagement = F.least(F.lit(1.0), F.lit(0.5) + F.col("_engagement"))
+    return rows.select(*segments.columns, F.round(quality, 4).alias("quality_score"), F.round(engagement, 4).alias("engagement_score"), "content_type")
 
 
 def preliminary_quality(segments: DataFrame) -> DataFrame:
@@ -303,7 +304,8 @@ def clean_boundaries(segments: DataFrame, transcript: DataFrame, shortest: float
 
 
 def flow_labels(segments: DataFrame) -> DataFrame:
-    return segments.withColumn("flow", flow_quality(F.col("text")))
+    texts = same_texts(segments, "video_id").withColumn("flow", flow_quality(F.col("text")))
+    return segments_of(texts, "flow").select(*segments.columns, "flow")
 
 
 def theme_matches(segments: DataFrame, least: float = 0.05) -> DataFrame:

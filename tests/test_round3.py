@@ -38,3 +38,38 @@ def test_halves_round_as_in_sql(spark, x, places, want):
     got = rounded(spark.createDataFrame([(x,)], "x double"), "x", places=places).first()[0]
     assert got == duckdb.execute("select round(?::double, ?)", [x, places]).fetchone()[0]
     assert want is None or got == want
+
+
+def test_equal_texts_are_looked_at_once(spark):
+    from clipwright.functions.text import same_texts, segments_of
+
+    rows = [(v, i, float(i), i + 20.0, t, ["a"]) for v in (1, 2) for i, t in enumerate(["x y", "x y", "", "x y", None, ""])] + [(1, 9, 5000.0, 5020.0, "x y", ["a"])]
+    table = spark.createDataFrame(rows, "video_id int, segment_id int, seg_start double, seg_end double, text string, keywords array<string>")
+    texts = same_texts(table, "video_id", "keywords")
+    assert texts.count() == 7
+    found = segments_of(texts.withColumn("n", F.length("text")), "n")
+    assert sorted(map(str, found.select(*table.columns).collect())) == sorted(map(str, table.collect()))
+    assert {(r["segment_id"], r["n"]) for r in found.collect()} >= {(1, 3), (2, 0), (4, None), (9, 3)}
+
+
+def test_scores_run_nothing_ahead(spark, sf):
+    from clipwright.plans.queries import scored_clips
+
+    spark.sparkContext.setJobGroup("round3", "plans only")
+    scored_clips(spark, sf)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("round3")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # reading a file's schema is a job of one task; running the query was many
+    assert all(sum(tracker.getStageInfo(i).numTasks for i in j.stageIds if tracker.getStageInfo(i)) == 1 for j in jobs if j) and len(jobs) <= 8
+
+
+def test_at_least_equals_topped_up(spark):
+    from clipwright.operators import recipes as rc
+
+    r = random.Random(5)
+    rows = spark.createDataFrame([(v, i, r.choice([0.1, 0.5, 0.7, 0.9, None])) for v in range(30) for i in range(r.randrange(1, 7))], "request_id int, segment_id int, score double")
+    want = rc.topped_up(rows.where("score >= 0.65"), rows, "request_id", 3, "score")
+    found = rc.at_least(rows, F.col("score") >= 0.65, "request_id", 3, "score")
+    assert sorted(map(tuple, found.select("request_id", "segment_id").collect())) == sorted(map(tuple, want.select("request_id", "segment_id").collect()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
