@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -42,7 +42,28 @@ def _best(rows: list[pa.Table], least: float, most: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ref_id", "vec_id", "score"])
 
 
-def _search(least: float, most: int):
+def _last(rows: list[pa.Table], least: float, _: int) -> pa.RecordBatch:
+    """For each vector of one piece the reference of the highest id of one block that it is near to; of equal ids the nearer one."""
+    table = pa.concat_tables(rows)
+    is_ref, ids = table["ref"].to_numpy(), table["id"].to_numpy()
+    out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    if is_ref.any() and not is_ref.all():
+        x = np.stack(table["v"].to_numpy())
+        refs, vecs, ref_ids, vec_ids = x[is_ref], x[~is_ref], ids[is_ref], ids[~is_ref]
+        order = np.argsort(-ref_ids, kind="stable")
+        refs, ref_ids = refs[order], ref_ids[order]
+        norms = np.sqrt((refs**2).sum(1))[:, None] * np.sqrt((vecs**2).sum(1))[None, :]
+        cos = np.divide(refs @ vecs.T, norms, out=np.zeros_like(norms), where=norms > 0)
+        scores = np.sign(cos) * np.floor(np.abs(cos) * 1000 + 0.5) / 1000
+        near = scores >= least
+        hit = near.any(0)
+        top = ref_ids[near.argmax(0)]
+        best = np.where(near & (ref_ids[:, None] == top[None, :]), scores, -np.inf).max(0)
+        out = (top[hit], vec_ids[hit], best[hit])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["ref_id", "vec_id", "score"])
+
+
+def _search(least: float, most: int, best: Callable = _best):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
@@ -52,12 +73,12 @@ def _search(least: float, most: int):
                 if start == stop:
                     continue
                 if (key := tuple(keys[:, start])) != now and held:
-                    yield _best(held, least, most)
+                    yield best(held, least, most)
                     held = []
                 now = key
                 held.append(pa.Table.from_batches([batch.slice(start, stop - start)]))
         if held:
-            yield _best(held, least, most)
+            yield best(held, least, most)
 
     return run
 
@@ -69,6 +90,22 @@ def search(vectors: DataFrame, references: DataFrame, least: float = 0.75, most:
     block and piece is a task's work of its own, which gives the best of the piece for each
     reference. These are merged by reference. Ids are integers; rows without a vector match nothing.
     """
+    met = _met(vectors, references, block, piece).mapInArrow(_search(least, most), "ref_id long, vec_id long, score double")
+    w = Window.partitionBy("ref_id").orderBy(F.desc("score"), "vec_id")
+    return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("ref_id", "vec_id", "score", "place")
+
+
+def last_references(vectors: DataFrame, references: DataFrame, least: float = 0.75, block: int = 2_048, piece: int = 4_096) -> DataFrame:
+    """(ref_id, vec_id, score): for each vector the reference (ref_id, ref) of the highest id with a cosine of `least` or more.
+
+    All pairs are looked at in blocks and pieces, as in `search`; a vector leaves each with one row at most, however many it is near to.
+    """
+    met = _met(vectors, references, block, piece).mapInArrow(_search(least, 1, _last), "ref_id long, vec_id long, score double")
+    return met.groupBy("vec_id").agg(F.max(F.struct("ref_id", "score")).alias("m")).select("m.ref_id", "vec_id", "m.score")
+
+
+def _met(vectors: DataFrame, references: DataFrame, block: int, piece: int) -> DataFrame:
+    """(block, piece, ref, id, v): the rows of every block of references and piece of vectors, one after the other."""
     vectors = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     references = references.where("ref_id is not null and ref is not null").select(F.col("ref_id").cast("long").alias("id"), F.col("ref").cast("array<double>").alias("v"))
     pieces, blocks = (max(1, -(-df.count() // size)) for df, size in ((vectors, piece), (references, block)))
@@ -80,10 +117,7 @@ def search(vectors: DataFrame, references: DataFrame, least: float = 0.75, most:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = references.withColumn("block", dealt(blocks)).select("block", every(pieces).alias("piece"), F.lit(True).alias("ref"), "id", "v")
     right = vectors.withColumn("piece", dealt(pieces)).select(every(blocks).alias("block"), "piece", F.lit(False).alias("ref"), "id", "v")
-    work = left.unionAll(right).repartition("block", "piece").sortWithinPartitions("block", "piece")
-    met = work.mapInArrow(_search(least, most), "ref_id long, vec_id long, score double")
-    w = Window.partitionBy("ref_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("ref_id", "vec_id", "score", "place")
+    return left.unionAll(right).repartition("block", "piece").sortWithinPartitions("block", "piece")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -172,7 +172,11 @@ def reference_segments(spark, sf_dir):
 select s.*, score as reference_score from spans s left join last using (video_id, object_id, start_sec, end_sec)"""))
 def reference_scores(spark, sf_dir):
     documents = ob.object_documents(object_spans(spark, sf_dir))
-    found = ob.with_reference_scores(documents, matched_segments(spark, sf_dir, documents))
+    vectors = st.table(spark, sf_dir, "embeddings")
+    references = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref"))
+    # the last score of a segment stays, so an object needs its last reference only
+    hits = vc.last_references(vectors, references, 0.2).select("ref_id", F.concat(F.lit("object_"), "vec_id").alias("object_id"), "score", F.lit(1).alias("place"))
+    found = ob.with_reference_scores(documents, ob.hit_segments(documents, hits))
     rows = found.select("video_id", F.explode("objects").alias("o")).select("video_id", "o.object_id", F.explode("o.segments").alias("s"))
     return rows.select("video_id", "object_id", "s.start_sec", "s.end_sec", F.col("s.reference_match.score").alias("reference_score"))
 

@@ -73,3 +73,32 @@ def test_at_least_equals_topped_up(spark):
     found = rc.at_least(rows, F.col("score") >= 0.65, "request_id", 3, "score")
     assert sorted(map(tuple, found.select("request_id", "segment_id").collect())) == sorted(map(tuple, want.select("request_id", "segment_id").collect()))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_last_references_are_those_of_the_search(spark):
+    from clipwright.operators import vectors as vc
+
+    r = random.Random(7)
+    rows = [(i % 290, [r.gauss(0, 1) for _ in range(4)]) for i in range(300)] + [(500, [0.0] * 4), (501, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    references = table.where("vec_id % 10 = 0").selectExpr("vec_id as ref_id", "embedding as ref")
+    every = vc.search(table, references, 0.2, 1000).groupBy("vec_id").agg(F.max(F.struct("ref_id", "score")).alias("m"), F.count("*").alias("n"))
+    want = {x["vec_id"]: tuple(x["m"]) for x in every.collect()}
+    got = vc.last_references(table, references, 0.2, block=7, piece=50).collect()
+    assert {x["vec_id"]: (x["ref_id"], x["score"]) for x in got} == want and len(got) == len(want) > 200
+    assert every.agg(F.sum("n")).first()[0] > 5 * len(got)
+
+
+def test_scores_are_joined_to_segments(spark):
+    from clipwright.operators import objects as ob
+
+    spans = spark.range(40).selectExpr("id % 2 as video_id", "concat('o', id % 7) as object_id", "id * 10.0d as start_sec", "id * 10.0d + 5 as end_sec")
+    documents = ob.object_documents(spans).unionByName(spark.createDataFrame([(9, [])], ob.object_documents(spans).schema))
+    matched = spans.where("start_sec % 30 = 0").selectExpr("*", "explode(array(1, 2)) as ref_id").withColumn("score", F.col("ref_id") / 10.0)
+    found = ob.with_reference_scores(documents, matched)
+    assert "map_from_entries" not in found._jdf.queryExecution().optimizedPlan().toString()
+    before = {r["video_id"]: r["objects"] for r in documents.collect()}
+    for row in found.collect():
+        assert [(o["object_id"], [(s["start_sec"], s["end_sec"]) for s in o["segments"]]) for o in row["objects"]] == [(o["object_id"], [(s["start_sec"], s["end_sec"]) for s in o["segments"]]) for o in before[row["video_id"]]]
+        for s in (s for o in row["objects"] for s in o["segments"]):
+            assert (s["reference_match"] and s["reference_match"]["score"]) == (0.2 if s["start_sec"] % 30 == 0 else None)
