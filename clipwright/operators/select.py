@@ -6,11 +6,13 @@ joined, scored and ordered the rows by then. A video's rows are what one task ho
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from clipwright.functions import lexicons as lx
@@ -138,18 +140,26 @@ def deduplicated(segments: DataFrame, most: int = 200, similarity: float = 0.9)
 def _fold(df: DataFrame, by: Sequence[str], columns: Sequence[str], order: Sequence[str], step: Callable[[list[list], list], None]) -> DataFrame:
     """The rows (columns) of each `by` in order, of which `step(kept, row)` makes the list of those that stay: it adds rows at the end or changes the last one."""
     rows = df.select(*by, *columns)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        pdf = pdf.sort_values(list(order), kind="stable")
-        for row in pdf[list(columns)].astype(object).itertuples(index=False, name=None):
-            step(kept, list(row))
-        out = pd.DataFrame(kept, columns=list(columns)).astype(pdf[list(columns)].dtypes.to_dict())
-        for name in by:
-            out[name] = pdf[name].iloc[0]
-        return out[[*by, *columns]]
-
-    return rows.groupBy(*by).applyInPandas(run, rows.schema)
+    schema, n = to_arrow_schema(rows.schema), len(by)
+
+    def batch_of(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type, from_pandas=True) for i, f in enumerate(schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sorted rows of one group after the other: a call for each group would cost more than its rows
+        now, kept, out = None, [], []
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                if values[:n] != now:
+                    out += [[*now, *row] for row in kept]
+                    now, kept = values[:n], []
+                step(kept, [float("nan") if v is None else v for v in values[n:]])
+            if len(out) > 10_000:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out + [[*now, *row] for row in kept])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *[F.asc_nulls_last(c) for c in order]).mapInArrow(run, rows.schema)
 
 
 def near_duplicates_merged(segments: DataFrame, within: float = 5.0) -> DataFrame:

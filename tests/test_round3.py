@@ -102,3 +102,22 @@ def test_scores_are_joined_to_segments(spark):
         assert [(o["object_id"], [(s["start_sec"], s["end_sec"]) for s in o["segments"]]) for o in row["objects"]] == [(o["object_id"], [(s["start_sec"], s["end_sec"]) for s in o["segments"]]) for o in before[row["video_id"]]]
         for s in (s for o in row["objects"] for s in o["segments"]):
             assert (s["reference_match"] and s["reference_match"]["score"]) == (0.2 if s["start_sec"] % 30 == 0 else None)
+
+
+def test_folds_are_streams(spark):
+    from clipwright.operators import select
+
+    r = random.Random(11)
+    rows = [(v, i, s := r.randrange(60) / 2, s + r.randrange(15, 25), r.randrange(100) / 100) for v in range(40) for i in range(r.randrange(1, 12))]
+    found = select.near_duplicates_merged(spark.createDataFrame(rows, "video_id int, segment_id int, seg_start double, seg_end double, quality_score double").repartition(3))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    want = []
+    for v in range(40):
+        kept = []
+        for row in sorted((x for x in rows if x[0] == v), key=lambda x: (x[2], x[3], x[1])):
+            if not kept or abs(row[2] - kept[-1][2]) > 5 or abs(row[3] - kept[-1][3]) > 5:
+                kept.append(row)
+            elif row[4] > kept[-1][4]:
+                kept[-1] = row
+        want += kept
+    assert sorted(map(tuple, found.collect())) == sorted(want)
