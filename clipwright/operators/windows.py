@@ -117,7 +117,9 @@ def motion_runs(samples: DataFrame, threshold: float = 30.0, least: float = 10.0
 
 
 def complexity_runs(samples: DataFrame, factor: float = 1.5, least: float = 15.0) -> DataFrame:
-    mean = samples.withColumn("_mean", F.avg("complexity").over(Window.partitionBy("video_id")))
+    """Runs above `factor` times a video's mean, which is summed in the order of frames: a sample may equal the threshold but for the last bit of a sum, which depends on its order."""
+    w = Window.partitionBy("video_id").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mean = samples.withColumn("_mean", F.avg("complexity").over(w))
     return runs_above(mean, "complexity", F.col("_mean") * factor, least)
 
 
