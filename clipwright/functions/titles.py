@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipwright.functions import lexicons as lx
-from clipwright.functions.text import any_of, best_label, capped, hits, let, n_words, occurrences, strip, words
+from clipwright.functions.text import any_of, best_label, capped, hits, let, n_words, occurrences, prepared, strip, words
 
 
 def long_sentences(text: Column) -> Column:
@@ -33,20 +33,24 @@ def _short(text: Column) -> Column:
     return F.concat(F.substring(text, 1, 50), F.when(F.length(text) > 50, "...").otherwise(""))
 
 
-def title(text: Column) -> Column:
-    """A title from the best phrase, a question, or the category's pattern."""
-    phrase = F.try_element_at(key_phrases(text), F.lit(1))
-    asked = F.try_element_at(F.filter(F.transform(F.split(text, "\\."), strip), lambda s: s.contains("?")), F.lit(1))
-    out = F.when((hits(text, lx.VIRAL) > 0) & phrase.isNotNull(), F.concat(F.lit("This Will Blow Your Mind: "), phrase)).when(asked.isNotNull(), _short(asked))
-    category = best_label(text, lx.CATEGORIES, "general")
+def best_phrase(text: Column) -> Column:
+    """The first of `key_phrases`: only sentences with one of the words are trimmed and measured."""
+    scored = F.transform(F.split(F.coalesce(text, F.lit("")), "\\."), lambda s, i: F.struct((-(hits(s, lx.VIRAL) * 2 + hits(s, lx.PHRASE_ACTIONS))).alias("score"), i.alias("i"), s.alias("s")))
+    return strip(F.array_min(F.filter(scored, lambda x: (x["score"] < 0) & (F.length(strip(x["s"])) > 10)))["s"])
+
+
+def first_question(text: Column) -> Column:
+    return strip(F.try_element_at(F.filter(F.split(text, "\\."), lambda s: s.contains("?")), F.lit(1)))
+
+
+def _title(viral: Column, phrase: Column, asked: Column, category: Column) -> Column:
+    out = F.when(viral & phrase.isNotNull(), F.concat(F.lit("This Will Blow Your Mind: "), phrase)).when(asked.isNotNull(), _short(asked))
     for name, pattern in lx.TITLE_PATTERNS.items():
         out = out.when((category == name) & phrase.isNotNull(), F.format_string(pattern, phrase))
     return out.when(phrase.isNotNull(), _short(phrase)).otherwise("Amazing Short Video")
 
 
-def tags(text: Column) -> Column:
-    """Ten distinct tags at most: of the category, of what the text has, and general ones."""
-    category = best_label(text, lx.CATEGORIES, "general")
+def _tags(text: Column, viral: Column, feelings: Column, category: Column) -> Column:
     arrays = lambda ws: F.array(*[F.lit(w) for w in ws])
     own = arrays(["general", "content"])
     for name, names in lx.CATEGORY_TAGS.items():
@@ -54,14 +58,35 @@ def tags(text: Column) -> Column:
     none = F.array().cast("array<string>")
     parts = [
         own,
-        F.when(hits(text, lx.VIRAL) > 0, arrays(["viral", "trending", "amazing", "mustwatch"])).otherwise(none),
+        F.when(viral, arrays(["viral", "trending", "amazing", "mustwatch"])).otherwise(none),
         F.when(text.contains("?"), arrays(["interactive"])).otherwise(none),
-        F.when(capped(hits(text, lx.FEELINGS) * 0.2, 1.0) > 0.5, arrays(["emotional"])).otherwise(none),
+        F.when(capped(feelings * 0.2, 1.0) > 0.5, arrays(["emotional"])).otherwise(none),
         arrays(["shorts", "short", "quickwatch", "vertical"]),
     ]
     return F.slice(F.array_distinct(F.concat(*parts)), 1, 10)
 
 
+def title(text: Column) -> Column:
+    """A title from the best phrase, a question, or the category's pattern."""
+    return _title(hits(text, lx.VIRAL) > 0, best_phrase(text), first_question(text), best_label(text, lx.CATEGORIES, "general"))
+
+
+def tags(text: Column) -> Column:
+    """Ten distinct tags at most: of the category, of what the text has, and general ones."""
+    return _tags(text, hits(text, lx.VIRAL) > 0, hits(text, lx.FEELINGS), best_label(text, lx.CATEGORIES, "general"))
+
+
+def titled(df: DataFrame) -> DataFrame:
+    """`df` with the `title` and `tags` of its text, for which each text is looked at once: an expression names its category and phrase once for each pattern."""
+    rows, text = prepared(df)
+    rows = rows.withColumns({
+        "_viral": any_of(text, lx.VIRAL), "_feelings": hits(text, lx.FEELINGS), "_category": best_label(text, lx.CATEGORIES, "general"), "_asked": first_question(text.raw),
+        "_phrase": F.when(any_of(text, [*lx.VIRAL, *lx.PHRASE_ACTIONS]), best_phrase(text.raw)),
+    })
+    title = _title(F.col("_viral"), F.col("_phrase"), F.col("_asked"), F.col("_category"))
+    return rows.select(*df.columns, title.alias("title"), _tags(text.raw, F.col("_viral"), F.col("_feelings"), F.col("_category")).alias("tags"))
+
+
 def hashtags(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("#(\\w+)"), F.lit(1)), F.lower))
 
@@ -75,7 +100,8 @@ def clean_filename(path: Column) -> Column:
 
 def fallback_title(filename: Column, text: Column, seconds: Column) -> Column:
     """The first five words, fifty characters at most, or the file's name and length."""
-    first = F.array_join(F.slice(words(text), 1, 5), " ")
+    # five words are among the first six pieces, of which the first may be empty; the seventh is the rest
+    first = F.array_join(F.slice(F.filter(F.split(F.coalesce(text, F.lit("")), "\\s+", 7), lambda w: w != ""), 1, 5), " ")
     short = F.when(F.length(first) > 50, F.concat(F.substring(first, 1, 47), F.lit("..."))).otherwise(first)
     return F.when(F.length(text) > 20, short).otherwise(F.concat(filename, F.lit(" - "), seconds.cast("string"), F.lit("s Clip")))
 
