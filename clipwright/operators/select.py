@@ -6,6 +6,7 @@ joined, scored and ordered the rows by then. A video's rows are what one task ho
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from clipwright.functions import lexicons as lx
-from clipwright.functions.text import any_of, clip_engagement, clip_text_quality, clip_type, end_quality, flow_quality, hits, prepared, same_texts, segment_text_quality, segments_of, start_quality, words
+from clipwright.functions.text import any_of, clip_engagement, clip_text_quality, clip_type, end_quality, flow_quality, hits, prepared, same_texts, segment_text_quality, segments_of, start_quality
 from clipwright.operators.intervals import interval_join
 from clipwright.operators.windows import sentence_starts
 
@@ -95,71 +96,66 @@ def greedy_top(segments: DataFrame, most: int = 3) -> DataFrame:
     return rows.select("video_id", F.explode(F.aggregate("_rows", F.array().cast(kind), step)).alias("_r")).select("video_id", *[f"_r.{c}" for c in columns])
 
 
-def overlap_ratio(start1: Column, end1: Column, start2: Column, end2: Column) -> Column:
-    """Overlap as a share of the shorter one."""
-    shared = F.least(end1, end2) - F.greatest(start1, start2)
-    return F.when(shared > 0, shared / F.least(end1 - start1, end2 - start2)).otherwise(0.0)
+def deduplicated(segments: DataFrame, most: int = 200, similarity: float = 0.9, overlap: float = 0.5) -> DataFrame:
+    """Segments by priority, preliminary quality and length, each left out if it is much like one kept before: it overlaps that by more than `overlap` of the shorter one and is alike in text and method above `similarity`.
 
-
-def similar_pairs(segments: DataFrame, overlap: float = 0.5, similarity: float = 0.9) -> DataFrame:
-    """Pairs (a < b) of a video's segments that overlap by more than `overlap` of the shorter one and are alike in text and method above `similarity`."""
-    stop = F.array(*[F.lit(x) for x in lx.STOP_WORDS])
-    own = segments.select("video_id", "segment_id", "seg_start", "seg_end", "method", F.array_distinct(F.array_except(words(F.lower("text")), stop)).alias("w"))
-    names = {"segment_id": "b", "seg_start": "s2", "seg_end": "e2", "method": "m2", "w": "w2"}
-    met = interval_join(own.withColumnRenamed("segment_id", "a"), own.withColumnsRenamed(names), ["video_id"], ("seg_start", "seg_end"), ("s2", "e2")).where("a < b")
-    met = met.where(overlap_ratio(F.col("seg_start"), F.col("seg_end"), F.col("s2"), F.col("e2")) > overlap)
-    union = F.size(F.array_union("w", "w2"))
-    text = F.when(union > 0, F.size(F.array_intersect("w", "w2")) / union)
-    same = (F.col("method") == F.col("m2")).cast("double")
-    return met.where(F.when(text.isNull(), same).otherwise((text * 0.5 + same * 0.2) / 0.7) > similarity).select("video_id", "a", "b")
-
-
-def deduplicated(segments: DataFrame, most: int = 200, similarity: float = 0.9) -> DataFrame:
-    """Segments by priority, preliminary quality and length, each left out if it is much like one kept before.
-
-    The pairs come from a join; only ids reach the per-video step.
+    A row is compared with those kept, `most` at most, and not with all others of its video.
     """
-    pairs = similar_pairs(segments, similarity=similarity)
-    both = pairs.unionByName(pairs.select("video_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy("video_id", F.col("a").alias("segment_id")).agg(F.collect_set("b").alias("near"))
-    order = F.struct("priority", (-F.col("preliminary_quality")).alias("q"), (F.col("seg_start") - F.col("seg_end")).alias("d"), "seg_start", "segment_id")
-    rows = segments.select("video_id", "segment_id", order.alias("o")).join(near, ["video_id", "segment_id"], "left")
-    ranked = rows.select("video_id", "segment_id", F.row_number().over(Window.partitionBy("video_id").orderBy("o")).alias("place"), F.coalesce("near", F.array().cast("array<int>")).alias("near"))
+    stop = {"", *lx.STOP_WORDS}
+    space = re.compile("[ \\t\\n\\x0b\\f\\r]+")
+    sets: dict[str, set[str]] = {}
+    order = ["priority", "q", "d", "seg_start", "segment_id"]
+    rows = segments.select("video_id", "segment_id", "seg_start", "seg_end", "method", F.lower(F.coalesce("text", F.lit(""))).alias("low"), "priority", (-F.col("preliminary_quality")).alias("q"), (F.col("seg_start") - F.col("seg_end")).alias("d"))
+
+    def words_of(low: str) -> set[str]:
+        # windows around a line often hold the same lines, so the last texts are kept
+        if low not in sets:
+            if len(sets) >= 256:
+                sets.clear()
+            sets[low] = set(space.split(low)) - stop
+        return sets[low]
+
+    def alike(a: list, b: list) -> bool:
+        shared = min(a[2], b[2]) - max(a[1], b[1])
+        if not (shared > 0 and shared / min(a[2] - a[1], b[2] - b[1]) > overlap) or not (isinstance(a[3], str) and isinstance(b[3], str)):
+            return False
+        w, v, same = words_of(a[4]), words_of(b[4]), float(a[3] == b[3])
+        both = len(w & v)
+        union = len(w) + len(v) - both
+        return (both / union * 0.5 + same * 0.2) / 0.7 > similarity if union else same > similarity
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: set[int] = set()
-        for row in pdf.sort_values("place").itertuples():
-            if len(kept) < most and not kept.intersection(row.near):
-                kept.add(row.segment_id)
-        return pdf.loc[pdf["segment_id"].isin(kept), ["video_id", "segment_id"]]
+    def step(kept: list[list], row: list) -> None:
+        if len(kept) < most and not any(alike(row, k) for k in kept):
+            kept.append(row)
 
-    kept = ranked.groupBy("video_id").applyInPandas(run, ranked.select("video_id", "segment_id").schema)
+    kept = _fold(rows, ["video_id"], ["segment_id", "seg_start", "seg_end", "method", "low", "priority", "q", "d"], order, step, ["segment_id"])
     return segments.join(kept, ["video_id", "segment_id"], "left_semi")
 
 
-def _fold(df: DataFrame, by: Sequence[str], columns: Sequence[str], order: Sequence[str], step: Callable[[list[list], list], None]) -> DataFrame:
-    """The rows (columns) of each `by` in order, of which `step(kept, row)` makes the list of those that stay: it adds rows at the end or changes the last one."""
+def _fold(df: DataFrame, by: Sequence[str], columns: Sequence[str], order: Sequence[str], step: Callable[[list[list], list], None], out: Sequence[str] | None = None) -> DataFrame:
+    """The rows (columns) of each `by` in order, of which `step(kept, row)` makes the list of those that stay: it adds rows at the end or changes the last one. Of these the columns `out` (all) come back."""
     rows = df.select(*by, *columns)
-    schema, n = to_arrow_schema(rows.schema), len(by)
+    given = rows.select(*by, *(out or columns)).schema
+    schema, n, at = to_arrow_schema(given), len(by), [list(columns).index(c) for c in out or columns]
 
-    def batch_of(out: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type, from_pandas=True) for i, f in enumerate(schema)], schema=schema)
+    def batch_of(done: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type, from_pandas=True) for i, f in enumerate(schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # sorted rows of one group after the other: a call for each group would cost more than its rows
-        now, kept, out = None, [], []
+        now, kept, done = None, [], []
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns)):
                 if values[:n] != now:
-                    out += [[*now, *row] for row in kept]
+                    done += [[*now, *(row[i] for i in at)] for row in kept]
                     now, kept = values[:n], []
                 step(kept, [float("nan") if v is None else v for v in values[n:]])
-            if len(out) > 10_000:
-                yield batch_of(out)
-                out = []
-        yield batch_of(out + [[*now, *row] for row in kept])
+            if len(done) > 10_000:
+                yield batch_of(done)
+                done = []
+        yield batch_of(done + [[*now, *(row[i] for i in at)] for row in kept])
 
-    return rows.repartition(*by).sortWithinPartitions(*by, *[F.asc_nulls_last(c) for c in order]).mapInArrow(run, rows.schema)
+    return rows.repartition(*by).sortWithinPartitions(*by, *[F.asc_nulls_last(c) for c in order]).mapInArrow(run, given)
 
 
 def near_duplicates_merged(segments: DataFrame, within: float = 5.0) -> DataFrame:
