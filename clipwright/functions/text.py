@@ -32,11 +32,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 @dataclass(frozen=True)
 class Text:
-    """A text with what the word scores look at: itself in lower case, and its distinct pieces between white space."""
+    """A text with what the word scores look at: itself in lower case, its distinct pieces between white space, and how many words it has where that is known."""
 
     raw: Column
     low: Column
     pieces: Column
+    n: Column | None = None
+
+    def n_words(self) -> Column:
+        return n_words(self.raw) if self.n is None else self.n
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -55,6 +59,34 @@ def prepared(df: DataFrame, column: str = "text", dealt: bool = False) -> tuple[
     return rows, Text(F.col(column), F.col("_low"), F.col("_pieces"))
 
 
+#: What is noted of lines, see `line_notes`.
+NOTES = ["_found", "_words", "_parts"]
+
+
+def _clip_words() -> list[str]:
+    """The words without white space that the clip scores look for."""
+    lists = [lx.CLIP_ENGAGEMENT, lx.CLIP_PRACTICE, lx.CLIP_INSTRUCTION, lx.CLIP_ADDRESS, lx.CLIP_BREATH, lx.CLIP_MOVEMENT, lx.POSE, YOGA_BREATHING, YOGA_MOVEMENT, *lx.CLIP_TYPES.values()]
+    return list(dict.fromkeys(w for ws in lists for w in ws if not any(c.isspace() for c in w)))
+
+
+def line_notes(text: Column) -> list[Column]:
+    """What the clip scores need of a line: its words of their lexicons (_found), how many words it has (_words), and how many with points as spaces (_parts).
+
+    Windows around a line hold the same lines, so lines are looked at once instead of the text of each window: a word
+    without white space is in lines joined by spaces if and only if it is in one of them, and numbers of words add up.
+    """
+    known = F.array(*[F.lit(w) for w in _clip_words()])
+    found = let(F.lower(text), lambda low: F.filter(known, lambda w: low.contains(w)))
+    return [found.alias("_found"), n_words(text).alias("_words"), n_words(F.replace(text, F.lit("."), F.lit(" "))).alias("_parts")]
+
+
+def noted(df: DataFrame, column: str = "text") -> tuple[DataFrame, Text]:
+    """As `prepared`, for texts that come with the notes of their lines."""
+    # a known word is in the known words found, joined, if and only if it is in the text
+    rows = df.withColumn("_low", F.lower(column)).withColumn("_pieces", F.array_join("_found", " "))
+    return rows, Text(F.col(column), F.col("_low"), F.col("_pieces"), F.col("_words"))
+
+
 def same_texts(segments: DataFrame, *by: str, width: float = 600.0) -> DataFrame:
     """Segments (`by`, seg_start, text, ...) with one row for those of equal `by` and text, so that a text is looked at once; `segments_of` has them back.
 
@@ -132,7 +164,12 @@ def clip_text_quality(text: Column | Text) -> Column:
         + F.when(_open_end(raw(text)), 0.0).otherwise(0.1)
         + F.when(raw(text).rlike("[?!]"), 0.1).otherwise(0.0)
     )
-    return F.when(F.coalesce(raw(text), F.lit("")) == "", 0.0).otherwise(let(n_words(raw(text)), score))
+    n = text.n_words() if isinstance(text, Text) else n_words(text)
+    return F.when(F.coalesce(raw(text), F.lit("")) == "", 0.0).otherwise(let(n, score))
+
+
+YOGA_BREATHING = ["breathe", "inhale", "exhale", "hold"]
+YOGA_MOVEMENT = ["move", "flow", "transition"]
 
 
 def clip_engagement(text: Column | Text) -> Column:
@@ -153,8 +190,8 @@ def clip_type(text: Column | Text) -> Column:
     pose = any_of(text, lx.POSE)
     out = (
         F.when(F.coalesce(raw(text), F.lit("")) == "", "general")
-        .when(pose & any_of(text, ["breathe", "inhale", "exhale", "hold"]), "yoga_breathing")
-        .when(pose & any_of(text, ["move", "flow", "transition"]), "yoga_movement")
+        .when(pose & any_of(text, YOGA_BREATHING), "yoga_breathing")
+        .when(pose & any_of(text, YOGA_MOVEMENT), "yoga_movement")
         .when(pose, "yoga_instruction")
     )
     for label, lexicon in lx.CLIP_TYPES.items():

@@ -81,7 +81,8 @@ def content_aware(transcript: DataFrame, shortest: int = 15, longest: int = 60)
 
 def _centred(rows: DataFrame, videos: DataFrame, shortest: int, longest: int, step: int) -> DataFrame:
     """Windows of every duration around each row's middle, kept within the video."""
-    rows = rows.join(videos.select("video_id", "duration"), "video_id").withColumn("d", F.explode(F.sequence(F.lit(shortest), F.lit(longest), F.lit(step))))
+    # lines and videos lie by video already: a broadcast of the lines would leave all windows to the few tasks of the videos
+    rows = rows.join(videos.select("video_id", "duration").hint("merge"), "video_id").withColumn("d", F.explode(F.sequence(F.lit(shortest), F.lit(longest), F.lit(step))))
     rows = rows.withColumn("seg_start", F.greatest(F.lit(0.0), (F.col("start") + F.col("end")) / 2 - F.col("d") / 2))
     rows = rows.withColumn("seg_end", F.least("duration", F.col("seg_start") + F.col("d")))
     return rows.where(F.col("seg_end") - F.col("seg_start") >= shortest)

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from clipwright.functions import lexicons as lx
-from clipwright.functions.text import any_of, clip_engagement, clip_text_quality, clip_type, end_quality, flow_quality, hits, prepared, same_texts, segment_text_quality, segments_of, start_quality
+from clipwright.functions.text import NOTES, any_of, clip_engagement, clip_text_quality, clip_type, end_quality, flow_quality, hits, noted, prepared, same_texts, segment_text_quality, segments_of, start_quality
 from clipwright.operators.intervals import interval_join
 from clipwright.operators.windows import sentence_starts
 
@@ -27,13 +27,14 @@ def duration_factor(duration: Column) -> Column:
 
 
 def scored(segments: DataFrame) -> DataFrame:
-    """Quality, engagement and content type of segments with text."""
-    texts, text = prepared(same_texts(segments, "video_id"), dealt=True)
+    """Quality, engagement and content type of segments with text; with the notes of their lines (`NOTES`, which go), texts needn't be looked through."""
+    given = "_found" in segments.columns
+    texts, text = noted(segments) if given else prepared(same_texts(segments, "video_id"), dealt=True)
     texts = texts.withColumn("_quality", clip_text_quality(text)).withColumn("_engagement", clip_engagement(text)).withColumn("content_type", clip_type(text)).drop("_low", "_pieces")
-    rows = segments_of(texts, "_quality", "_engagement", "content_type")
+    rows = texts if given else segments_of(texts, "_quality", "_engagement", "content_type")
     quality = F.least(F.lit(1.0), (F.lit(0.5) + F.col("_quality")) * duration_factor(F.col("seg_end") - F.col("seg_start")))
     engagement = F.least(F.lit(1.0), F.lit(0.5) + F.col("_engagement"))
-    return rows.select(*segments.columns, F.round(quality, 4).alias("quality_score"), F.round(engagement, 4).alias("engagement_score"), "content_type")
+    return rows.select(*[c for c in segments.columns if c not in NOTES], F.round(quality, 4).alias("quality_score"), F.round(engagement, 4).alias("engagement_score"), "content_type")
 
 
 def preliminary_quality(segments: DataFrame) -> DataFrame:
