@@ -12,10 +12,15 @@ from clipwright.operators.intervals import interval_join
 
 
 def segment_intensity(segments: DataFrame, timeline: DataFrame) -> DataFrame:
-    """Mean intensity of the timeline rows (start, end, intensity) that overlap each segment, 0 where none does."""
-    points = timeline.select("video_id", F.col("start").alias("_s"), F.col("end").alias("_e"), "intensity")
+    """Mean intensity of the timeline rows (seg_idx, start, end, intensity) that overlap each segment, 0 where none does.
+
+    It adds up in the order of lines: segments of one mean would else differ in the last bit, by which they are ranked and rounded.
+    """
+    points = timeline.select("video_id", "seg_idx", F.col("start").alias("_s"), F.col("end").alias("_e"), "intensity")
     met = interval_join(segments.select("video_id", "segment_id", "seg_start", "seg_end"), points, ["video_id"], ("seg_start", "seg_end"), ("_s", "_e"))
-    means = met.groupBy("video_id", "segment_id").agg(F.avg("intensity").alias("intensity"))
+    lines = met.groupBy("video_id", "segment_id").agg(F.array_sort(F.collect_list(F.when(F.col("intensity").isNotNull(), F.struct("seg_idx", "intensity")))).alias("_lines"))
+    total = F.aggregate("_lines", F.lit(0.0), lambda a, x: a + x["intensity"])
+    means = lines.select("video_id", "segment_id", F.when(F.size("_lines") > 0, total / F.size("_lines")).alias("intensity"))
     return segments.join(means, ["video_id", "segment_id"], "left").withColumn("intensity", F.coalesce("intensity", F.lit(0.0)))
 
 
@@ -25,12 +30,12 @@ def climax_scores(segments: DataFrame, timeline: DataFrame, climax_at: float = 0
     stop = timeline.groupBy("video_id").agg(F.max("end").alias("stop"))
     rows = rows.join(stop, "video_id").withColumn("place", (F.col("seg_start") + F.col("seg_end")) / 2 / F.col("stop"))
     place, dur = F.col("place"), F.col("seg_end") - F.col("seg_start")
-    length = F.when((dur >= 30) & (dur <= 90), 1.0).when((dur >= 20) & (dur <= 120), 0.8).when((dur >= 15) & (dur <= 150), 0.6).otherwise(0.3)
+    length = F.when((dur >= 30) & (dur <= 90), 0.1).when((dur >= 20) & (dur <= 120), 0.08).when((dur >= 15) & (dur <= 150), 0.06).otherwise(0.03)
     credit = (place > 0.92) | (hits(F.col("text"), lx.CREDITS) >= 2)
     late = F.when(credit, -0.9).when(place > 0.9, -0.7).when(place > 0.87, -0.4).otherwise(0.0)
     bonus = F.when((place >= 0.6) & (place <= 0.8), 0.15).when((place >= 0.5) & (place <= 0.85), 0.1).otherwise(0.0)
     near = F.greatest(F.lit(0.0), 1 - F.abs(place - climax_at) * 2)
-    score = semantic * 0.3 + F.col("intensity") * 0.25 + near * 0.2 + F.col("quality_score") * 0.15 + length * 0.1 + late + bonus
+    score = semantic * 0.3 + F.col("intensity") * 0.25 + near * 0.2 + F.col("quality_score") * 0.15 + length + late + bonus
     return rows.withColumn("climax_score", F.greatest(F.lit(0.0), score)).drop("stop", "place")
 
 

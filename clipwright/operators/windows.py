@@ -60,12 +60,12 @@ def topic_cuts(transcript: DataFrame) -> DataFrame:
 
 
 def intensity(transcript: DataFrame) -> DataFrame:
-    """Intensity of each line: signs of volume, of emotion, and pace."""
+    """Intensity of each line: signs of volume, of emotion, and pace. Its terms have three decimals at most, and it is the double next to their exact sum."""
     pace = F.col("n_words") / (F.col("end") - F.col("start"))
     volume = F.least(hits(F.col("text"), lx.INTENSITY_VOLUME) * 0.2, F.lit(1.0))
     emotion = F.least(hits(F.col("text"), lx.INTENSITY_EMOTION) * 0.15, F.lit(1.0))
     speech = F.when(F.col("end") <= F.col("start"), 0.0).when((pace > 3) | (pace < 1), 0.8).when((pace > 2.5) | (pace < 1.5), 0.6).otherwise(0.4)
-    return transcript.select("video_id", "seg_idx", "start", "end", (volume * 0.4 + emotion * 0.4 + speech * 0.2).alias("intensity"))
+    return transcript.select("video_id", "seg_idx", "start", "end", F.round(volume * 0.4 + emotion * 0.4 + speech * 0.2, 3).alias("intensity"))
 
 
 def smoothed_intensity(transcript: DataFrame) -> DataFrame:
