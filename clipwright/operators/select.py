@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -97,21 +98,24 @@ def greedy_top(segments: DataFrame, most: int = 3) -> DataFrame:
     return rows.select("video_id", F.explode(F.aggregate("_rows", F.array().cast(kind), step)).alias("_r")).select("video_id", *[f"_r.{c}" for c in columns])
 
 
-def deduplicated(segments: DataFrame, most: int = 200, similarity: float = 0.9, overlap: float = 0.5) -> DataFrame:
+def deduplicated(segments: DataFrame, most: int | None = None, similarity: float = 0.9, overlap: float = 0.5, width: float = 60.0) -> DataFrame:
     """Segments by priority, preliminary quality and length, each left out if it is much like one kept before: it overlaps that by more than `overlap` of the shorter one and is alike in text and method above `similarity`.
 
-    A row is compared with those kept, `most` at most, and not with all others of its video.
+    All that are unlike stay, or the first `most` of a video. A row is compared with those kept that touch one of its cells of `width`
+    seconds, as no others overlap it, and with those kept that touch too many cells to be noted there.
     """
     stop = {"", *lx.STOP_WORDS}
     space = re.compile("[ \\t\\n\\x0b\\f\\r]+")
     sets: dict[str, set[str]] = {}
+    cells: dict[int, list[list]] = {}
+    wide: list[list] = []
     order = ["priority", "q", "d", "seg_start", "segment_id"]
     rows = segments.select("video_id", "segment_id", "seg_start", "seg_end", "method", F.lower(F.coalesce("text", F.lit(""))).alias("low"), "priority", (-F.col("preliminary_quality")).alias("q"), (F.col("seg_start") - F.col("seg_end")).alias("d"))
 
     def words_of(low: str) -> set[str]:
         # windows around a line often hold the same lines, so the last texts are kept
         if low not in sets:
-            if len(sets) >= 256:
+            if len(sets) >= 4096:
                 sets.clear()
             sets[low] = set(space.split(low)) - stop
         return sets[low]
@@ -126,8 +130,23 @@ def deduplicated(segments: DataFrame, most: int = 200, similarity: float = 0.9,
         return (both / union * 0.5 + same * 0.2) / 0.7 > similarity if union else same > similarity
 
     def step(kept: list[list], row: list) -> None:
-        if len(kept) < most and not any(alike(row, k) for k in kept):
-            kept.append(row)
+        if not kept:
+            cells.clear()
+            wide.clear()
+        if most is not None and len(kept) >= most:
+            return
+        if row[1] < row[2]:  # a row without length, or a time that is null, overlaps nothing
+            first, last = row[1] // width, row[2] // width
+            touched = range(int(first), int(last) + 1) if last - first < 64 else None
+            near = kept if touched is None else chain(wide, *(cells.get(c, ()) for c in touched))
+            if any(k[1] < k[2] and alike(row, k) for k in near):
+                return
+            if touched is None:
+                wide.append(row)
+            else:
+                for c in touched:
+                    cells.setdefault(c, []).append(row)
+        kept.append(row)
 
     kept = _fold(rows, ["video_id"], ["segment_id", "seg_start", "seg_end", "method", "low", "priority", "q", "d"], order, step, ["segment_id"])
     return segments.join(kept, ["video_id", "segment_id"], "left_semi")
