@@ -153,7 +153,11 @@ def deduplicated(segments: DataFrame, most: int | None = None, similarity: float
 
 
 def _fold(df: DataFrame, by: Sequence[str], columns: Sequence[str], order: Sequence[str], step: Callable[[list[list], list], None], out: Sequence[str] | None = None) -> DataFrame:
-    """The rows (columns) of each `by` in order, of which `step(kept, row)` makes the list of those that stay: it adds rows at the end or changes the last one. Of these the columns `out` (all) come back."""
+    """The rows (columns) of each `by` in order, of which `step(kept, row)` makes the list of those that stay: it adds rows at the end or changes the last one. Of these the columns `out` (all) come back.
+
+    Rows are dealt by a hash of `by`, not by `by` itself: Spark would leave that out above a union of tables that are dealt by `by`, whose
+    partitions it may then put together differently, so that a group is cut in two.
+    """
     rows = df.select(*by, *columns)
     given = rows.select(*by, *(out or columns)).schema
     schema, n, at = to_arrow_schema(given), len(by), [list(columns).index(c) for c in out or columns]
@@ -175,7 +179,7 @@ def _fold(df: DataFrame, by: Sequence[str], columns: Sequence[str], order: Seque
                 done = []
         yield batch_of(done + [[*now, *(row[i] for i in at)] for row in kept])
 
-    return rows.repartition(*by).sortWithinPartitions(*by, *[F.asc_nulls_last(c) for c in order]).mapInArrow(run, given)
+    return rows.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *[F.asc_nulls_last(c) for c in order]).mapInArrow(run, given)
 
 
 def near_duplicates_merged(segments: DataFrame, within: float = 5.0) -> DataFrame:
